@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cellweave.plans.tables import PRELUDE, Tables
 from cellweave.scale import c
+from cellweave.session import ship_package
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,7 @@ def query(name: str, sql: str | None = None, rnd: str = "", digits: int = 6):
 
 def spark_callable(q: Query) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
         out = q.build(Tables(spark, sf_dir))
         done = set(q.rounded)
         return out.select(*[F.round(c(n), q.digits).alias(n) if n in done else c(n) for n in out.columns])

@@ -9,6 +9,7 @@ ordered work by range, so no task and no driver ever holds a whole sample.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -23,21 +24,26 @@ def c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _shared_folder(df: DataFrame) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``; a local session without it gets a temporary one."""
+    sc = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cellweave-"))
+        folder = sc.getCheckpointDir()
+    return folder
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and cut its lineage.
+    """Write ``df`` once as a table in the shared checkpoint folder and read it back, which cuts its lineage.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only a local session without
-    that setting gets a temporary folder.
+    Unlike a checkpoint the table is computed once, is columnar, and its size on disk informs later joins.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="cellweave-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{_shared_folder(df)}/cellweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

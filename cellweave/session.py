@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
+_ARCHIVE = "cellweave_package.zip"
+
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A local session; on a cluster the submitter's own session is used instead."""
@@ -20,3 +26,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, for the pandas UDFs."""
+    sc = spark.sparkContext
+    if any(f.rsplit("/", 1)[-1] == _ARCHIVE for f in sc.listFiles):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="cellweave-"), _ARCHIVE)
+    with zipfile.PyZipFile(path, "w") as z:
+        z.writepy(os.path.join(root, "cellweave"))
+    sc.addPyFile(path)
