@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from cellweave.scale import attach, c, materialize, sized
 
 DEPTH = 24  # levels of halving kept in the integer coordinates
-_GROUPS = ((0, 2, 4, 6, 8), (10, 12, 14, 16), (18, 20, 22, 24))
+_GROUPS = (range(0, 7), range(7, 13), range(13, 19), range(19, DEPTH + 1))  # levels tried together
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
@@ -98,8 +98,8 @@ def _assign_tiles(sites: DataFrame, keys: Sequence[str], cap: int) -> DataFrame:
         spread = todo.withColumn("l", F.explode(F.array(*[F.lit(v) for v in levels]))).select("*", *_square("l"))
         counted = materialize(spread.groupBy(*_cols(keys), "l", "cx", "cy").agg(F.count(F.lit(1)).alias("m")))
         heavy = counted.where(F.col("m") > cap)
-        parent = [*_cols(keys), (F.col("l") + 2).alias("l"), F.col("cx").alias("px"), F.col("cy").alias("py")]
-        light = counted.where(F.col("m") <= cap).withColumn("px", F.shiftright("cx", 2)).withColumn("py", F.shiftright("cy", 2))
+        parent = [*_cols(keys), (F.col("l") + 1).alias("l"), F.col("cx").alias("px"), F.col("cy").alias("py")]
+        light = counted.where(F.col("m") <= cap).withColumn("px", F.shiftright("cx", 1)).withColumn("py", F.shiftright("cy", 1))
         first = light.where(F.col("l") == levels[0])
         later = light.join(heavy.select(*parent), [*keys, "l", "px", "py"], "left_semi")
         leaves = first.unionByName(later.select(first.columns)).select(*_cols(keys), "l", "cx", "cy")
@@ -123,10 +123,10 @@ def _nearest(limit: str | None, n: int) -> Column:
     """The n nearest (d, id) among a tile's sites for the query ``q``."""
     every = f"flatten(transform(pts, s -> transform(s.ids, i -> named_struct('d', {_DIST}, 'id', i))))"
     kept = f"filter({every}, e -> e.d <= {limit})" if limit else every
-    return F.expr(f"slice(array_sort({kept}), 1, {n})")
+    return F.expr(f"slice(sort_array({kept}), 1, {n})")
 
 
-def nearest_in_plane(points: DataFrame, keys: Sequence[str], k: int, id_col: str = "cell_id", x: str = "x", y: str = "y", cap: int = 128) -> DataFrame:
+def nearest_in_plane(points: DataFrame, keys: Sequence[str], k: int, id_col: str = "cell_id", x: str = "x", y: str = "y", cap: int = 64) -> DataFrame:
     """Exact k nearest rows of every row within its group: (src, dst, dist, rank), self excluded.
 
     Own tile first, which bounds the distance of the k-th neighbour; then only the tiles that reach into that
@@ -152,7 +152,7 @@ def nearest_in_plane(points: DataFrame, keys: Sequence[str], k: int, id_col: str
     margin = F.least(F.col("__q.x") - left, left + h - F.col("__q.x"), F.col("__q.y") - low, low + h - F.col("__q.y"))
     found = F.when(F.size("near") > k, F.element_at("near", k + 1)["d"])
     # the parent square holds more than `cap` sites, so its diagonal bounds the distance as well
-    reach = F.least(found, F.when(F.col("l") > 0, 4 * math.sqrt(2) * h)) * (1 + 1e-9)
+    reach = F.least(found, F.when(F.col("l") > 0, 2 * math.sqrt(2) * h)) * (1 + 1e-9)
     local = materialize(
         own.withColumn("near", _nearest(None, k + 1)).withColumn("reach", reach)
         .withColumn("open", (F.col("l") > 0) & ((F.col("chunks") > 1) | (F.col("reach") * (1 + 1e-9) >= margin)))
@@ -160,7 +160,7 @@ def nearest_in_plane(points: DataFrame, keys: Sequence[str], k: int, id_col: str
     )
     wanted = local.where("open").drop("near", "open")
     # squares at a level at least twice as wide as the circle: at most two by two cover it
-    fit = (F.floor(F.log2(F.col("side") / (2 * F.col("reach"))) / 2) * 2).cast("int")
+    fit = F.floor(F.log2(F.col("side") / (2 * F.col("reach")))).cast("int")
     lq = F.when(F.col("reach") > 0, F.greatest(F.lit(0), F.least(F.lit(DEPTH), fit))).otherwise(F.lit(DEPTH))
     edge = lambda v, v0, sign: at(F.col(v) + sign * F.col("reach"), v0)
     wanted = wanted.withColumn("lq", lq)
@@ -173,7 +173,7 @@ def nearest_in_plane(points: DataFrame, keys: Sequence[str], k: int, id_col: str
     wanted = attach(wanted, coarsest, keys)
     # below: tiles inside the covering squares; above: tiles that contain them
     covering = "flatten(transform(cxs, a -> transform(cys, b -> named_struct('up', false, 'l', lq, 'cx', a, 'cy', b))))"
-    levels = "filter(transform(sequence(0, 12), v -> v * 2), v -> v < lq and v >= l_min)"
+    levels = f"filter(sequence(0, {DEPTH}), v -> v < lq and v >= l_min)"
     above = (
         f"array_distinct(flatten(transform({levels}, v -> flatten(transform(cxs, a -> transform(cys, b -> "
         "named_struct('up', true, 'l', v, 'cx', shiftright(a, lq - v), 'cy', shiftright(b, lq - v))))))))"
@@ -183,7 +183,7 @@ def nearest_in_plane(points: DataFrame, keys: Sequence[str], k: int, id_col: str
     ).select(*_cols(keys), "__q", "reach", "mine", "__s.*")
     box = ["bx0", "bx1", "by0", "by1"]
     directory = tiles.select(*_cols(tile_key), *box, F.explode(F.expr(
-        "concat(array(named_struct('up', true, 'v', l)), transform(filter(transform(sequence(0, 12), v -> v * 2), v -> v <= l), v -> named_struct('up', false, 'v', v)))"
+        "concat(array(named_struct('up', true, 'v', l)), transform(sequence(0, l), v -> named_struct('up', false, 'v', v)))"
     )).alias("e")).select(
         *_cols(keys), F.struct("l", "cx", "cy", "chunk").alias("tile"), *box, F.col("e.up").alias("up"),
         F.expr("shiftright(cx, l - e.v)").alias("cx"), F.expr("shiftright(cy, l - e.v)").alias("cy"), F.col("e.v").alias("l"),
@@ -199,12 +199,20 @@ def nearest_in_plane(points: DataFrame, keys: Sequence[str], k: int, id_col: str
         .groupBy(*_cols(keys), F.col("__q.x").alias("x"), F.col("__q.y").alias("y")).agg(F.flatten(F.collect_list("near")).alias("more"))
     )
     best = local.select(*_cols(keys), F.col("__q.x").alias("x"), F.col("__q.y").alias("y"), "near").join(more, [*keys, "x", "y"], "left").select(
-        *_cols(keys), "x", "y", F.when(F.col("more").isNull(), F.col("near")).otherwise(F.expr(f"slice(array_sort(concat(near, more)), 1, {k + 1})")).alias("near")
-    )
-    out = p.join(best, [*keys, "x", "y"]).withColumn("near", F.expr(f"slice(filter(near, e -> e.id <> id), 1, {k})"))
-    return out.select(*_cols(keys), F.col("id").alias("src"), F.posexplode("near").alias("pos", "e")).select(
-        *_cols(keys), "src", F.col("e.id").alias("dst"), F.col("e.d").alias("dist"), (F.col("pos") + 1).alias("rank")
+        *_cols(keys), "x", "y", F.when(F.col("more").isNull(), F.col("near")).otherwise(F.expr(f"slice(sort_array(concat(near, more)), 1, {k + 1})")).alias("near")
     )
+    return _ranked(p.join(best, [*keys, "x", "y"]), keys, k)
+
+
+def _ranked(found: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """One row per neighbour from the k + 1 nearest of a place, the row itself left out."""
+    # the row's own entry, when present, moves the later ones up by one
+    own = F.expr("array_position(transform(near, e -> e.id), id)")
+    one = found.select(*_cols(keys), F.col("id").alias("src"), own.alias("own"), F.posexplode("near").alias("pos", "e"))
+    rank = F.when((F.col("own") > 0) & (F.col("pos") + 1 > F.col("own")), F.col("pos")).otherwise(F.col("pos") + 1)
+    return one.where(F.col("pos") + 1 != F.col("own")).select(
+        *_cols(keys), "src", F.col("e.id").alias("dst"), F.col("e.d").alias("dist"), rank.cast("int").alias("rank")
+    ).where(F.col("rank") <= k)
 
 
 # ----------------------------------------------------------------------------------- k nearest in an embedding
@@ -317,11 +325,8 @@ def nearest_in_embedding(points: DataFrame, keys: Sequence[str], k: int, id_col:
     more = met.select(F.explode(F.arrays_zip("qs", near(F.col("qs"), F.col("pts.v"), F.col("pts.ids")).alias("near"))).alias("z"), *_cols(keys)).select(
         *_cols(keys), F.col("z.qs").alias("v"), F.col("z.near").alias("near"))
     mine = local.select(*_cols(keys), F.explode(F.arrays_zip(F.col("pts.v").alias("v"), "near")).alias("z")).select(*_cols(keys), "z.v", "z.near")
-    best = mine.unionByName(more).groupBy(*_cols(keys), "v").agg(F.expr(f"slice(array_sort(flatten(collect_list(near))), 1, {k + 1})").alias("near"))
-    out = p.join(best, [*keys, "v"]).withColumn("near", F.expr(f"slice(filter(near, e -> e.id <> id), 1, {k})"))
-    return out.select(*_cols(keys), F.col("id").alias("src"), F.posexplode("near").alias("pos", "e")).select(
-        *_cols(keys), "src", F.col("e.id").alias("dst"), F.col("e.d").alias("dist"), (F.col("pos") + 1).alias("rank")
-    )
+    best = mine.unionByName(more).groupBy(*_cols(keys), "v").agg(F.expr(f"slice(sort_array(flatten(collect_list(near))), 1, {k + 1})").alias("near"))
+    return _ranked(p.join(best, [*keys, "v"]), keys, k)
 
 
 def symmetric(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
