@@ -12,7 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,10 +24,10 @@ def c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _shared_folder(df: DataFrame) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``; a local session without it gets a temporary one."""
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
@@ -41,7 +41,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
     Unlike a checkpoint the table is computed once, is columnar, and its size on disk informs later joins.
     """
-    path = f"{_shared_folder(df)}/cellweave-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/cellweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
