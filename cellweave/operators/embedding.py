@@ -169,7 +169,7 @@ def _tree_sum(df: DataFrame, fn, size: int, fan: int = 32) -> np.ndarray:
     return sum((np.frombuffer(bytes(r["m"])) for r in rows), np.zeros(size))
 
 
-def corrected_for_batch(df: DataFrame, id_col: str, vec: str, batch: str, n_clusters: int | None = None, theta: float = 2.0, sigma: float = 0.1, ridge: float = 1.0, rounds: int = 10, inner: int = 3, tol: float = 1e-4, out: str = "corrected", seed: int = 42) -> DataFrame:
+def corrected_for_batch(df: DataFrame, id_col: str, vec: str, batch: str, n_clusters: int | None = None, theta: float = 2.0, sigma: float = 0.1, ridge: float = 1.0, rounds: int = 10, inner: int = 8, damping: float = 0.25, tol: float = 1e-4, out: str = "corrected", seed: int = 42) -> DataFrame:
     """Soft-cluster cells so that batches mix within clusters, then remove each cluster's batch offset (Harmony).
 
     Tasks see batches of cells and the small cluster state; only cluster x batch x component sums are added up.
@@ -211,12 +211,14 @@ def corrected_for_batch(df: DataFrame, id_col: str, vec: str, batch: str, n_clus
         return flat[: k * nb].reshape(k, nb), flat[k * nb : k * nb * (1 + d)].reshape(k, nb, d), flat[k * nb * (1 + d) :].reshape(k, nb, d)
 
     state = {"y": centres, "penalty": np.ones((k, nb))}
-    last = None
+    last, mixed = None, None
     for _ in range(rounds):
         for _ in range(inner):
             o, sc, sz = sums(state)
-            expected = o.sum(1, keepdims=True) * (o.sum(0, keepdims=True) / o.sum())
-            state = {"y": normed(sc.sum(1)), "penalty": ((expected + 1) / (o + 1)) ** theta}
+            # all cells move at once: the running mean keeps the batches from trading places
+            mixed = o if mixed is None else (1 - damping) * mixed + damping * o
+            expected = mixed.sum(1, keepdims=True) * (mixed.sum(0, keepdims=True) / mixed.sum())
+            state = {"y": normed(sc.sum(1)), "penalty": ((expected + 1) / (mixed + 1)) ** theta}
         o, sc, sz = sums(state)
         shift = np.zeros((k, nb, d))
         for j in range(k):  # ridge regression on intercept and batch indicators, weighted by membership

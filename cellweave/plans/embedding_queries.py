@@ -108,7 +108,7 @@ def _(t):
 @query("m7_batch_corrected")
 def _(t):
     base = materialize(em.pca(em.scaled(embedded(t)), k=10)[0])
-    out = em.corrected_for_batch(base, "cell_id", "pcs", "sample_id", rounds=3, inner=2)
+    out = em.corrected_for_batch(base, "cell_id", "pcs", "sample_id", rounds=3)
     return out.select("cell_id", "sample_id", F.posexplode("corrected").alias("pc", "score"))
 
 
