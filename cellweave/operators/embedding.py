@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from cellweave.operators.aggregates import n_rows
 from cellweave.operators.clean import subsample
 from cellweave.operators.neighbors import _rows, nearest_in_embedding
-from cellweave.scale import attach, c, materialize, top_n, with_group_stats
+from cellweave.scale import attach, c, materialize, spread, top_n, with_group_stats
 
 MAX_FEATURES = 5_000  # a features x features matrix is held by the driver
 
@@ -44,7 +44,7 @@ def cell_vectors(values: DataFrame, cell: Sequence[str], features: Sequence[str]
         return pd.Series(list(out))
 
     kept = values.select(*_cols(cell), c(feature), c(value).cast("double").alias("__x")).join(F.broadcast(index), feature)
-    packed = kept.groupBy(*_cols(cell)).agg(F.collect_list(F.struct("__i", "__x")).alias("e"))
+    packed = spread(kept, cell).groupBy(*_cols(cell)).agg(F.collect_list(F.struct("__i", "__x")).alias("e"))
     return materialize(packed.select(*_cols(cell), dense(F.col("e.__i"), F.col("e.__x")).alias(out)))
 
 

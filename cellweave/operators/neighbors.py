@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellweave.scale import attach, c, materialize, sized
+from cellweave.scale import attach, c, materialize, sized, spread
 
 DEPTH = 24  # levels of halving kept in the integer coordinates
 _GROUPS = (range(0, 7), range(7, 13), range(13, 19), range(19, DEPTH + 1))  # levels tried together
@@ -116,14 +116,26 @@ def _assign_tiles(sites: DataFrame, keys: Sequence[str], cap: int) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), done)
 
 
-_DIST = "sqrt(pow(s.x - __q.x, 2) + pow(s.y - __q.y, 2))"
+def _tile_udf(id_type: str, n: int):
+    """For every site of a tile its n nearest (d, id) within the tile."""
 
+    @F.pandas_udf(f"array<array<struct<d:double,id:{id_type}>>>")
+    def near(xs: pd.Series, ys: pd.Series, ids: pd.Series) -> pd.Series:
+        out = []
+        for x, y, folded in zip(xs, ys, ids):
+            x, y = np.asarray(x, float), np.asarray(y, float)
+            dx, dy = x[:, None] - x[None, :], y[:, None] - y[None, :]
+            d = np.sqrt(dx * dx + dy * dy)
+            cut = np.partition(d, min(n, len(x)) - 1, axis=1)[:, min(n, len(x)) - 1]
+            rows = []
+            for i in range(len(x)):
+                few = np.flatnonzero(d[i] <= cut[i])
+                best = sorted((dist, v) for dist, j in zip(d[i, few].tolist(), few) for v in folded[j])[:n]
+                rows.append([{"d": a, "id": b} for a, b in best])
+            out.append(rows)
+        return pd.Series(out)
 
-def _nearest(limit: str | None, n: int) -> Column:
-    """The n nearest (d, id) among a tile's sites for the query ``q``."""
-    every = f"flatten(transform(pts, s -> transform(s.ids, i -> named_struct('d', {_DIST}, 'id', i))))"
-    kept = f"filter({every}, e -> e.d <= {limit})" if limit else every
-    return F.expr(f"slice(sort_array({kept}), 1, {n})")
+    return near
 
 
 def nearest_in_plane(points: DataFrame, keys: Sequence[str], k: int, id_col: str = "cell_id", x: str = "x", y: str = "y", cap: int = 64) -> DataFrame:
@@ -146,7 +158,10 @@ def nearest_in_plane(points: DataFrame, keys: Sequence[str], k: int, id_col: str
             F.min("x").alias("bx0"), F.max("x").alias("bx1"), F.min("y").alias("by0"), F.max("y").alias("by1"),
         )
     )
-    own = tiles.select(*_cols(tile_key), "chunks", "x0", "y0", "side", "pts", F.explode("pts").alias("__q"))
+    in_tile = _tile_udf(p.schema["id"].dataType.simpleString(), k + 1)(F.col("pts.x"), F.col("pts.y"), F.col("pts.ids"))
+    zipped = F.arrays_zip(F.col("pts.x").alias("x"), F.col("pts.y").alias("y"), in_tile.alias("near"))
+    own = spread(tiles, tile_key).select(*_cols(tile_key), "chunks", "x0", "y0", "side", F.explode(zipped).alias("z")).select(
+        *_cols(tile_key), "chunks", "x0", "y0", "side", F.struct("z.x", "z.y").alias("__q"), F.col("z.near").alias("near"))
     h = F.col("side") / F.pow(F.lit(2.0), F.col("l"))
     left, low = F.col("x0") + F.col("cx") * h, F.col("y0") + F.col("cy") * h
     margin = F.least(F.col("__q.x") - left, left + h - F.col("__q.x"), F.col("__q.y") - low, low + h - F.col("__q.y"))
@@ -154,9 +169,9 @@ def nearest_in_plane(points: DataFrame, keys: Sequence[str], k: int, id_col: str
     # the parent square holds more than `cap` sites, so its diagonal bounds the distance as well
     reach = F.least(found, F.when(F.col("l") > 0, 2 * math.sqrt(2) * h)) * (1 + 1e-9)
     local = materialize(
-        own.withColumn("near", _nearest(None, k + 1)).withColumn("reach", reach)
+        own.withColumn("reach", reach)
         .withColumn("open", (F.col("l") > 0) & ((F.col("chunks") > 1) | (F.col("reach") * (1 + 1e-9) >= margin)))
-        .drop("pts", "chunks")
+        .drop("chunks")
     )
     wanted = local.where("open").drop("near", "open")
     # squares at a level at least twice as wide as the circle: at most two by two cover it
@@ -193,11 +208,12 @@ def nearest_in_plane(points: DataFrame, keys: Sequence[str], k: int, id_col: str
     pairs = look.join(directory, [*keys, "up", "l", "cx", "cy"]).where(hit & (F.col("tile") != F.col("mine"))).select(
         *_cols(keys), "__q", "reach", "tile.l", "tile.cx", "tile.cy", "tile.chunk"
     )
-    more = (
-        pairs.join(tiles.select(*_cols(tile_key), "pts"), tile_key)
-        .select(*_cols(keys), "__q", _nearest("reach", k + 1).alias("near"))
-        .groupBy(*_cols(keys), F.col("__q.x").alias("x"), F.col("__q.y").alias("y")).agg(F.flatten(F.collect_list("near")).alias("more"))
-    )
+    # rows outside the circle are dropped in the stage that forms them; ids stay folded per site
+    site = pairs.join(tiles.select(*_cols(tile_key), "pts"), tile_key).select(
+        *_cols(keys), F.col("__q.x").alias("x"), F.col("__q.y").alias("y"), "reach", F.explode("pts").alias("__s")
+    ).withColumn("d2", F.pow(F.col("__s.x") - F.col("x"), 2) + F.pow(F.col("__s.y") - F.col("y"), 2))
+    inside = site.where(F.col("d2") <= F.pow(F.col("reach"), 2)).select(*_cols(keys), "x", "y", F.sqrt("d2").alias("d"), F.explode("__s.ids").alias("id"))
+    more = inside.groupBy(*_cols(keys), "x", "y").agg(F.collect_list(F.struct("d", "id")).alias("more"))
     best = local.select(*_cols(keys), F.col("__q.x").alias("x"), F.col("__q.y").alias("y"), "near").join(more, [*keys, "x", "y"], "left").select(
         *_cols(keys), "x", "y", F.when(F.col("more").isNull(), F.col("near")).otherwise(F.expr(f"slice(sort_array(concat(near, more)), 1, {k + 1})")).alias("near")
     )
@@ -308,7 +324,7 @@ def nearest_in_embedding(points: DataFrame, keys: Sequence[str], k: int, id_col:
     )
     near = _near_udf(id_type, k + 1)
     local = materialize(
-        blocks.select(*_cols(block_key), "r_max", "pts", near(F.col("pts.v"), F.col("pts.v"), F.col("pts.ids")).alias("near"))
+        spread(blocks, block_key).select(*_cols(block_key), "r_max", "pts", near(F.col("pts.v"), F.col("pts.v"), F.col("pts.ids")).alias("near"))
         .withColumn("reach", F.expr(f"array_max(transform(near, e -> if(size(e) > {k}, element_at(e, {k + 1}).d, double('Infinity'))))"))
     )
     gap = pivots.select(*_cols(keys), "pivot", "pv")
@@ -321,7 +337,7 @@ def nearest_in_embedding(points: DataFrame, keys: Sequence[str], k: int, id_col:
     target = blocks.select(*_cols(keys), F.col("pivot").alias("to"), F.col("chunk").alias("to_chunk"), "r_min", F.col("r_max").alias("to_max"), "pts")
     lower = F.greatest(F.col("gap") - F.col("r_max") - F.col("to_max"), F.col("r_min") - F.col("gap") - F.col("r_max"))
     same = (F.col("pivot") == F.col("to")) & (F.col("chunk") == F.col("to_chunk"))
-    met = search.join(target, [*keys, "to"]).where((lower <= F.col("reach")) & ~same)
+    met = spread(search.join(target, [*keys, "to"]).where((lower <= F.col("reach")) & ~same), ["to", "to_chunk", "pivot", "chunk"])
     more = met.select(F.explode(F.arrays_zip("qs", near(F.col("qs"), F.col("pts.v"), F.col("pts.ids")).alias("near"))).alias("z"), *_cols(keys)).select(
         *_cols(keys), F.col("z.qs").alias("v"), F.col("z.near").alias("near"))
     mine = local.select(*_cols(keys), F.explode(F.arrays_zip(F.col("pts.v").alias("v"), "near")).alias("z")).select(*_cols(keys), "z.v", "z.near")
