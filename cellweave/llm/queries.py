@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellweave.llm import mixing, packing, sharding
+from cellweave.llm import language, mixing, packing, quality, repeats, sharding, simhash, vectors
 from cellweave.session import ship_package
 
 
@@ -24,15 +24,40 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decisions(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokenizer())
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages_of(documents(spark, sf_dir))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents that people labelled as good."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(documents(spark, sf_dir), trusted(spark, sf_dir))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffled(documents(spark, sf_dir))
 
 
-_QUERIES = [op1_mixing, op5_packing, op10_sharding]
+_QUERIES = [op1_mixing, op3_repeats, op5_packing, op6_vectors, op7_language, op8_simhash, op9_quality, op10_sharding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
