@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import ctypes
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,3 +55,33 @@ def ranked(df: DataFrame, keys: Sequence[str], h: str, ties: Sequence[str], name
     inside = Window.partitionBy(*[c(k) for k in keys], F.col("__b")).orderBy(c(h), *[c(t) for t in ties])
     rows = placed.withColumn("__i", F.row_number().over(inside) - 1)
     return join_null_safe(rows, offsets, [*keys, "__b"]).withColumn(name, (F.col("__o") + F.col("__i")).cast("long")).drop("__b", "__i", "__o")
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of a string or binary column, and where each row starts and ends; null is empty."""
+    if column.null_count:
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8), offsets[:-1].astype(np.int64), offsets[1:].astype(np.int64)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of about ``most_bytes`` of text at most (a longer text is a slice of its own).
+
+    Between slices the allocators give back what is free, so a worker holds what one slice needs, not the most so far.
+    """
+    for batch in batches:
+        _, starts, ends = text_bytes(batch.column(column))
+        slot = (np.cumsum(ends - starts) - (ends - starts)) // most_bytes
+        cut = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, np.int64)
+        for a, b in zip(cut, np.append(cut[1:], len(slot))):
+            yield batch.slice(int(a), int(b - a))
+            release_memory()
+
+
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellweave.llm.common import c, seeded
+from cellweave.llm.common import c, seeded, slices, text_bytes
 
 WINDOW = 128
 HIDDEN = 8
@@ -201,16 +201,14 @@ def identified(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("d
     languages = np.array(net.languages if net else [UNKNOWN], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column(batch.num_columns - 1).cast(pa.large_string())
-            n = batch.num_rows
+        for batch in slices(batches, len(keep)):
+            text, n = batch.column(len(keep)), batch.num_rows
             letters = np.array([t is not None and any(map(str.isalpha, t)) for t in text.to_pylist()], bool) if net else np.zeros(n, bool)
-            offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + n + 1]
-            data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+            data, starts, ends = text_bytes(text)
             pred, score = np.full(n, UNKNOWN, object), np.zeros(n)
             at = np.flatnonzero(letters)
             if len(at):
-                p = predict(net, data, offsets[:-1][at], offsets[1:][at])
+                p = predict(net, data, starts[at], ends[at])
                 best = p.argmax(axis=1)
                 pred[at], score[at] = languages[best], np.clip(p[np.arange(len(at)), best], 0, 1)
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]

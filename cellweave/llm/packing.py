@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import materialize, ranked, seeded
+from cellweave.llm.common import materialize, ranked, seeded, slices
 
 CLOSING_ID = 1
 
@@ -67,20 +67,18 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, with_ids: bool
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = _IDS.setdefault(tokenizer, WordIds(tokenizer)) if tokenizer not in _IDS else _IDS[tokenizer]
         step = 4 * capacity
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids, texts = part.column(0).to_pylist(), (t or "" for t in part.column(1).to_pylist())
-                out: tuple[list, ...] = ([], [], [], [], [], [])
-                for doc, body in zip(ids, words.texts(texts)):
-                    body += CLOSING_ID.to_bytes(4, "little")
-                    for k, b in enumerate(range(0, len(body), step)):
-                        piece = body[b : b + step]
-                        for column, value in zip(out, (doc, k, b // 4, len(piece) // 4, zlib.crc32(piece), piece)):
-                            column.append(value)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)][: len(names)], names=names)
+        for part in slices(batches, 1, 1 << 20):
+            ids, texts = part.column(0).to_pylist(), (t or "" for t in part.column(1).to_pylist())
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for doc, body in zip(ids, words.texts(texts)):
+                body += CLOSING_ID.to_bytes(4, "little")
+                for k, b in enumerate(range(0, len(body), step)):
+                    piece = body[b : b + step]
+                    for column, value in zip(out, (doc, k, b // 4, len(piece) // 4, zlib.crc32(piece), piece)):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)][: len(names)], names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)

@@ -97,7 +97,7 @@ def log_ratio_weights(docs: DataFrame, trusted: DataFrame, buckets: int) -> Data
     return rows.select(F.transform("a", ratio).alias("weights"))
 
 
-def scored(docs: DataFrame, trusted: DataFrame, least_score: float = -0.35, buckets: int = 1 << 14) -> DataFrame:
+def scored(docs: DataFrame, trusted: DataFrame, least_score: float = -0.12, buckets: int = 1 << 14) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept."""
     weights = log_ratio_weights(docs, trusted, buckets).scalar()
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellweave.llm import language, mixing, packing, quality, repeats, sharding, simhash, vectors
+from cellweave.llm import crossentropy, language, mixing, packing, quality, repeats, sharding, simhash, vectors, warc_fixity
 from cellweave.session import ship_package
 
 
+VOCABULARY, PRIOR = 1024, 50.0
+
+
 def tokenizer() -> str:
     import public_tokenizers
 
@@ -24,10 +28,20 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decisions(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc_fixity.fixity(pages, warc_fixity.damaged_copy(pages))
+
+
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed(documents(spark, sf_dir))
 
 
+def op4_crossentropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = crossentropy.scored(documents(spark, sf_dir), trusted(spark, sf_dir), VOCABULARY, PRIOR)
+    return found.select("doc_id", "n_words", *[F.round(k, 6).alias(k) for k in ("loss_target", "loss_background", "score")])
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokenizer())
 
@@ -57,7 +71,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffled(documents(spark, sf_dir))
 
 
-_QUERIES = [op1_mixing, op3_repeats, op5_packing, op6_vectors, op7_language, op8_simhash, op9_quality, op10_sharding]
+_QUERIES = [op1_mixing, op2_warc_fixity, op3_repeats, op4_crossentropy, op5_packing, op6_vectors, op7_language, op8_simhash, op9_quality, op10_sharding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -72,4 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_warc_fixity": warc_fixity.SQL,
+        "op4_crossentropy": crossentropy.SQL.format(vocabulary=VOCABULARY, prior=PRIOR),
+    }

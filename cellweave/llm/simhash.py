@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellweave.llm.common import c, join_null_safe, materialize
+from cellweave.llm.common import c, join_null_safe, materialize, slices
 from cellweave.llm.components import components, group_bounds, local_stars, whole_groups
 
 SEED = 42
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long), t (a hash of the text, which tells rows of one id apart)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], names=["doc_id", "fp", "t"])
 
