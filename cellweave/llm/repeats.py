@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import c, join_null_safe, materialize
+from cellweave.llm.common import c, join_null_safe, materialize, release_memory, slices, text_bytes
 from cellweave.llm.components import whole_groups
 from cellweave.scale import row_numbers
 
 LEAST = 100
 GRAM = 32
 SPREAD = LEAST - GRAM  # a passage's anchor starts up to so far behind the passage's start
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -118,14 +118,6 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return doc[once], at[once], gram[once], context[once]
 
 
-def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of a binary column, and where each row starts and ends; null is empty."""
-    column = column.fill_null(b"").cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    return data, offsets[:-1], offsets[1:]
-
-
 def _later(order: np.ndarray, groups: list[np.ndarray], doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows in ``order`` (sorted by groups, doc, pos): first of its group, and later than that first row."""
     change = np.zeros(len(order), bool)
@@ -171,9 +163,9 @@ def marked(docs: DataFrame, hot: int, batch_hot: int) -> DataFrame:
     no_bytes = pa.array([None], pa.binary())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1, 8 << 20):
             ids = batch.column(0).to_numpy()
-            data, starts, ends = _texts(batch.column(1))
+            data, starts, ends = text_bytes(batch.column(1))
             doc, at, gram, context = anchors(data, starts, ends)
             dk, pos = ids[doc], at - starts[doc]
             order = np.lexsort((pos, dk, context, gram))
@@ -243,12 +235,11 @@ def suffixes(docs: DataFrame, marks: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                yield from contexts(batch.slice(at, 512))
+        for batch in slices(batches, 1, 1 << 20):
+            yield from contexts(batch)
 
     def contexts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        data, starts, ends = _texts(batch.column(1))
+        data, starts, ends = text_bytes(batch.column(1))
         lists, ids = batch.column(2), batch.column(0).to_numpy()
         code = lists.flatten().to_numpy()
         doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
@@ -414,6 +405,7 @@ def scanned(rows: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _blocks(whole_groups(batches, ["key"])):
+            release_memory()
             array, single = _arrays(table)
             found = list(array.later())
             dk, a, n = (np.array(x, np.int64) for x in (zip(*found) if found else ((), (), ())))
@@ -489,7 +481,7 @@ def removed(docs: DataFrame, hot: int = 4096, batch_hot: int = 256) -> DataFrame
     joined = rows.join(covers(rows, hot, batch_hot), "dk", "left").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), "spans")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             out: tuple[list, ...] = ([], [], [], [])
             for text, spans in zip(batch.column(1), batch.column(2)):
                 text = text.as_py() or b""
@@ -512,7 +504,7 @@ def deduplicated(docs: DataFrame, hot: int = 4096, batch_hot: int = 256) -> Data
     at = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             texts = []
             for text, spans in zip(batch.column(at), batch.column(len(names))):
                 if spans.is_valid and text.is_valid:
