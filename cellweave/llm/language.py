@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellweave.llm.common import c, seeded, slices, text_bytes
+from cellweave.llm.common import seeded, slices, text_bytes
 
 WINDOW = 128
 HIDDEN = 8
@@ -196,29 +197,49 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def identified(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns of every document, with lang_pred and score."""
-    languages = np.array(net.languages if net else [UNKNOWN], object)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, len(keep)):
-            text, n = batch.column(len(keep)), batch.num_rows
-            letters = np.array([t is not None and any(map(str.isalpha, t)) for t in text.to_pylist()], bool) if net else np.zeros(n, bool)
-            data, starts, ends = text_bytes(text)
-            pred, score = np.full(n, UNKNOWN, object), np.zeros(n)
-            at = np.flatnonzero(letters)
-            if len(at):
-                p = predict(net, data, starts[at], ends[at])
-                best = p.argmax(axis=1)
-                pred[at], score[at] = languages[best], np.clip(p[np.arange(len(at)), best], 0, 1)
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
-
-    fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*[c(k) for k in keep], F.col("text").alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+def _labels(batch: pa.RecordBatch, column: int, net: Network | None) -> tuple[np.ndarray, np.ndarray]:
+    """Predicted language and score of the texts in a column."""
+    n = batch.num_rows
+    pred, score = np.full(n, UNKNOWN, object), np.zeros(n)
+    if net is None:
+        return pred, score
+    text = batch.column(column)
+    data, starts, ends = text_bytes(text)
+    at = np.flatnonzero([t is not None and any(map(str.isalpha, t)) for t in text.to_pylist()])
+    if len(at):
+        p = predict(net, data, starts[at], ends[at])
+        best = p.argmax(axis=1)
+        pred[at], score[at] = np.array(net.languages, object)[best], np.clip(p[np.arange(len(at)), best], 0, 1)
+    return pred, score
 
 
 def languages_of(docs: DataFrame, per_language: int = 300, seed: int = 1) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; learned from those that are not held out."""
-    found = identified(docs, learned(docs, per_language, seed))
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    net = learned(docs, per_language, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            pred, score = _labels(batch, 2, net)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, least_score: float = 0.3, per_language: int = 300, seed: int = 1) -> DataFrame:
+    """The documents with a language, with all their columns; a null ``lang`` becomes the prediction.
+
+    Rejected are ``und`` and texts in which no language reaches a mean probability of ``least_score``.
+    """
+    net = learned(docs, per_language, seed)
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            pred, score = _labels(batch, text, net)
+            keep = pa.array((pred != UNKNOWN) & (score >= least_score))
+            columns = [batch.column(i) for i in range(batch.num_columns)]
+            columns[lang] = pa.compute.coalesce(columns[lang], pa.array(pred, pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)

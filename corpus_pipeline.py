@@ -6,13 +6,29 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellweave.llm import mixing, packing
+from cellweave.llm import language, mixing, packing, repeats, simhash
 from cellweave.llm.queries import tokenizer
 from cellweave.scale import shared_folder
 from cellweave.session import ship_package
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is found."""
+    return language.accepted(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    return simhash.keep_first(docs)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 100 bytes and more that occur earlier."""
+    return repeats.deduplicated(docs).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mix(docs)
@@ -24,7 +40,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("mixing", mix_sources), ("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language identification", identify_language),
+    ("SimHash near duplicates", drop_near_duplicates),
+    ("suffix-array repeats", remove_repeats),
+    ("source mixing", mix_sources),
+    ("best-fit packing", pack),
+]
 
 #: Models, hashes and the tokenizer have no SQL form; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
