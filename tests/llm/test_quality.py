@@ -43,8 +43,8 @@ def brute(docs, trusted, least, buckets):
     return out
 
 
-@pytest.mark.parametrize("buckets", [1 << 14, 37])
-def test_scores_match_brute_force(spark, buckets):
+@pytest.mark.parametrize("buckets, least", [(1 << 14, -0.5), (37, -0.02)])
+def test_scores_match_brute_force(spark, buckets, least):
     rng = random.Random(5)
     words = ["an", "é", "#tag", "$5", "the", "the", "Zoë", "x" * 40] + [f"w{i}" for i in range(60)]
     docs = []
@@ -56,8 +56,8 @@ def test_scores_match_brute_force(spark, buckets):
     trusted = set(range(0, 150, 3))
     df = spark.createDataFrame([(d, t, 1, "w") for d, t in docs], "doc_id long, text string, weights int, w string").repartition(5)
     good = spark.createDataFrame([(d,) for d in trusted] + [(3,), (None,)], "doc_id long")
-    got = quality.scored(df, good, -0.02, buckets).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept").collect()
-    want = brute(docs, trusted, -0.02, buckets)
+    got = quality.scored(df, good, least, buckets).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept").collect()
+    want = brute(docs, trusted, least, buckets)
     assert sorted(((*r[:6], round(r[6], 9), *r[7:]) for r in got), key=repr) == sorted(want, key=repr)
     assert len({r.kept for r in got}) == 2
 
