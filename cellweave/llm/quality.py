@@ -43,15 +43,12 @@ def shifted(a: Column, k: int) -> Column:
     return F.slice(a, k + 1, F.greatest(F.size(a) - k, F.lit(0)))
 
 
-def neighbours(a: Column, size: int) -> Column:
-    """A hash of each run of ``size`` elements of a long array; empty when it is shorter."""
-    out = a
-    for k in range(1, size):
-        out = F.zip_with(out, shifted(a, k), lambda x, y: F.xxhash64(x, y))
-    return F.slice(out, 1, F.greatest(F.size(a) - (size - 1), F.lit(0)))
+def joined(a: Column, b: Column, k: int, size: Column) -> Column:
+    """Hashes of (a[i], b[i + k]) for the first ``size`` places."""
+    return F.slice(F.zip_with(a, shifted(b, k), lambda x, y: F.xxhash64(x, y)), 1, F.greatest(size, F.lit(0)))
 
 
-def repeated_words(hashes: Column) -> Column:
+def repeated_words(hashes: Column, pairs: Column) -> Column:
     """Words inside windows of five words that occur twice or more in the text, the first occurrence included."""
 
     def covered(windows: Column) -> Column:
@@ -72,16 +69,19 @@ def repeated_words(hashes: Column) -> Column:
     def when_repeated(windows: Column) -> Column:
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(covered(windows))
 
-    return let(neighbours(hashes, WINDOW), when_repeated)
+    # five words: two pairs and one more
+    return let(joined(joined(pairs, pairs, 2, F.size(pairs) - 2), hashes, 4, F.size(hashes) - 4), when_repeated)
 
 
-def features(hashes: Column, buckets: int) -> Column:
-    """Buckets of the words and of the word pairs of a document."""
-    return F.transform(F.concat(hashes, neighbours(hashes, 2)), lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
+def hashed(text: Column) -> Column:
+    """Struct of the characters in words, the hash of each word and the hash of each word pair of a non-null text."""
+    chars = lambda w: F.char_length(F.array_join(w, "")).cast("long").alias("chars")
+    both = lambda w, h: F.struct(chars(w), h.alias("h"), joined(h, h, 1, F.size(h) - 1).alias("p"))
+    return let(words_of(text), lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: both(w, h)))
 
 
-def word_hashes(text: Column) -> Column:
-    return F.transform(words_of(text), lambda w: F.xxhash64(w))
+def bucket(feature: Column, buckets: int) -> Column:
+    return F.pmod(feature, F.lit(buckets)).cast("int")
 
 
 def log_ratio_weights(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
@@ -89,7 +89,8 @@ def log_ratio_weights(docs: DataFrame, trusted: DataFrame, buckets: int) -> Data
     ids = sized(trusted.select(F.col("doc_id").alias("__trusted")).where("__trusted is not null").distinct())
     text = F.coalesce(F.col("text"), F.lit(""))
     marked = docs.select("doc_id", text.alias("text")).join(ids, F.col("doc_id") == F.col("__trusted"), "left")
-    found = marked.select(F.col("__trusted").isNotNull().cast("int").alias("good"), F.explode(features(word_hashes(F.col("text")), buckets)).alias("f"))
+    words = marked.select(F.col("__trusted").isNotNull().cast("int").alias("good"), hashed(F.col("text")).alias("w"))
+    found = words.select("good", F.explode(F.concat("w.h", "w.p")).alias("x")).select("good", bucket(F.col("x"), buckets).alias("f"))
     counted = found.groupBy("f").agg(F.sum("good").alias("t"), F.count(F.lit(1)).alias("r"))
     table = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("f")).join(counted, "f", "left").na.fill(0, ["t", "r"])
     rows = table.agg(F.array_sort(F.collect_list(F.struct("f", "t", "r"))).alias("a"), F.sum("t").alias("tt"), F.sum("r").alias("rr"))
@@ -106,12 +107,14 @@ def scored(docs: DataFrame, trusted: DataFrame, least_score: float = -0.12, buck
         "doc_id",
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
-        let(words_of(F.col("text")), lambda w: F.struct(F.char_length(F.array_join(w, "")).cast("long").alias("chars"), F.transform(w, lambda x: F.xxhash64(x)).alias("h"))).alias("w"),
+        hashed(F.col("text")).alias("w"),
     )
-    mean = lambda f: F.aggregate(f, F.lit(0.0), lambda acc, x: acc + F.get(F.col("weights"), x)) / F.greatest(F.size(f), F.lit(1))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.get(F.col("weights"), bucket(x, buckets)))
+    features = F.concat("w.h", "w.p")
     counts = base.withColumn("weights", weights).select(
         "doc_id", F.size("w.h").cast("long").alias("n_words"), F.col("w.chars").alias("word_chars"), "n_symbols", "n_dup_lines",
-        repeated_words(F.col("w.h")).alias("n_repeat_words"), let(features(F.col("w.h"), buckets), mean).alias("score"),
+        repeated_words(F.col("w.h"), F.col("w.p")).alias("n_repeat_words"),
+        (total(features) / F.greatest(F.size("w.h") + F.size("w.p"), F.lit(1))).alias("score"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counts.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= least_score))
