@@ -88,5 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc_fixity": warc_fixity.SQL,
+        "op3_repeats": repeats.SQL,
         "op4_crossentropy": crossentropy.SQL.format(vocabulary=VOCABULARY, prior=PRIOR),
+        "op6_vectors": vectors.SQL,
     }

@@ -537,3 +537,22 @@ def repeat_groups(docs: DataFrame, hot: int = 4096, batch_hot: int = 256) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(doc)), pa.array(np.full(len(doc), length)), pa.array(doc), pa.array(pos)], names=["repeat", "length", "dk", "start"])
 
     return _gathered(rows).mapInArrow(groups, "repeat string, length long, dk long, start long").distinct()
+
+
+#: What ``removed`` returns, in SQL, for documents with unique ids as a view.
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, len(hex(coalesce(text, ''))) // 2 AS n FROM documents),
+k AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS m FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM d)),
+f AS (SELECT m, min((doc_id, i)) AS one FROM k GROUP BY m HAVING count(*) > 1),
+later AS (SELECT k.doc_id, k.i FROM k JOIN f USING (m) WHERE (k.doc_id, k.i) <> one),
+parted AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM later),
+numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM parted),
+spans AS (SELECT doc_id, s, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY 1, 2),
+pieces AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM spans
+  UNION ALL SELECT doc_id, max(b), NULL FROM spans GROUP BY 1),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (coalesce(y, n) - x)), '' ORDER BY x) AS h FROM pieces JOIN d USING (doc_id) GROUP BY 1),
+totals AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY 1)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN totals USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

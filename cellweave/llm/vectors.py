@@ -184,3 +184,14 @@ def _links(classes: DataFrame, total: int, cosine: float, cell_rows: int, sample
 
     tasks = one.unionByName(two).repartition(*keys).sortWithinPartitions(*keys)
     return tasks.mapInArrow(compare, "u long, w long, n long")
+
+
+#: The same over all pairs, in SQL, for embeddings with unique ids as a view.
+SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0 AS ok FROM embeddings),
+link AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.ok AND b.ok AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS u, vec_id AS w FROM v UNION SELECT reach.u, link.w FROM reach JOIN link ON reach.w = link.u)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT u AS vec_id, min(w) AS component_id FROM reach GROUP BY 1) LEFT JOIN (SELECT u AS vec_id, count(*) AS n FROM link GROUP BY 1) USING (vec_id)
+"""
