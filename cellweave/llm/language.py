@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellweave.llm.common import seeded, slices, text_bytes
+from cellweave.scale import sized
 
 WINDOW = 128
 HIDDEN = 8
@@ -182,12 +183,15 @@ def learned(docs: DataFrame, per_language: int = 300, seed: int = 1, passage: in
 
     At most ``per_language`` documents of a language, a passage of at most ``passage`` characters at a seeded place of each.
     """
-    usable = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy(seeded(seed, F.col("doc_id")), "doc_id", F.crc32("text"))
-    ids = usable.where(F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", "text")
+    rows = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
+    # a few times what is wanted of each language, by hash; so what meets in a task does not grow with the corpus
+    share = sized(rows.groupBy("lang").agg((F.lit(4.0 * per_language) / F.count(F.lit(1))).alias("__share")))
+    likely = rows.withColumn("__h", seeded(seed, F.col("doc_id"))).join(share, "lang").where(F.col("__h") <= F.col("__share") * float(2**63))
+    order = Window.partitionBy("lang").orderBy("__h", "doc_id", F.crc32("text"))
+    first = likely.where(F.col("text").rlike(r"\p{L}")).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_language)
     at = F.pmod(seeded(seed + 1, F.col("doc_id")), F.greatest(F.char_length("text") - passage, F.lit(0)) + 1)
     part = F.encode(F.expr(f"substring(text, cast(__at as int) + 1, {passage})"), "utf-8")
-    sample = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).withColumn("__at", at).select("lang", part.alias("text"))
+    sample = first.withColumn("__at", at).select("lang", part.alias("text"))
     rows = sorted((r["lang"], bytes(r["text"])) for r in sample.collect())
     return train([t for _, t in rows], [lang for lang, _ in rows], seed=seed) if rows else None
 
