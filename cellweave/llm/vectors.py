@@ -1,11 +1,14 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products inside cells, one representative per group.
 
-Equal vectors are one class and are compared once. A tree of spherical k-means cells is fitted on a bounded seeded sample;
-every class is indexed in its own cell (its home). It is also sent, as a guest, to each cell that could be the home of a
-vector within the angle: with unit centroids a (nearest) and b, a vector within angle t of v can be nearer to b only if
-v.(a - b) <= tan(t) |part of (a - b) orthogonal to v|. The test holds at every node of the tree, so no link is lost whatever
-the sample was. Homes and present vectors of a cell are compared in blocks, one task per pair of blocks, by double-precision
-matrix products; a task returns link counts and a spanning star of each local component, never all pairs.
+Equal vectors are one class and are compared once. Spherical k-means cells are fitted on a bounded seeded sample; every class is
+indexed in the cell of its nearest centroid (its home) and, as a guest, in each cell whose centroid is so little farther that
+a link may be waiting there. For centroids a and b and unit vectors u and v at most r apart, (u - v).(a - b) <= r |a - b|. If
+a is nearest to v and b to u, then v is at most r |a - b| / 2 closer to a than to b, or u is to b than to a: so v is a guest in
+u's home or u in v's. The index loses no link, whatever the sample was.
+
+The homes of a cell are compared with all that is present there, in blocks, one task per pair of blocks, by double-precision
+matrix products; a task returns link counts and a spanning star of each local component, never all pairs. A pair that meets
+in both homes is counted by each side in its own, a pair that meets in one home only is counted there for both.
 
 Defined results: a vector that is null, empty, zero, or holds null or non-finite components links with nothing and is kept;
 vectors of different lengths do not link; repeated rows count as vectors of their own; null ids link but are no component
@@ -22,11 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import materialize, seeded
+from cellweave.llm.common import materialize, release_memory, seeded
 from cellweave.llm.components import components, group_bounds, local_stars, whole_groups
 
-BRANCHES = 16
-
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
@@ -47,57 +48,15 @@ def spherical_kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.nd
     return np.unique(centers, axis=0)
 
 
-def cell_tree(x: np.ndarray, total: int, cell_rows: int, seed: int = 3) -> list[tuple[np.ndarray, list[int]]]:
-    """Nodes (centroids, child per centroid); a child below 0 is the leaf cell -1 - child.
-
-    A node of the sample is split while it stands for more than ``cell_rows`` of all ``total`` rows and keeps a few sample
-    rows per centroid.
-    """
-    nodes: list[tuple[np.ndarray, list[int]]] = []
-    leaves = 0
-
-    def grow(rows: np.ndarray) -> int:
-        nonlocal leaves
-        stands_for = len(rows) * total / max(1, len(x))
-        k = min(BRANCHES, math.ceil(stands_for / cell_rows), len(rows) // 8)
-        centers = spherical_kmeans(x[rows], k, seed) if k > 1 else np.zeros((0, 0))
-        if len(centers) < 2:
-            leaves += 1
-            return -leaves
-        near = (x[rows] @ centers.T).argmax(axis=1)
-        if np.bincount(near).max() == len(rows):
-            leaves += 1
-            return -leaves
-        at = len(nodes)
-        nodes.append((centers, []))
-        nodes[at][1].extend(grow(rows[near == j]) for j in range(len(centers)))
-        return at
-
-    root = grow(np.arange(len(x)))
-    return nodes if root == 0 else []
-
-
-def cells_of(x: np.ndarray, tree: list[tuple[np.ndarray, list[int]]], cosine: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(cell, rows, home) for unit rows: the cells each row is present in, and whether it is at home there."""
-    slope = math.tan(math.acos(cosine)) * (1 + 1e-9)
-
-    def descend(node: int, rows: np.ndarray, home: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        if node < 0 or not tree:
-            yield -node, rows, home
-            return
-        centers, children = tree[node]
-        s = x[rows] @ centers.T
-        near = s.argmax(axis=1)
-        gap = s.max(axis=1)[:, None] - s
-        apart = np.maximum(0.0, 2.0 - 2.0 * (centers @ centers.T))[near]
-        within = gap <= slope * np.sqrt(np.maximum(0.0, apart - gap * gap)) + 1e-9
-        within[np.arange(len(rows)), near] = True
-        for j, child in enumerate(children):
-            pick = np.flatnonzero(within[:, j])
-            if len(pick):
-                yield from descend(child, rows[pick], home[pick] & (near[pick] == j))
-
-    yield from descend(0 if tree else -1, np.arange(len(x)), np.ones(len(x), bool))
+def cells_of(x: np.ndarray, centers: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell) of each presence of unit rows, by row and cell, and the home cell of each row."""
+    reach = math.sqrt(2 - 2 * cosine) / 2
+    s = x @ centers.T
+    home = s.argmax(axis=1)
+    apart = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (centers @ centers.T)))[home]
+    within = s.max(axis=1)[:, None] - s <= reach * (1 + 1e-9) * apart + 1e-9
+    within[np.arange(len(x)), home] = True
+    return *np.nonzero(within), home
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -105,18 +64,19 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def near_duplicates(rows: DataFrame, cosine: float = 0.95, cell_rows: int = 1024, sample_rows: int = 16_384, block_rows: int = 2048, seed: int = 3) -> DataFrame:
+def near_duplicates(rows: DataFrame, cosine: float = 0.95, cell_rows: int = 512, sample_rows: int = 16_384, block_rows: int = 2048, seed: int = 3) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row (vec_id, embedding)."""
     v = F.col("embedding")
     usable = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    given = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v"), F.coalesce(usable, F.lit(False)).alias("usable"))
+    kind = "float" if rows.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
+    given = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast(f"array<{kind}>").alias("v"), F.coalesce(usable, F.lit(False)).alias("usable"))
     classes = materialize(
         given.where("usable").groupBy("v").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first_id"))
         .withColumn("cid", F.monotonically_increasing_id()).withColumn("dim", F.size("v"))
     )
     links = []
     for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect():  # vector lengths in use
-        links.append(_links(classes.where(F.col("dim") == r["dim"]), r["n"], cosine, cell_rows, sample_rows, block_rows, seed))
+        links.append(_links(classes.where(F.col("dim") == r["dim"]), r["n"], kind, cosine, cell_rows, sample_rows, block_rows, seed))
     if links:
         found = links[0]
         for other in links[1:]:
@@ -136,50 +96,67 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95, cell_rows: int = 1024
     return joined.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(classes: DataFrame, total: int, cosine: float, cell_rows: int, sample_rows: int, block_rows: int, seed: int) -> DataFrame:
-    """Rows (u, w, n): for u = w the number of vectors linked with class u, itself included; else an edge of a star."""
+def _links(classes: DataFrame, total: int, kind: str, cosine: float, cell_rows: int, sample_rows: int, block_rows: int, seed: int) -> DataFrame:
+    """Rows (u, w, n): for u = w vectors linked with class u, itself included, to be summed; else an edge of a star."""
     chosen = classes.orderBy(seeded(seed, F.col("v")), "cid").limit(sample_rows).select("v").toArrow()
-    tree = cell_tree(unit_rows(_matrix(chosen.column("v"))), total, cell_rows, seed)
+    sample = unit_rows(_matrix(chosen.column("v")))
+    centers = spherical_kmeans(sample, max(1, min(math.ceil(total / cell_rows), len(sample) // 16)), seed)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cid, copies, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
-            for cell, at, home in cells_of(unit_rows(raw), tree, cosine):
-                flat = pa.array(raw[at].ravel())
-                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * raw.shape[1]), flat)
-                columns = [pa.array(np.full(len(at), cell)), pa.array(home), pa.array(cid[at]), pa.array(copies[at]), vectors]
-                yield pa.RecordBatch.from_arrays(columns, names=["cell", "home", "cid", "copies", "v"])
-
-    placed = materialize(classes.select("cid", "copies", "v").mapInArrow(index, "cell long, home boolean, cid long, copies long, v array<double>"))
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
+                at, cell, home = cells_of(unit_rows(_matrix(part.column(2))), centers, cosine)
+                at_home = cell == home[at]
+                # a row at home knows all cells it is present in
+                sizes = np.bincount(at, minlength=part.num_rows)
+                ends = np.cumsum(np.where(at_home, sizes[at], 0))  # presences come row by row, one of each at home
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(cell))
+                taken = part.take(pa.array(at))
+                columns = [pa.array(cell), pa.array(at_home), taken.column(0), taken.column(1), pa.array(home[at]), lists, taken.column(2)]
+                yield pa.RecordBatch.from_arrays(columns, names=["cell", "home", "cid", "copies", "own", "cells", "v"])
+            release_memory()
+
+    schema = f"cell long, home boolean, cid long, copies long, own long, cells array<long>, v array<{kind}>"
+    placed = materialize(classes.select("cid", "copies", "v").mapInArrow(index, schema))
     sizes = placed.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("present"))
     sized = placed.join(sizes, "cell").where("homes > 0")
     hb, pb = F.ceil(F.col("homes") / block_rows), F.ceil(F.col("present") / block_rows)
-    one = sized.where("home").select("cell", F.pmod(F.xxhash64("cid"), hb).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), pb - 1)).alias("j"), F.lit(0).alias("side"), "cid", "copies", "v")
-    two = sized.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), hb - 1)).alias("i"), F.pmod(F.xxhash64("cid"), pb).alias("j"), F.lit(1).alias("side"), "cid", "copies", "v")
+    rest = ["cid", "copies", "own"]
+    one = sized.where("home").select("cell", F.pmod(F.xxhash64("cid"), hb).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), pb - 1)).alias("j"), F.lit(0).alias("side"), *rest, "cells", "v")
+    two = sized.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), hb - 1)).alias("i"), F.pmod(F.xxhash64("cid"), pb).alias("j"), F.lit(1).alias("side"), *rest, F.array().cast("array<long>").alias("cells"), "v")
     keys = ["cell", "i", "j"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, keys):
             for a, b in group_bounds(table, keys):
-                part = table.slice(a, b - a)
-                side, cid, copies = (part.column(k).to_numpy() for k in ("side", "cid", "copies"))
+                part = table.slice(a, b - a).combine_chunks()
+                side, cid, copies, own = (part.column(k).to_numpy() for k in ("side", "cid", "copies", "own"))
                 x = unit_rows(_matrix(part.column("v")))
                 h, p = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
                 if not len(h) or not len(p):
                     continue
-                near = np.concatenate([x[h[k : k + 512]] @ x[p].T >= cosine for k in range(0, len(h), 512)])
-                # a class is linked with itself, whatever the rounding of its product
-                near |= cid[h][:, None] == cid[p]
+                near = np.concatenate([x[h[k : k + 256]] @ x[p].T >= cosine for k in range(0, len(h), 256)])
+                near |= cid[h][:, None] == cid[p]  # a class is linked with itself, whatever the rounding of its product
+                # guests whose home does not know the row at home: the pair is counted here for both
+                homes, of = np.unique(own[p], return_inverse=True)
+                cells = part.column("cells").combine_chunks().take(pa.array(h))
+                knows = np.zeros((len(h), len(homes)), bool)
+                row = np.repeat(np.arange(len(h)), cells.value_lengths().to_numpy())
+                where = cells.flatten().to_numpy()
+                at = np.minimum(np.searchsorted(homes, where), len(homes) - 1)
+                knows[row[homes[at] == where], at[homes[at] == where]] = True
+                alone = near & ~knows[:, of]
                 ids, back = np.unique(np.concatenate([cid[h], cid[p]]), return_inverse=True)
                 m = np.zeros((len(ids), len(ids)), bool)
                 m[np.ix_(back[: len(h)], back[len(h) :])] = near
                 m |= m.T
                 root = local_stars(len(ids), lambda r, o: m[np.ix_(r, o)])
                 far = np.flatnonzero(root != np.arange(len(ids)))
-                u, w = np.concatenate([cid[h], ids[root[far]]]), np.concatenate([cid[h], ids[far]])
-                n = np.concatenate([near @ copies[p], np.zeros(len(far), np.int64)])
+                guests = np.flatnonzero(alone.any(axis=0))
+                u = np.concatenate([cid[h], cid[p][guests], ids[root[far]]])
+                w = np.concatenate([cid[h], cid[p][guests], ids[far]])
+                n = np.concatenate([near @ copies[p], copies[h] @ alone[:, guests], np.zeros(len(far), np.int64)])
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w), pa.array(n)], names=["u", "w", "n"])
 
     tasks = one.unionByName(two).repartition(*keys).sortWithinPartitions(*keys)

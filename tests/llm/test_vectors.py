@@ -61,14 +61,14 @@ def test_null_ids_and_empty_table(spark):
 def test_every_close_pair_meets_in_a_home_cell():
     rng = np.random.default_rng(1)
     x = vectors.unit_rows(rng.standard_normal((400, 5)))
-    tree = vectors.cell_tree(x[:200], 400, 20)
-    home, present = {}, {}
-    for cell, at, own in vectors.cells_of(x, tree, 0.9):
-        for i, h in zip(at.tolist(), own.tolist()):
-            present.setdefault(i, set()).add(cell)
-            if h:
-                assert i not in home
-                home[i] = cell
-    assert len(set(home.values())) > 5
+    centers = vectors.spherical_kmeans(x[:200], 25, 3)
+    at, cell, home = vectors.cells_of(x, centers, 0.9)
+    present = [set() for _ in x]
+    for i, c in zip(at.tolist(), cell.tolist()):
+        present[i].add(c)
+    assert all(h in p for h, p in zip(home.tolist(), present)) and len(set(home.tolist())) > 10
+    one_sided = 0
     for i, j in zip(*np.nonzero(x @ x.T >= 0.9)):
-        assert home[i] in present[j]
+        assert home[i] in present[j] or home[j] in present[i]
+        one_sided += (home[i] in present[j]) != (home[j] in present[i])
+    assert one_sided > 0
