@@ -11,8 +11,10 @@ occur; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,35 +26,65 @@ from cellweave.llm.common import materialize, ranked, seeded, slices
 CLOSING_ID = 1
 
 
-class WordIds:
-    """Token ids of texts, as little-endian bytes, remembering the ids of words.
+def byte_characters() -> dict[int, str]:
+    """Byte-level vocabularies write each byte as a character: itself where it is printable, else one from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+@lru_cache(maxsize=100_000)
+def ends_in_letter(character: str) -> bool:
+    """Whether the character is still a letter at its end once it is composed and in lower case."""
+    return unicodedata.normalize("NFC", character).lower()[-1:].isalpha()
+
+
+class WordIds(dict):
+    """Word to token ids, as little-endian bytes; a word not seen before is encoded and remembered.
 
     The vocabulary's rules never look across a space, so a text's ids are the ids of its parts between spaces, one after
-    another. Two generations of at most ``keep`` words bound the memory.
+    another. A word of Latin letters only is one token run in lower case and goes to the merges at once. A comma or full
+    stop behind a letter is a run of its own, so such variants share their encoding. Two generations of about ``keep`` words
+    bound the memory.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.new, self.old = Tokenizer.from_file(path), keep, {"": b""}, {}
+        super().__init__({"": b""})
+        self.tokenizer, self.keep, self.old = Tokenizer.from_file(path), keep, {}
+        self.merge, self.characters = self.tokenizer.model.tokenize, byte_characters()
+        self.number = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        self.tails = {x: self.encoded(x) for x in ",."}
+
+    def encoded(self, word: str) -> bytes:
+        return b"".join([self.number[k] for k in self.tokenizer.encode(word, add_special_tokens=False).ids])
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
+        if len(self) > self.keep:
+            self.old = dict(self)
+            self.clear()
+            self[""] = b""
         for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            missing = [w for w in set(words) if w not in self.new]
-            if missing:
-                unknown = []
-                for w in missing:
-                    if w in self.old:
-                        self.new[w] = self.old[w]
-                    else:
-                        unknown.append(w)
-                if unknown:
-                    for w, e in zip(unknown, self.tokenizer.encode_batch(unknown, add_special_tokens=False)):
-                        self.new[w] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join(map(self.new.__getitem__, words))
-            if len(self.new) > self.keep:
-                self.old, self.new = self.new, {"": b""}
+            yield b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            last = word[-1]
+            if last in self.tails and ends_in_letter(word[-2:-1]):
+                ids = self[word[:-1]] + self.tails[last]
+            else:
+                low = word.lower()
+                if not low.isalpha() or not low.isascii() and max(low) >= "\u0250":
+                    ids = self.encoded(word)
+                elif low != word:
+                    ids = self[low]
+                else:
+                    run = low if low.isascii() else low.encode().decode("latin-1").translate(self.characters)
+                    ids = b"".join([self.number[t.id] for t in self.merge(run)])
+        self[word] = ids
+        return ids
 
 
 _IDS: dict[str, WordIds] = {}
@@ -68,7 +100,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, with_ids: bool
         words = _IDS.setdefault(tokenizer, WordIds(tokenizer)) if tokenizer not in _IDS else _IDS[tokenizer]
         step = 4 * capacity
         for part in slices(batches, 1, 1 << 20):
-            ids, texts = part.column(0).to_pylist(), (t or "" for t in part.column(1).to_pylist())
+            ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for doc, body in zip(ids, words.texts(texts)):
                 body += CLOSING_ID.to_bytes(4, "little")
