@@ -19,14 +19,47 @@ def normal_two_sided(z):
     return _erfc(np.abs(z) / math.sqrt(2.0))
 
 
+MOST_TERMS = 5_000_000
+
+
+class Unconverged(ArithmeticError):
+    """A series or fraction did not settle; no value is given out instead."""
+
+
+def _stirling_error(n):
+    """log(n!) less its Stirling approximation, for real n > 0."""
+    n = np.asarray(n, float)
+    big = np.maximum(n, 16.0)
+    r = 1 / (big * big)
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - r / 1188) * r) * r) * r) / big
+    small = np.minimum(n, 16.0)
+    exact = _lgamma(small + 1) - (small + 0.5) * np.log(small) + small - 0.5 * math.log(2 * math.pi)
+    return np.where(n < 16, exact, series)
+
+
+def _deviance(x, m):
+    """x log(x / m) + m - x without cancellation near x = m."""
+    d = (m - x) / x
+    return np.where(np.abs(d) < 0.1, x * _minus_log1p(np.clip(d, -0.1, 0.1)), x * np.log(x / m) + m - x)
+
+
+def _minus_log1p(d):
+    """d - log(1 + d) for |d| <= 0.1, by its series."""
+    out, power = np.zeros_like(d), d * d
+    for k in range(2, 20):
+        out = out + (power / k if k % 2 == 0 else -power / k)
+        power = power * d
+    return out
+
+
 def _beta_fraction(a, b, x):
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
+    """Continued fraction of the incomplete beta function (modified Lentz), run until it settles."""
     tiny = 1e-300
     c_ = np.ones_like(x)
     d = 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
-    for m in range(1, 400):
+    for m in range(1, MOST_TERMS):
         for num in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -36,9 +69,9 @@ def _beta_fraction(a, b, x):
             c_ = 1.0 + num / c_
             c_ = np.where(np.abs(c_) < tiny, tiny, c_)
             h = h * d * c_
-        if np.all(np.abs(d * c_ - 1.0) < 1e-15):
-            break
-    return h
+        if np.all(np.abs(d * c_ - 1.0) < 4e-16):
+            return h
+    raise Unconverged("incomplete beta")
 
 
 def beta_inc(a, b, x):
@@ -51,7 +84,11 @@ def beta_inc(a, b, x):
     mid = ok & (x > 0) & (x < 1)
     if mid.any():
         aa, bb, xx = a[mid], b[mid], x[mid]
-        front = np.exp(_lgamma(aa + bb) - _lgamma(aa) - _lgamma(bb) + aa * np.log(xx) + bb * np.log1p(-xx))
+        n = aa + bb
+        # x^a (1-x)^b / B(a, b) from Stirling errors and deviances, exact to rounding for any size
+        front = np.sqrt(aa * bb / (2 * math.pi * n)) * np.exp(
+            _stirling_error(n) - _stirling_error(aa) - _stirling_error(bb) - _deviance(aa, n * xx) - _deviance(bb, n * (1 - xx))
+        )
         swap = xx > (aa + 1) / (aa + bb + 2)
         a1, b1, x1 = np.where(swap, bb, aa), np.where(swap, aa, bb), np.where(swap, 1 - xx, xx)
         val = front * _beta_fraction(a1, b1, x1) / a1
@@ -77,23 +114,27 @@ def chi2_upper(x, k):
     out[ok & (x <= 0)] = 1.0
     low = ok & (x > 0) & (x < a + 1)
     high = ok & (x >= a + 1)
+    # x^a e^-x / Gamma(a)
+    front = lambda aa, xx: np.sqrt(aa / (2 * math.pi)) * np.exp(-_stirling_error(aa) - _deviance(aa, xx))
     if low.any():
         aa, xx = a[low], x[low]
         term = 1.0 / aa
         total = term.copy()
-        for n in range(1, 2000):
+        for n in range(1, MOST_TERMS):
             term = term * xx / (aa + n)
             total += term
-            if np.all(np.abs(term) < np.abs(total) * 1e-16):
+            if np.all(np.abs(term) < np.abs(total) * 1e-17):
                 break
-        out[low] = 1 - total * np.exp(-xx + aa * np.log(xx) - _lgamma(aa))
+        else:
+            raise Unconverged("incomplete gamma")
+        out[low] = 1 - total * front(aa, xx)
     if high.any():
         aa, xx = a[high], x[high]
         b = xx + 1 - aa
         c_ = np.full_like(b, 1e300)
         d = 1 / b
         h = d.copy()
-        for i in range(1, 2000):
+        for i in range(1, MOST_TERMS):
             an = -i * (i - aa)
             b = b + 2
             d = an * d + b
@@ -101,56 +142,84 @@ def chi2_upper(x, k):
             c_ = b + an / c_
             c_ = np.where(np.abs(c_) < 1e-300, 1e-300, c_)
             h = h * d * c_
-            if np.all(np.abs(d * c_ - 1) < 1e-15):
+            if np.all(np.abs(d * c_ - 1) < 4e-16):
                 break
-        out[high] = h * np.exp(-xx + aa * np.log(xx) - _lgamma(aa))
+        else:
+            raise Unconverged("incomplete gamma")
+        out[high] = h * front(aa, xx)
     return out
 
 
-@lru_cache(maxsize=256)
-def _u_upper_tail(n1: int, n2: int):
-    """Exact P(U >= u) for u = 0..n1*n2 without ties, from the Gaussian binomial coefficients."""
-    size = n1 * n2 + 1
-    poly = [0] * size
-    poly[0] = 1
-    for i in range(1, n1 + 1):
-        top = n2 + i
-        for u in range(size - 1, top - 1, -1):
-            poly[u] -= poly[u - top]
-        for u in range(i, size):
-            poly[u] += poly[u - i]
-    total = math.comb(n1 + n2, n1)
-    tail, run = [0.0] * size, 0
-    for u in range(size - 1, -1, -1):
-        run += poly[u]
-        tail[u] = run / total
-    return tail
+@lru_cache(maxsize=32)
+def _partition_table(n1: int) -> tuple[int, list[list[int]]]:
+    """(period, forward differences per residue) of the number of partitions with parts 1, 1, 2, 3, ..., n1.
+
+    That number is, for each residue modulo lcm(1..n1), a polynomial of degree n1 in the quotient.
+    """
+    period = math.lcm(*range(1, n1 + 1))
+    count = [1] * (period * (n1 + 1))
+    for part in range(1, n1 + 1):
+        for t in range(part, len(count)):
+            count[t] += count[t - part]
+    table = []
+    for r in range(period):
+        values, first = count[r::period], []
+        while values:
+            first.append(values[0])
+            values = [b - a for a, b in zip(values, values[1:])]
+        table.append(first)
+    return period, table
+
+
+def _u_at_most(u: int, n1: int, n2: int) -> float:
+    """Exact P(U <= u) without ties, at a cost that depends on the smaller group only.
+
+    Counts the partitions of 0..u into at most n1 parts of at most n2: the generating function's numerator is expanded, its
+    denominator's coefficients come from ``_partition_table``.
+    """
+    n1, n2 = min(n1, n2), max(n1, n2)
+    period, table = _partition_table(n1)
+    total = 0
+    for mask in range(1 << n1):
+        t = u - sum(n2 + i + 1 for i in range(n1) if mask >> i & 1)
+        if t >= 0:
+            q, r = divmod(t, period)
+            ways = sum(d * math.comb(q, k) for k, d in enumerate(table[r]))
+            total += -ways if mask.bit_count() % 2 else ways
+    return total / math.comb(n1 + n2, n1)
 
 
-EXACT_MAX = 8  # fixed value: exact distribution when the smaller group is at most this and nothing is tied
-_EXACT_CELLS = 200_000
+EXACT_MAX = 8  # fixed value: with method "auto", exact when the smaller group is at most this and nothing is tied
 
 
-def mwu_two_sided(u1, n1, n2, tie_term):
-    """Two-sided Mann-Whitney p: exact for small tie-free groups, else normal with tie and continuity terms.
+def mwu_method(n1: Column, n2: Column, tie_term: Column, method: str = "auto") -> Column:
+    """Which distribution ``mwu_two_sided`` uses: exact or asymptotic."""
+    if method != "auto":
+        return F.lit(method)
+    return F.when((tie_term == 0) & (F.least(n1, n2) <= EXACT_MAX), "exact").otherwise("asymptotic")
 
-    ``tie_term`` is the sum of t^3 - t over tied values.
+
+def mwu_two_sided(u1, n1, n2, tie_term, exact=None):
+    """Two-sided Mann-Whitney p: exact where ``exact`` is 1 (tie-free), else normal with tie and continuity terms.
+
+    ``tie_term`` is the sum of t^3 - t over tied values. Without ``exact`` the rule of method "auto" decides.
     """
+    u1, n1, n2, tie_term = (np.asarray(v, float) for v in (u1, n1, n2, tie_term))
+    exact = (tie_term == 0) & (np.minimum(n1, n2) <= EXACT_MAX) if exact is None else np.asarray(exact) == 1
     out = np.full(len(u1), np.nan)
-    for i, (u, a, b, ties) in enumerate(zip(u1, n1, n2, tie_term)):
-        if not (a > 0 and b > 0):
-            continue
-        a, b = int(a), int(b)
-        top = max(u, a * b - u)
-        if ties == 0 and min(a, b) <= EXACT_MAX and a * b <= _EXACT_CELLS:
-            out[i] = min(1.0, 2 * _u_upper_tail(min(a, b), max(a, b))[int(round(top))])
-            continue
-        n = a + b
-        var = a * b / 12.0 * ((n + 1) - ties / (n * (n - 1.0)))
-        if var <= 0:
-            out[i] = 1.0
-            continue
-        out[i] = min(1.0, math.erfc((top - a * b / 2.0 - 0.5) / math.sqrt(2.0 * var)))
+    a, b, n = n1, n2, n1 + n2
+    top = np.maximum(u1, a * b - u1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        var = a * b / 12.0 * ((n + 1) - tie_term / (n * (n - 1.0)))
+        z = (top - a * b / 2.0 - 0.5) / np.sqrt(2.0 * var)
+    some = (a > 0) & (b > 0)
+    normal = some & (var > 0)
+    out[some] = 1.0
+    if normal.any():
+        out[normal] = np.minimum(1.0, _erfc(z[normal]))
+    for i in np.flatnonzero(some & exact):
+        x, y = int(a[i]), int(b[i])
+        out[i] = min(1.0, 2 * _u_at_most(x * y - int(round(top[i])), x, y))
     return out
 
 
@@ -223,13 +292,22 @@ def _four(fn, name):
     return F.pandas_udf(f, "double")
 
 
+def _five(fn, name):
+    base = _wrap(fn, name)
+
+    def f(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series) -> pd.Series:
+        return base(a, b, c, d, e)
+
+    return F.pandas_udf(f, "double")
+
+
 def _udfs():
     return {
         "normal_p": _one(normal_two_sided, "normal_p"),
         "t_p": _two(t_two_sided, "t_p"),
         "f_p": _three(f_upper, "f_p"),
         "chi2_p": _two(chi2_upper, "chi2_p"),
-        "mwu_p": _four(mwu_two_sided, "mwu_p"),
+        "mwu_p": _five(mwu_two_sided, "mwu_p"),
         "fisher_p": _four(fisher_two_sided, "fisher_p"),
     }
 

@@ -507,14 +507,6 @@ def significance_label(min_p: Column, d: Column, n1: Column, n2: Column) -> Colu
     return F.concat(text, note)
 
 
-def effect_annotation(d: Column, fold_change: Column) -> Column:
-    """Two-line text with effect size and fold change."""
-    known = d.isNotNull() & ~F.isnan(d)
-    d_text = F.when(known, F.concat(F.format_string("d=%.2f", d), F.lit(" ("), effect_label(d), F.lit(")"))).otherwise("d=NA (NA)")
-    usable = fold_change.isNotNull() & ~F.isnan(fold_change) & (F.abs(fold_change) != float("inf"))
-    return F.concat(d_text, F.lit("\n"), F.when(usable, F.format_string("FC=%.2fx", fold_change)).otherwise("FC=NA"))
-
-
 # Sample-level QC limits.
 SAMPLE_LIMITS = {
     "min_cells": 20_000,
@@ -526,28 +518,34 @@ SAMPLE_LIMITS = {
 }
 
 
+# Column, side of the limit that counts, limit, level, text, format of the measured value, unit.
+STATUS_RULES = [
+    ("n_cells", "<", "min_cells", "WARN", "Low cell count", "%,d", ""),
+    ("median_counts", "<", "min_median_transcripts_per_cell", "FAIL", "Low median transcripts", "%.1f", ""),
+    ("median_genes", "<", "min_median_genes_per_cell", "FAIL", "Low median genes", "%.1f", ""),
+    ("pct_zero_count_cells", ">", "max_pct_empty", "WARN", "High empty cells", "%.1f", "%"),
+    ("median_protein_counts", "<", "min_median_protein_counts", "WARN", "Low protein counts", "%.1f", ""),
+    ("pct_protein_positive", "<", "min_pct_protein_positive", "WARN", "Low protein+ cells", "%.1f", "%"),
+]
+
+
 def sample_status(df: DataFrame, limits: Mapping[str, float] = SAMPLE_LIMITS) -> DataFrame:
-    """PASS, WARN or FAIL with the joined reasons; rules on absent columns are skipped."""
-    rules = [
-        ("n_cells", "<", "min_cells", "WARN", "Low cell count"),
-        ("median_counts", "<", "min_median_transcripts_per_cell", "FAIL", "Low median transcripts"),
-        ("median_genes", "<", "min_median_genes_per_cell", "FAIL", "Low median genes"),
-        ("pct_zero_count_cells", ">", "max_pct_empty", "WARN", "High empty cells"),
-        ("median_protein_counts", "<", "min_median_protein_counts", "WARN", "Low protein counts"),
-        ("pct_protein_positive", "<", "min_pct_protein_positive", "WARN", "Low protein+ cells"),
-    ]
+    """PASS, WARN or FAIL with the joined reasons, each with its measured value, or "OK"; rules on absent columns are skipped."""
     fail, warn, reasons = F.lit(False), F.lit(False), []
-    for col, op, limit, level, text in rules:
+    for col, op, limit, level, text, form, unit in STATUS_RULES:
         if col not in df.columns or limit not in limits:
             continue
         hit = F.coalesce(c(col) < limits[limit] if op == "<" else c(col) > limits[limit], F.lit(False))
-        reasons.append(F.when(hit, F.lit(f"{text} {op} {limits[limit]:g}")))
+        value = F.format_string(form, c(col).cast("long" if form == "%,d" else "double"))
+        shown = f"{limits[limit]:,}" if form == "%,d" else str(limits[limit])
+        reasons.append(F.when(hit, F.concat(F.lit(f"{text}: "), value, F.lit(f"{unit} {op} {shown}{unit}"))))
         if level == "FAIL":
             fail = fail | hit
         else:
             warn = warn | hit
     status = F.when(fail, "FAIL").when(warn, "WARN").otherwise("PASS")
-    return df.withColumn("status", status).withColumn("reasons", F.array_join(F.array_compact(F.array(*reasons)), "; "))
+    joined = F.array_join(F.array_compact(F.array(*reasons)), "; ") if reasons else F.lit("")
+    return df.withColumn("status", status).withColumn("reasons", F.when(joined == "", "OK").otherwise(joined))
 
 
 def dict_rows(df: DataFrame, keys: Sequence[str], text: str, status: str = "success") -> DataFrame:

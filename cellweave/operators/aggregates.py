@@ -46,8 +46,9 @@ def top_n_sizes(n_genes: int) -> list[int]:
     return [50, 100, 200] if n_genes < 500 else [50, 100, 200, 500]
 
 
-def percent_in_top(counts: DataFrame, keys: Sequence[str], sizes: Sequence[int]) -> DataFrame:
-    """Percent of a cell's counts in its n largest genes (window over one cell's genes)."""
+def percent_in_top(counts: DataFrame, keys: Sequence[str], sizes: Sequence[int] | None = None) -> DataFrame:
+    """Percent of a cell's counts in its n largest genes (window over one cell's genes); n by the panel's size unless given."""
+    sizes = sizes or top_n_sizes(counts.select("gene").distinct().count())
     w = Window.partitionBy(*[c(k) for k in keys]).orderBy(F.col("count").desc(), F.col("gene"))
     total = F.sum("count")
     return counts.withColumn("__rn", F.row_number().over(w)).groupBy(*keys).agg(

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellweave.operators.aggregates import n_rows
-from cellweave.operators.clean import subsample
 from cellweave.operators.neighbors import _rows, nearest_in_embedding
 from cellweave.scale import attach, c, materialize, spread, top_n, with_group_stats
 
@@ -39,8 +38,8 @@ def cell_vectors(values: DataFrame, cell: Sequence[str], features: Sequence[str]
     @F.pandas_udf("array<double>")
     def dense(i: pd.Series, v: pd.Series) -> pd.Series:
         out = np.zeros((len(i), n))
-        for row, (a, b) in enumerate(zip(i, v)):
-            out[row, a] = b
+        if len(i):
+            out[np.repeat(np.arange(len(i)), i.str.len()), np.concatenate(i.to_numpy())] = np.concatenate(v.to_numpy())
         return pd.Series(list(out))
 
     kept = values.select(*_cols(cell), c(feature), c(value).cast("double").alias("__x")).join(F.broadcast(index), feature)
@@ -255,37 +254,24 @@ def lisi(edges: DataFrame, cells: DataFrame, batch: str, id_col: str = "cell_id"
     return n.groupBy(F.col("src").alias(id_col)).agg((total * total / sq).cast("double").alias("lisi"))
 
 
-def silhouette(df: DataFrame, id_col: str, vec: str, label: str, n: int = 10_000, seed: int = 42) -> DataFrame:
-    """Exact Euclidean silhouette per row of a hash-chosen sample of at most ``n`` rows.
+def silhouette(df: DataFrame, id_col: str, vec: str, label: str) -> DataFrame:
+    """Silhouette of every row by squared Euclidean distance; a label of one row gives 0.
 
-    The sample is the measure's definition and bounds what every task holds.
+    The mean squared distance to a label's rows needs only their number, mean and mean squared norm, so one aggregation
+    serves all rows and no pairs are formed.
     """
-    picked = subsample(df.withColumn("__all", F.lit(0)), ["__all"], n, id_col, seed).select(c(id_col).alias("id"), c(vec).cast("array<double>").alias("v"), c(label).cast("string").alias("l"))
-    held = materialize(picked)
-    rows = held.select("v", "l").collect()
-    m, labels = np.array([r["v"] for r in rows], float), np.array([r["l"] for r in rows])
-    names = sorted(set(labels))
-    onehot = np.stack([labels == x for x in names], axis=1).astype(float)
-    size = onehot.sum(0)
-
-    @F.pandas_udf("double")
-    def score(v: pd.Series, lab: pd.Series) -> pd.Series:
-        out = np.zeros(len(v))
-        q = _rows(v)
-        for s in range(0, len(q), 256):
-            part = q[s : s + 256]
-            d = np.sqrt(np.maximum(0.0, ((part[:, None, :] - m[None, :, :]) ** 2).sum(2))) if m.size * len(part) < 5e7 else np.stack([np.sqrt(((m - r) ** 2).sum(1)) for r in part])
-            tot = d @ onehot
-            own = np.array([names.index(x) for x in lab.iloc[s : s + 256]])
-            at = np.arange(len(part))
-            a = tot[at, own] / np.maximum(size[own] - 1, 1)
-            other = tot / size
-            other[at, own] = np.inf
-            b = other.min(1)
-            out[s : s + 256] = np.where(size[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-        return pd.Series(out)
-
-    return held.select(F.col("id").alias(id_col), F.col("l").alias(label), score("v", "l").alias("silhouette"))
+    rows = df.select(c(id_col).alias("id"), c(vec).cast("array<double>").alias("v"), c(label).cast("string").alias("l")).where("v is not null and l is not null")
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    stats = rows.groupBy("l").agg(n_rows().cast("double").alias("n"), vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("m"), F.avg(norm).alias("q"))
+    packed = stats.agg(F.collect_list(F.struct("l", "n", "m", "q")).alias("ls")).withColumn("__all", F.lit(0))
+    held = attach(rows.withColumn("__all", F.lit(0)), packed, ["__all"]).withColumn("w", norm)
+    dot = lambda m: F.aggregate(F.zip_with(m, "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    far = F.transform("ls", lambda e: F.struct(e["l"].alias("l"), e["n"].alias("n"), F.greatest(F.lit(0.0), F.col("w") - 2 * dot(e["m"]) + e["q"]).alias("d")))
+    t = held.withColumn("far", far).select(
+        "id", "l", F.filter("far", lambda e: e["l"] == F.col("l"))[0].alias("own"), F.array_min(F.transform(F.filter("far", lambda e: e["l"] != F.col("l")), lambda e: e["d"])).alias("b"))
+    a = F.col("own.d") * F.col("own.n") / (F.col("own.n") - 1)
+    score = F.when(F.col("own.n") <= 1, 0.0).otherwise((F.col("b") - a) / F.greatest(a, F.col("b"), F.lit(1e-300)))
+    return t.select(F.col("id").alias(id_col), F.col("l").alias(label), score.alias("silhouette"))
 
 
 def batch_report(lisi_rows: DataFrame, sil_rows: DataFrame, min_lisi: float = 3.0, max_sil: float = 0.3) -> DataFrame:

@@ -238,14 +238,26 @@ def _rows(col: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in col]) if len(col) else np.zeros((0, 0))
 
 
-def _pick_nearest(q: np.ndarray, m: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and exact distances of the n nearest rows of ``m`` for each row of ``q``."""
-    rough = (q * q).sum(1)[:, None] - 2 * (q @ m.T) + (m * m).sum(1)[None, :]
-    take = min(n + 8, m.shape[0])
-    idx = np.argpartition(rough, take - 1, axis=1)[:, :take] if take < m.shape[0] else np.tile(np.arange(m.shape[0]), (len(q), 1))
-    d = np.sqrt(((m[idx] - q[:, None, :]) ** 2).sum(2))
-    order = np.argsort(d, axis=1, kind="stable")[:, :n]
-    return np.take_along_axis(idx, order, 1), np.take_along_axis(d, order, 1)
+def _pick_nearest(q: np.ndarray, m: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``q``, row of ``m``, exact distance) of the n nearest rows and of every row as near as the n-th.
+
+    The product form of the distance only makes a shortlist: both sides are centred, and all rows within the rounding error
+    of the n-th are measured exactly, so neither large norms nor ties lose a neighbour.
+    """
+    middle = m.mean(0)
+    a, b = q - middle, m - middle
+    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    rough = aa[:, None] - 2 * (a @ b.T) + bb[None, :]
+    cut = np.partition(rough, min(n, len(m)) - 1, axis=1)[:, min(n, len(m)) - 1]
+    slack = 8e-16 * (q.shape[1] + 8) * (aa + bb.max())
+    i, j = np.nonzero(rough <= (cut + 2 * slack)[:, None])
+    d = np.sqrt(((m[j] - q[i]) ** 2).sum(1))
+    order = np.lexsort((d, i))
+    i, j, d = i[order], j[order], d[order]
+    first = np.searchsorted(i, np.arange(len(q)))
+    last = np.minimum(first + min(n, len(m)) - 1, np.append(first[1:], len(i)) - 1)
+    keep = d <= d[last][i]
+    return i[keep], j[keep], d[keep]
 
 
 def _near_udf(id_type: str, n: int):
@@ -254,12 +266,12 @@ def _near_udf(id_type: str, n: int):
         out = []
         for qs, ms, id_lists in zip(queries, blocks, ids):
             q, m = _rows(qs), _rows(ms)
-            idx, d = _pick_nearest(q, m, n)
-            out.append([
-                sorted(((float(dd), i) for j, dd in zip(row, dist) for i in id_lists[j]), key=lambda e: (e[0], e[1]))[:n]
-                for row, dist in zip(idx, d)
-            ])
-        return pd.Series([[[{"d": a, "id": b} for a, b in e] for e in o] for o in out])
+            found: list[list] = [[] for _ in range(len(q))]
+            for s in range(0, len(q), 512):
+                for i, j, d in zip(*(x.tolist() for x in _pick_nearest(q[s : s + 512], m, n))):
+                    found[s + i].extend((d, x) for x in id_lists[j])
+            out.append([[{"d": d, "id": x} for d, x in sorted(e)[:n]] for e in found])
+        return pd.Series(out)
 
     return near
 
@@ -288,65 +300,93 @@ def _to_closest_pivot(sites: DataFrame, pivots: DataFrame, keys: Sequence[str])
         pivot, dist = np.zeros(len(v), np.int32), np.zeros(len(v))
         for g, at in group.groupby(group, sort=False).indices.items():
             number, m = packed_np[g]
-            idx, d = _pick_nearest(_rows(v.iloc[at]), m, 1)
-            pivot[at], dist[at] = number[idx[:, 0]], d[:, 0]
+            i, j, d = _pick_nearest(_rows(v.iloc[at]), m, 1)
+            one = np.searchsorted(i, np.arange(len(at)))
+            pivot[at], dist[at] = number[j[one]], d[one]
         return pd.DataFrame({"pivot": pivot, "d": dist})
 
     return sites.withColumn("a", closest(F.concat_ws("\x1f", *[c(k).cast("string") for k in keys]), F.col("v")))
 
 
-def nearest_in_embedding(points: DataFrame, keys: Sequence[str], k: int, id_col: str = "cell_id", vec: str = "embedding", n_pivots: int = 64, probes: int | None = None, cap: int = 512, seed: int = 0) -> DataFrame:
-    """k nearest rows by Euclidean distance of an array column: (src, dst, dist, rank), self excluded.
+def nearest_in_embedding(points: DataFrame, keys: Sequence[str], k: int, id_col: str = "cell_id", vec: str = "embedding", n_pivots: int | None = None, probes: int | None = None, cap: int = 512, seed: int = 0) -> DataFrame:
+    """k nearest rows by Euclidean distance of an array column: (src, dst, dist, rank), self excluded, ties by id.
 
-    Rows go to the nearest of ``n_pivots`` hash-chosen pivots of their group and are packed into blocks of about
-    ``cap`` rows. A block is compared with the blocks that the triangle inequality cannot rule out, which is
-    exact; ``probes`` limits the comparison to the blocks of the nearest pivots, the usual approximate search for
-    tables too large for an exact answer.
+    Rows go to the nearest of ``n_pivots`` hash-chosen pivots of their group (the square root of its size, unless given) and
+    are packed into blocks of about ``cap`` rows. A block is compared with the blocks that the triangle inequality cannot
+    rule out, which is exact; block pairs are chosen before any vector moves. ``probes`` limits the comparison to the blocks
+    of the nearest pivots: the usual approximate search, and the one to use for large tables of high dimension, in which
+    little can be ruled out. Keys of any type, null included, make groups.
     """
-    if not keys:
-        whole = points.withColumn("__all", F.lit(0))
-        return nearest_in_embedding(whole, ["__all"], k, id_col, vec, n_pivots, probes, cap, seed).drop("__all")
     keys = list(keys)
     id_type = points.schema[id_col].dataType.simpleString()
-    p = points.select(*_cols(keys), c(id_col).alias("id"), c(vec).cast("array<double>").alias("v")).where("v is not null")
+    row = [c(id_col).alias("id"), c(vec).cast("array<double>").alias("v")]
+    if keys:
+        groups = materialize(points.select(*_cols(keys)).distinct().withColumn("__g", F.monotonically_increasing_id()))
+        named = groups.select("__g", *[c(x).alias(f"__k_{x}") for x in keys])
+        on = [c(x).eqNullSafe(c(f"__k_{x}")) for x in keys]
+        p = points.select(*_cols(keys), *row).join(sized(named), reduce(lambda a, b: a & b, on)).select("__g", "id", "v")
+    else:
+        p = points.select(F.lit(0).cast("long").alias("__g"), *row)
+    found = _nearest_of_groups(p.where("v is not null"), k, id_type, n_pivots, probes, cap, seed)
+    if not keys:
+        return found.drop("__g")
+    return found.join(sized(groups), "__g").select(*_cols(keys), "src", "dst", "dist", "rank")
+
+
+def _nearest_of_groups(p: DataFrame, k: int, id_type: str, n_pivots: int | None, probes: int | None, cap: int, seed: int) -> DataFrame:
+    """The search over rows (__g, id, v)."""
+    keys = ["__g"]
     sites = materialize(_sites(p, keys, ["v"], k))
-    pivot_rank = Window.partitionBy(*_cols(keys)).orderBy(F.xxhash64(F.lit(seed), F.col("v")), F.col("v"))
-    chosen = sites.withColumn("pivot", F.row_number().over(pivot_rank)).where(F.col("pivot") <= n_pivots)
-    pivots = materialize(chosen.select(*_cols(keys), "pivot", F.col("v").alias("pv")))
-    placed = materialize(_to_closest_pivot(sites, pivots, keys).select(*_cols(keys), "v", "ids", "a.pivot", F.col("a.d").alias("pd")))
-    sizes = placed.groupBy(*_cols(keys), "pivot").agg(F.ceil(F.count(F.lit(1)) / cap).cast("long").alias("chunks"))
-    block_key = [*keys, "pivot", "chunk"]
+    wanted = sites.groupBy("__g").agg((F.lit(n_pivots) if n_pivots else F.ceil(F.sqrt(F.count(F.lit(1))))).cast("int").alias("wanted"))
+    # about the wanted number by a hash threshold, so that no group is ordered whole; the smallest hash is always there
+    h = F.pmod(F.xxhash64(F.lit(seed), F.col("v")), F.lit(1 << 40))
+    hashed = sites.select("__g", "v", h.alias("h"))
+    n = hashed.groupBy("__g").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least"))
+    share = F.least(F.lit(1.0), 2.0 * F.col("wanted") / F.col("n")) * float(1 << 40)
+    near_least = attach(attach(hashed, wanted, keys), n, keys).where((F.col("h") <= share) | (F.col("h") == F.col("least")))
+    pivot_rank = Window.partitionBy("__g").orderBy("h", "v")
+    chosen = near_least.withColumn("pivot", F.row_number().over(pivot_rank)).where(F.col("pivot") <= F.col("wanted"))
+    pivots = materialize(chosen.select("__g", "pivot", F.col("v").alias("pv")))
+    placed = materialize(_to_closest_pivot(sites, pivots, keys).select("__g", "v", "ids", "a.pivot", F.col("a.d").alias("pd")))
+    sizes = placed.groupBy("__g", "pivot").agg(F.ceil(F.count(F.lit(1)) / cap).cast("long").alias("chunks"))
+    block_key = ["__g", "pivot", "chunk"]
     blocks = materialize(
-        attach(placed, sizes, [*keys, "pivot"]).withColumn("chunk", F.pmod(F.xxhash64(F.col("v")), F.col("chunks")))
-        .groupBy(*_cols(block_key)).agg(
+        attach(placed, sizes, ["__g", "pivot"]).withColumn("chunk", F.pmod(F.xxhash64(F.col("v")), F.col("chunks")))
+        .groupBy(*block_key).agg(
             F.collect_list(F.struct("v", "ids")).alias("pts"), F.min("pd").alias("r_min"), F.max("pd").alias("r_max")
         )
     )
     near = _near_udf(id_type, k + 1)
     local = materialize(
-        spread(blocks, block_key).select(*_cols(block_key), "r_max", "pts", near(F.col("pts.v"), F.col("pts.v"), F.col("pts.ids")).alias("near"))
+        spread(blocks, block_key).select(*block_key, "r_min", "r_max", "pts", near(F.col("pts.v"), F.col("pts.v"), F.col("pts.ids")).alias("near"))
         .withColumn("reach", F.expr(f"array_max(transform(near, e -> if(size(e) > {k}, element_at(e, {k + 1}).d, double('Infinity'))))"))
     )
-    gap = pivots.select(*_cols(keys), "pivot", "pv")
+    gap = pivots.select("__g", "pivot", "pv")
     far = F.expr("sqrt(aggregate(zip_with(pv, qv, (a, b) -> pow(a - b, 2)), 0D, (s, e) -> s + e))")
-    other = gap.select(*_cols(keys), F.col("pivot").alias("to"), F.col("pv").alias("qv"))
-    steps = gap.join(other, keys).select(*_cols(keys), "pivot", "to", far.alias("gap"))
+    other = gap.select("__g", F.col("pivot").alias("to"), F.col("pv").alias("qv"))
+    steps = gap.join(other, keys).select("__g", "pivot", "to", far.alias("gap"))
     if probes is not None:
-        steps = steps.withColumn("__rn", F.row_number().over(Window.partitionBy(*_cols(keys), F.col("pivot")).orderBy("gap", "to"))).where(F.col("__rn") <= probes).drop("__rn")
-    search = local.select(*_cols(block_key), "r_max", "reach", F.col("pts.v").alias("qs")).join(sized(steps), [*keys, "pivot"])
-    target = blocks.select(*_cols(keys), F.col("pivot").alias("to"), F.col("chunk").alias("to_chunk"), "r_min", F.col("r_max").alias("to_max"), "pts")
+        steps = steps.withColumn("__rn", F.row_number().over(Window.partitionBy("__g", "pivot").orderBy("gap", "to"))).where(F.col("__rn") <= probes).drop("__rn")
+    one = local.select(*block_key, "r_max", "reach")
+    two = local.select("__g", F.col("pivot").alias("to"), F.col("chunk").alias("to_chunk"), "r_min", F.col("r_max").alias("to_max"))
     lower = F.greatest(F.col("gap") - F.col("r_max") - F.col("to_max"), F.col("r_min") - F.col("gap") - F.col("r_max"))
+    slack = 1e-9 * (F.col("gap") + F.col("r_max") + F.col("to_max"))
     same = (F.col("pivot") == F.col("to")) & (F.col("chunk") == F.col("to_chunk"))
-    met = spread(search.join(target, [*keys, "to"]).where((lower <= F.col("reach")) & ~same), ["to", "to_chunk", "pivot", "chunk"])
-    more = met.select(F.explode(F.arrays_zip("qs", near(F.col("qs"), F.col("pts.v"), F.col("pts.ids")).alias("near"))).alias("z"), *_cols(keys)).select(
-        *_cols(keys), F.col("z.qs").alias("v"), F.col("z.near").alias("near"))
-    mine = local.select(*_cols(keys), F.explode(F.arrays_zip(F.col("pts.v").alias("v"), "near")).alias("z")).select(*_cols(keys), "z.v", "z.near")
-    best = mine.unionByName(more).groupBy(*_cols(keys), "v").agg(F.expr(f"slice(sort_array(flatten(collect_list(near))), 1, {k + 1})").alias("near"))
-    return _ranked(p.join(best, [*keys, "v"]), keys, k)
+    pairs = one.join(steps, ["__g", "pivot"]).join(two, ["__g", "to"]).where((lower <= F.col("reach") + slack) & ~same)
+    pairs = materialize(pairs.select(*block_key, "to", "to_chunk"))
+    met = pairs.join(local.select(*block_key, F.col("pts.v").alias("qs")), block_key)
+    met = met.join(blocks.select("__g", F.col("pivot").alias("to"), F.col("chunk").alias("to_chunk"), "pts"), ["__g", "to", "to_chunk"])
+    met = spread(met, ["to", "to_chunk", "pivot", "chunk"])
+    more = met.select(F.explode(F.arrays_zip("qs", near(F.col("qs"), F.col("pts.v"), F.col("pts.ids")).alias("near"))).alias("z"), "__g").select(
+        "__g", F.col("z.qs").alias("v"), F.col("z.near").alias("near"))
+    mine = local.select("__g", F.explode(F.arrays_zip(F.col("pts.v").alias("v"), "near")).alias("z")).select("__g", "z.v", "z.near")
+    best = mine.unionByName(more).groupBy("__g", "v").agg(F.expr(f"slice(sort_array(flatten(collect_list(near))), 1, {k + 1})").alias("near"))
+    return _ranked(p.join(best, ["__g", "v"]), keys, k)
 
 
 def symmetric(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Undirected closure: both directions of every edge, once each."""
+    """Undirected closure: both directions of every edge, once each. The edges are stored first, since they are read twice."""
+    edges = materialize(edges.select(*_cols(keys), "src", "dst", "dist"))
     back = edges.select(*_cols(keys), F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")
     return edges.select(*_cols(keys), "src", "dst", "dist").unionByName(back).groupBy(*_cols(keys), "src", "dst").agg(F.min("dist").alias("dist"))
 

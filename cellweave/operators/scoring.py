@@ -176,33 +176,3 @@ def multivariate_activity(counts: DataFrame, net: DataFrame, cell: Sequence[str]
     long = t.select(*cell, F.posexplode("t").alias("i", "t_value"))
     source = F.element_at(F.array(*[F.lit(nm) for nm in names]), F.col("i") + 1)
     return long.select(*cell, source.alias("source"), "t_value", dist.call("t_p", F.col("t_value"), F.lit(float(dof))).alias("p_value"))
-
-
-def cluster_annotation(df: DataFrame, cluster: Sequence[str], gates=sc.IMMUNE_SIGNED, low: float = 0.6) -> DataFrame:
-    """Label immune clusters: best mean probability, functional modifiers, low-confidence prefix.
-
-    Marker scores are scaled by P5-P95 over all given cells; a modifier is added when the cluster's mean of its
-    marker exceeds the overall P70.
-    """
-    modifiers = {"Exhausted": "PD1", "Proliferating": "KI67", "Checkpoint_ligand": "PDL1"}  # fixed values
-    t = df
-    for g in gates:
-        t = t.withColumn(f"__raw_{g.label}", sc.signed_score(g))
-    t = sc.robust_scaled(t, [], {f"s_{g.label}": f"__raw_{g.label}" for g in gates}, 0.05, 0.95)
-    ps = sc.softmax({g.label: c(f"s_{g.label}") for g in gates}, 2.0)
-    means = t.groupBy(*cluster).agg(
-        n_rows().alias("n_cells"), *[F.avg(p).alias(f"p_{g}") for g, p in ps.items()], *[F.avg(c(m)).alias(f"m_{m}") for m in modifiers.values()]
-    )
-    limits = exact_quantiles(df, [], {f"q_{m}": (m, 0.7) for m in modifiers.values()}).withColumn("__all", F.lit(0))
-    j = attach(means.withColumn("__all", F.lit(0)), limits, ["__all"])
-    name, best = sc.arg_max({g.label: c(f"p_{g.label}") for g in gates})
-    base = F.when(best < low, F.concat(F.lit("Low_confidence_"), name)).otherwise(name)
-    extra = F.array_join(F.array_compact(F.array(*[F.when(c(f"m_{m}") > c(f"q_{m}"), F.lit(label)) for label, m in modifiers.items()])), "+")
-    annotation = F.when(extra != "", F.concat_ws("_", base, extra)).otherwise(base)
-    return j.select(*cluster, "n_cells", annotation.alias("annotation"), best.alias("confidence"))
-
-
-def annotate_cells(cells: DataFrame, annotations: DataFrame, cluster: Sequence[str], lineage_confidence: str) -> DataFrame:
-    """Cluster label on each cell; confidence 0.7 of the cluster's plus 0.3 of the cell's lineage confidence."""
-    j = attach(cells, annotations.select(*cluster, "annotation", "confidence"), cluster)
-    return j.withColumn("cell_type_confidence", 0.7 * F.col("confidence") + 0.3 * c(lineage_confidence))

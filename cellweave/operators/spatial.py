@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import dist as tails
 from cellweave.operators.aggregates import grid_bins, grid_means, n_rows
-from cellweave.operators.statistics import guarded_correlation
+from cellweave.operators.statistics import guarded_correlation, with_correlation_p
 from cellweave.scale import attach, c, materialize, row_numbers, sized, with_group_stats
 
 
@@ -174,14 +174,29 @@ def hull_edges(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y
 
 
 def boundary_distance(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
-    """Rows with their smallest distance to the lines through the hull's edges."""
+    """Rows with their smallest distance to the lines through the hull's edges; infinite where the points span no area."""
     e = F.array_sort(F.collect_list(F.struct("edge", "x1", "y1", "x2", "y2")))
     hull = hull_edges(points, keys, x, y).groupBy(*_cols(keys)).agg(e.alias("__hull"))
     d = (
         f"abs((e.y2 - e.y1) * `{x}` - (e.x2 - e.x1) * `{y}` + e.x2 * e.y1 - e.y2 * e.x1)"
         " / (sqrt(pow(e.y2 - e.y1, 2) + pow(e.x2 - e.x1, 2)) + 1e-10D)"
     )
-    return attach(points, hull, keys).withColumn("boundary_distance", F.expr(f"array_min(transform(__hull, e -> {d}))")).drop("__hull")
+    near = F.when(F.size("__hull") >= 3, F.expr(f"array_min(transform(__hull, e -> {d}))")).otherwise(float("inf"))
+    return attach(points, hull, keys).withColumn("boundary_distance", near).drop("__hull")
+
+
+def hull_faults(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
+    """Per group: points outside the hull's edges, and hull corners that are no points. Both are 0 for a right hull."""
+    keys = list(keys)
+    edges = materialize(hull_edges(points, keys, x, y))
+    packed = edges.groupBy(*_cols(keys)).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("__hull"))
+    left = f"(e.x2 - e.x1) * (`{y}` - e.y1) - (e.y2 - e.y1) * (`{x}` - e.x1)"
+    size = "abs(e.x2 - e.x1) + abs(e.y2 - e.y1) + 1"
+    outside = F.expr(f"exists(__hull, e -> {left} < -1e-9 * ({size}))")
+    far = attach(points, packed, keys).groupBy(*_cols(keys)).agg(F.count_if(outside).alias("n_outside"))
+    corners = edges.join(points.select(*_cols(keys), c(x).cast("double").alias("x1"), c(y).cast("double").alias("y1")), [*keys, "x1", "y1"], "left_anti")
+    foreign = corners.groupBy(*_cols(keys)).agg(n_rows().alias("n_foreign"))
+    return far.join(foreign, keys, "left").na.fill(0, ["n_foreign"])
 
 
 def tissue_shape(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
@@ -197,7 +212,8 @@ def tissue_shape(points: DataFrame, keys: Sequence[str], x: str = "x", y: str =
 
 
 def edge_weights(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Row-normalised weights: 1 / out-degree."""
+    """Row-normalised weights: 1 / out-degree. The edges are stored first, since they are read twice."""
+    edges = materialize(edges.select(*_cols(keys), "src", "dst"))
     deg = edges.groupBy(*_cols(keys), "src").agg(n_rows().alias("__deg"))
     return edges.join(deg, [*keys, "src"]).select(*_cols(keys), "src", "dst", (1.0 / F.col("__deg")).alias("w"))
 
@@ -362,10 +378,13 @@ def rna_protein_concordance(cells: DataFrame, counts: DataFrame, protein: DataFr
     for v in ("p", "r"):
         z = z.withColumn(v, F.when(F.col(f"__s{v}") < 1e-9, 0.0).otherwise((F.col(v) - F.col(f"__m{v}")) / F.col(f"__s{v}")))
     sim = structural_similarity(z.select(*unit, "gx", "gy", "p", "r"), unit, "p", "r", n_bins)
-    out = plan
+    out = plan.withColumn("__grid", F.lit(n_bins * n_bins))
     for t in (means, cell, flat, sim):
         out = out.join(t, unit, "left")
-    return out
+    for side, n in (("cell", "n_cells"), ("grid", "__grid")):
+        for r in ("pearson", "spearman"):
+            out = with_correlation_p(out, f"{side}_{r}_r", f"{side}_{r}_p", n)
+    return out.drop("__grid")
 
 
 def zero_variance_cases(concordance: DataFrame) -> DataFrame:

@@ -82,8 +82,12 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], group: str, a: str, b: str,
     return out.withColumn("rank_biserial", 1 - 2 * F.col("u_stat") / (F.col("n1") * F.col("n2")))
 
 
-def with_mwu_p(m: DataFrame, out: str = "mwu_p") -> DataFrame:
-    return m.withColumn(out, dist.call("mwu_p", F.col("u_stat"), F.col("n1"), F.col("n2"), F.col("tie_term")))
+def with_mwu_p(m: DataFrame, out: str = "mwu_p", method: str = "auto") -> DataFrame:
+    """p by ``method`` (exact, asymptotic, or auto: exact for a small tie-free group) and the method used."""
+    used = dist.mwu_method(F.col("n1"), F.col("n2"), F.col("tie_term"), method)
+    exact = F.when(used == "exact", 1).otherwise(0)
+    p = dist.call("mwu_p", F.col("u_stat"), F.col("n1"), F.col("n2"), F.col("tie_term"), exact)
+    return m.withColumn(out, p).withColumn(f"{out}_method", used)
 
 
 def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str = "value", min_n: int = 3) -> DataFrame:
@@ -134,14 +138,26 @@ def compare_by_group(df: DataFrame, metrics: Sequence[str], group: str, pair: tu
     return k.select(F.lit(group).alias("group_var"), "metric", F.lit("kruskal").alias("test"), F.col("h_stat").alias("statistic"), "n_groups", "h_stat")
 
 
+def compared_with_p(df: DataFrame, metrics: Sequence[str], group: str, pair: tuple[str, str] | None) -> DataFrame:
+    """The comparison record: test, statistic and p, and for a pair both groups' names, means and spreads."""
+    m = compare_by_group(df, metrics, group, pair)
+    if not pair:
+        return with_kruskal_p(m, "p_value")
+    long = df.select(c(group), *[c(k).cast("double").alias(k) for k in metrics]).unpivot([c(group)], [c(k) for k in metrics], "metric", "value")
+    moments = two_group_moments(long, ["metric"], group, *pair).select(
+        "metric", F.lit(pair[0]).alias("group1"), F.lit(pair[1]).alias("group2"), "mean1", "mean2", F.sqrt("var1").alias("std1"), F.sqrt("var2").alias("std2")
+    )
+    return with_mwu_p(m, "p_value").join(moments, "metric")
+
+
 def anova(df: DataFrame, keys: Sequence[str], group: str, value: str = "value") -> DataFrame:
     """F, its degrees of freedom and R2 (between over total) per key, by one grouping."""
-    per = df.groupBy(*keys, group).agg(n_rows().alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
-    per = per.withColumn("ss", F.col("n") * F.col("v"))
-    grand = per.groupBy(*keys).agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("g"))
+    per = df.groupBy(*keys, group).agg(n_rows().alias("__n"), F.avg(value).alias("__m"), F.var_pop(value).alias("__v"))
+    per = per.withColumn("__ss", F.col("__n") * F.col("__v"))
+    grand = per.groupBy(*keys).agg((F.sum(F.col("__n") * F.col("__m")) / F.sum("__n")).alias("__grand"))
     j = per.join(grand, list(keys)).groupBy(*keys).agg(
-        n_rows().alias("k"), F.sum("n").alias("n_total"), F.sum("ss").alias("ssw"),
-        F.sum(F.col("n") * F.pow(F.col("m") - F.col("g"), 2)).alias("ssb"),
+        n_rows().alias("k"), F.sum("__n").alias("n_total"), F.sum("__ss").alias("ssw"),
+        F.sum(F.col("__n") * F.pow(F.col("__m") - F.col("__grand"), 2)).alias("ssb"),
     )
     d1, d2 = F.col("k") - 1, F.col("n_total") - F.col("k")
     return j.select(
@@ -421,6 +437,15 @@ def progression(df: DataFrame, keys: Sequence[str], stage: str, order: Sequence[
     return k.join(r, list(keys)).where(F.col("n_total") >= min_samples)
 
 
+def ratio_tests(ratios: DataFrame, group: str, a: str, b: str) -> DataFrame:
+    """Both tests of every cell-type ratio between two groups of samples, each with its false discovery rate."""
+    keys = ["type_a", "type_b"]
+    m = with_dual_p(dual_test(ratios, keys, group, a, b, "ratio"))
+    for p in ("welch_p", "mwu_p"):
+        m = adjust_p(m, [], p, keys, "bh", out=f"{p}_fdr")
+    return m
+
+
 def over_representation(hits: DataFrame, sets: DataFrame) -> DataFrame:
     """Overlap of a gene list with each gene set: count and share of the set."""
     size = sets.groupBy("name").agg(F.count_distinct("gene").alias("set_size"))

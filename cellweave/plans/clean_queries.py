@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -11,7 +10,7 @@ from cellweave.functions import scalars
 from cellweave.operators import clean, joins, reshape
 from cellweave.plans.registry import query
 from cellweave.plans.tables import MARKERS, MARKERS_Q, Tables
-from cellweave.scale import c
+from cellweave.scale import c, shared_folder
 from cellweave.sources import readers, registry, sinks
 
 TYPES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -31,6 +30,46 @@ def _(t):
     return readers.melt_wide(t.pw.drop("sample_id", "cell_type"), ["cell_id"], "gene", "count", keep=MARKERS, drop_zero=True)
 
 
+def wide_file(t, values, suffix=""):
+    """A gzipped CSV of the protein table as instruments write it: label and one column per marker."""
+    folder = os.path.join(scratch(t), "wide")
+    wide = t.pw.select(F.col("cell_id").alias("label"), *[values(c(m)).alias(f"{m}{suffix}") for m in MARKERS])
+    sinks.write_table(wide, folder, "csv", (), "gzip")
+    return folder
+
+
+@query("s2_wide_gzip_csv_roundtrip", """
+SELECT CAST(cell_id AS VARCHAR) AS cell_id, marker AS gene, intensity AS count FROM prot WHERE intensity <> 0 AND intensity <= 0.2""")
+def _(t):
+    return readers.read_transcripts_wide(t.spark, wide_file(t, lambda v: F.when(v > 0.2, float("nan")).otherwise(v)))
+
+
+@query("s3_protein_csv_roundtrip", """
+SELECT CAST(cell_id AS VARCHAR) AS cell_id, marker, CASE WHEN intensity <= 0.2 THEN intensity END AS intensity FROM prot""")
+def _(t):
+    return readers.read_protein_csv(t.spark, wide_file(t, lambda v: F.when(v > 0.2, float("inf")).otherwise(v), readers.INTENSITY))
+
+
+@query("s5_vendor_csv_roundtrip", """
+SELECT s_nationkey AS batch, CAST(count(*) AS BIGINT) AS n_samples, avg(s_acctbal) AS mean_metric FROM supplier GROUP BY 1""", rnd="mean_metric")
+def _(t):
+    folder = os.path.join(scratch(t), "vendor")
+    sinks.write_table(t.read("supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), folder, "csv", ())
+    df = readers.read_vendor_table(t.spark, folder, ["s_suppkey", "s_nationkey", "s_acctbal"])
+    return df.groupBy(F.col("s_nationkey").cast(t.read("supplier").schema["s_nationkey"].dataType).alias("batch")).agg(F.count(F.lit(1)).alias("n_samples"), F.avg("s_acctbal").alias("mean_metric"))
+
+
+@query("s10_workbook_roundtrip", """
+SELECT 'cells' AS sheet, CAST(count(*) AS BIGINT) AS n, CAST(sum(cell_id) AS BIGINT) AS total FROM cells
+UNION ALL SELECT 'samples', CAST(count(*) AS BIGINT), CAST(sum(length(sample_id)) AS BIGINT) FROM samples""")
+def _(t):
+    folder = os.path.join(scratch(t), "workbook")
+    sinks.write_workbook({"cells": t.cells.select("cell_id", "x"), "samples": t.samples}, folder)
+    sheet = lambda name: t.spark.read.option("header", True).csv(f"{folder}/{name}")
+    parts = [sheet("cells").select(F.lit("cells").alias("sheet"), F.col("cell_id").cast("long").alias("v")), sheet("samples").select(F.lit("samples").alias("sheet"), F.length("sample_id").cast("long").alias("v"))]
+    return reshape.outer_concat(parts).groupBy("sheet").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
+
+
 @query("s3_protein_long", """
 SELECT CAST(cell_id AS VARCHAR) AS cell_id, marker, intensity FROM prot""")
 def _(t):
@@ -117,11 +156,8 @@ def _(t):
 
 
 def scratch(t: Tables) -> str:
-    """Folder for tables a query writes: the shared checkpoint folder when the session names one."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix="cellweave-")
-    return os.path.join(base, f"tables-{t.spark.sparkContext.applicationId}-{os.urandom(4).hex()}")
+    """A new folder, in the folder that driver and executors share, for tables a query writes."""
+    return f"{shared_folder(t.spark)}/tables-{t.spark.sparkContext.applicationId}-{os.urandom(4).hex()}"
 
 
 @query("s11_metadata_only_read", """

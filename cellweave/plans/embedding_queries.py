@@ -122,7 +122,7 @@ def _(t):
     return em.lisi(nb.nearest_in_embedding(e, [], 90, vec="vec"), e, "sample_id")
 
 
-_sil = """(SELECT a.cell_id, a.cell_type, m.cell_type AS other, sum(list_distance(a.vec, m.vec)) AS total, count(*) AS n FROM {0} a JOIN {0} m ON TRUE GROUP BY 1, 2, 3)""".format(EMB_SQL)
+_sil = """(SELECT a.cell_id, a.cell_type, m.cell_type AS other, sum(pow(list_distance(a.vec, m.vec), 2)) AS total, count(*) AS n FROM {0} a JOIN {0} m ON TRUE GROUP BY 1, 2, 3)""".format(EMB_SQL)
 
 
 @query("g15_silhouette", f"""
@@ -134,7 +134,7 @@ def _(t):
 @query("g10_batch_mixing_report", f"""
 SELECT mean_lisi, mean_silhouette, mean_lisi >= 3 AND mean_silhouette < 0.3 AS passes FROM (SELECT avg(lisi) AS mean_lisi FROM {_lisi}) CROSS JOIN (
   SELECT avg((b - a) / greatest(a, b)) AS mean_silhouette FROM (SELECT cell_id, sum(total) FILTER (other = sample_id) / (sum(n) FILTER (other = sample_id) - 1) AS a, min(total / n) FILTER (other <> sample_id) AS b
-    FROM (SELECT a.cell_id, a.sample_id, m.sample_id AS other, sum(list_distance(a.vec, m.vec)) AS total, count(*) AS n FROM {EMB_SQL} a JOIN {EMB_SQL} m ON TRUE GROUP BY 1, 2, 3) GROUP BY 1, sample_id))""", rnd="mean_lisi mean_silhouette")
+    FROM (SELECT a.cell_id, a.sample_id, m.sample_id AS other, sum(pow(list_distance(a.vec, m.vec), 2)) AS total, count(*) AS n FROM {EMB_SQL} a JOIN {EMB_SQL} m ON TRUE GROUP BY 1, 2, 3) GROUP BY 1, sample_id))""", rnd="mean_lisi mean_silhouette")
 def _(t):
     e = materialize(embedded(t))
     return em.batch_report(em.lisi(nb.nearest_in_embedding(e, [], 90, vec="vec"), e, "sample_id"), em.silhouette(e, "cell_id", "vec", "sample_id"))
@@ -148,7 +148,7 @@ def _(t):
 
 _bins = f"(SELECT gene, mean, ntile(25) OVER (ORDER BY mean, gene) AS bin FROM (SELECT gene, sum(count) / (SELECT count(*) FROM cells) AS mean FROM scounts GROUP BY 1))"
 _sigw = f"""(WITH sig AS (SELECT DISTINCT name, s.gene, bin FROM (SELECT * FROM {SIG_SQL}) s JOIN {_bins} b ON b.gene = s.gene),
-ctl AS (SELECT DISTINCT name, gene FROM (SELECT w.name, p.gene, row_number() OVER (PARTITION BY w.name, p.bin ORDER BY md5('0|' || p.gene), p.gene) AS rn FROM (SELECT DISTINCT name, bin FROM sig) w JOIN {_bins} p USING (bin)) WHERE rn <= 3 AND (name, gene) NOT IN (SELECT (name, gene) FROM sig))
+ctl AS (SELECT DISTINCT name, gene FROM (SELECT w.name, p.gene, row_number() OVER (PARTITION BY w.name, p.bin ORDER BY md5('0|' || p.gene), p.gene) AS rn FROM (SELECT DISTINCT name, bin FROM sig) w JOIN {_bins} p USING (bin)) WHERE rn <= 50 AND (name, gene) NOT IN (SELECT (name, gene) FROM sig))
 SELECT name, gene, 1.0::DOUBLE / count(*) OVER (PARTITION BY name) AS weight FROM sig UNION ALL SELECT name, gene, -1.0::DOUBLE / count(*) OVER (PARTITION BY name) FROM ctl)"""
 
 
@@ -162,7 +162,7 @@ LEFT JOIN (SELECT cell_id, name, count, weight FROM scounts JOIN {_sigw} USING (
 def _(t):
     names = _sig_names(t)
     n = t.cells.agg(F.count(F.lit(1)).alias("n_cells"))
-    wide = scoring.signature_scores(t.scounts, n, signatures(t), ["cell_id"], names, n_controls=3)
+    wide = scoring.signature_scores(t.scounts, n, signatures(t), ["cell_id"], names, n_controls=50)
     return wide.unpivot(["cell_id"], [c(m) for m in names], "name", "score")
 
 

@@ -51,7 +51,7 @@ def _(t):
     return sp.edge_counts(knn(t, 6), S)
 
 
-PERMS = 10
+PERMS = 50
 
 
 def enrichment_sql(edges, source, min_cells=0):
@@ -107,6 +107,11 @@ def _(t):
     return sp.boundary_distance(t.cells.select("sample_id", "cell_id", "x", "y"), S).select("sample_id", "cell_id", "boundary_distance")
 
 
+@query("g5_hull_holds_all_points", "SELECT sample_id, CAST(0 AS BIGINT) AS n_outside, CAST(0 AS BIGINT) AS n_foreign FROM cells GROUP BY 1")
+def _(t):
+    return sp.hull_faults(t.cells.select("sample_id", "x", "y"), S)
+
+
 @query("g6_tissue_shape")
 def _(t):
     return sp.tissue_shape(t.cells, S).join(sp.nearest_distance_stats(knn(t, 1), S), "sample_id")
@@ -150,7 +155,7 @@ def _(t):
 
 @query("g7_moran_with_p")
 def _(t):
-    return sp.with_norm_p(sp.autocorrelation(knn(t, 6), t.cells, t.scounts, S, "moran", n_perm=5))
+    return sp.with_norm_p(sp.autocorrelation(knn(t, 6), t.cells, t.scounts, S, "moran", n_perm=100))
 
 
 @query("g8_spatially_variable_genes")
@@ -244,6 +249,13 @@ def _(t):
     return out.select("sample_id", "protein", "gene", "n_cells", "error", "protein_mean", "rna_mean", "rna_std", "cell_pearson_r", "grid_pearson_r", "ssim")
 
 
+@query("t13_rna_protein_concordance_with_p")
+def _(t):
+    rna = t.counts.join(t.pw.select("cell_id", "sample_id"), "cell_id")
+    pairs = t.literal(PAIRS, "protein string, gene string")
+    return sp.rna_protein_concordance(t.pw.select("sample_id", "cell_id", "x", "y"), rna, t.prot, pairs, S)
+
+
 # ------------------------------------------------------------------------------------------------ composite scores
 
 

@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cellweave.functions import dist
 from cellweave.functions import scalars as sc
 from cellweave.operators import aggregates as ag
+from cellweave.operators import joins
 from cellweave.operators import statistics as st
 from cellweave.plans.clean_queries import SHARES_SQL, SIG_SQL, TYPES, signatures
 from cellweave.plans.registry import query
 from cellweave.plans.tables import MARKERS
 from cellweave.scale import c, materialize
 
+# Tests with their p-values. The tails have no SQL form; tests/ checks them against closed forms and counted cases.
+
+
+def per_sample(t, *attributes):
+    per = t.cells.join(t.samples, "sample_id").groupBy("sample_id", *attributes).agg(ag.n_rows().alias("n_cells"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"))
+    return materialize(per)
+
+
 VALUES_SQL = f"(SELECT cell_type AS metric, sample_id, response, stage, lane, share AS value FROM {SHARES_SQL} JOIN samples USING (sample_id))"
 
 
@@ -120,14 +130,25 @@ def _(t):
     return st.chi_square(t.cells, "cell_type", "sample_id")
 
 
-@query("t10_label_vs_rest", """
+REST_SQL = """
 SELECT cell_type, a, b, ta - a AS c, tb - b AS d, a * (tb - b) / (b * (ta - a)) AS odds_ratio FROM (SELECT *, CAST(sum(a) OVER () AS BIGINT) AS ta, CAST(sum(b) OVER () AS BIGINT) AS tb FROM (
-  SELECT cell_type, CAST(count(*) FILTER (response = 'R') AS BIGINT) AS a, CAST(count(*) FILTER (response = 'NR') AS BIGINT) AS b FROM cells JOIN samples USING (sample_id) GROUP BY 1))""", rnd="odds_ratio")
+  SELECT cell_type, CAST(count(*) FILTER (response = 'R') AS BIGINT) AS a, CAST(count(*) FILTER (response = 'NR') AS BIGINT) AS b FROM cells JOIN samples USING (sample_id) GROUP BY 1))"""
+
+
+@query("t10_label_vs_rest", REST_SQL, rnd="odds_ratio")
 def _(t):
     return st.label_vs_rest(t.cells.join(t.samples, "sample_id"), "response", "R", "NR", "cell_type")
 
 
-@query("t10_fisher_exact_p")
+def _choose(n, k):
+    return f"(lgamma({n} + 1.0) - lgamma({k} + 1.0) - lgamma({n} - {k} + 1.0))"
+
+
+@query("t10_fisher_exact_p", f"""
+WITH m AS ({REST_SQL}), k AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS k FROM m),
+l AS (SELECT *, {_choose('(a + b)', 'k')} + {_choose('(c + d)', '(a + c - k)')} - {_choose('(a + b + c + d)', '(a + c)')} AS lp FROM k),
+p AS (SELECT cell_type, sum(exp(lp)) FILTER (lp <= seen + 1e-7) AS p FROM l JOIN (SELECT cell_type, lp AS seen FROM l WHERE k = a) USING (cell_type) GROUP BY 1)
+SELECT m.*, least(1.0, p) AS fisher_p, least(1.0, least(1.0, p) * (SELECT count(*) FROM m)) AS fisher_p_bonferroni FROM m JOIN p USING (cell_type)""", rnd="odds_ratio fisher_p fisher_p_bonferroni")
 def _(t):
     m = st.label_vs_rest(t.cells.join(t.samples, "sample_id"), "response", "R", "NR", "cell_type")
     return st.with_fisher_p(m, "cell_type")
@@ -169,7 +190,7 @@ def _(t):
     return st.match_gene_map(proteins, t.symbols.select(F.col("symbol").alias("gene")), "substring")
 
 
-_cm = MARKERS[:5]
+_cm = MARKERS
 
 
 @query("t14_correlation_matrix", " UNION ALL ".join(f"SELECT sample_id, '{a}' AS a, '{b}' AS b, corr(\"{a}\", \"{b}\") AS r FROM pw GROUP BY 1" for i, a in enumerate(_cm) for b in _cm[i:]), rnd="r")
@@ -177,7 +198,7 @@ def _(t):
     return st.correlation_matrix(t.pw, ["sample_id"], _cm)
 
 
-NBOOT = 200
+NBOOT = 1000
 _boot = f"""WITH v AS (SELECT metric, response AS g, value, row_number() OVER (PARTITION BY metric, response ORDER BY sample_id) AS i, count(*) OVER (PARTITION BY metric, response) AS n FROM {VALUES_SQL}),
 d AS (SELECT metric, g, rep, CAST('0x' || substr(md5('42|' || CAST(rep AS VARCHAR) || '|' || g || '|' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) % n + 1 AS pick FROM v CROSS JOIN (SELECT unnest(range(1, {NBOOT + 1})) AS rep)),
 b AS (SELECT d.metric, d.rep, d.g, v.value FROM d JOIN v ON v.metric = d.metric AND v.g = d.g AND v.i = d.pick),
@@ -284,3 +305,85 @@ LEFT JOIN (SELECT name, count(*) AS k FROM {SIG_SQL} WHERE gene IN (SELECT gene
 def _(t):
     hits = t.counts.groupBy("gene").agg(F.sum("count").alias("s")).where("s > 5100")
     return st.over_representation(hits, signatures(t))
+
+
+@query("t2_student_t_with_p")
+def _(t):
+    m = st.student_columns(st.two_group_moments(values(t), ["metric"], "response", "R", "NR"))
+    return st.with_t_p(m, out="student_p")
+
+
+@query("t4_kruskal_wallis_with_p")
+def _(t):
+    return st.with_kruskal_p(st.kruskal(t.scounts, ["gene"], "cell_type", "count"))
+
+
+@query("t6_compare_metrics_with_p")
+def _(t):
+    return st.compared_with_p(per_sample(t, "lane"), ["n_cells", "mean_x", "mean_y"], "lane", None)
+
+
+@query("t6_compare_metrics_pairwise_with_p")
+def _(t):
+    return st.compared_with_p(per_sample(t, "response"), ["n_cells", "mean_x", "mean_y"], "response", ("R", "NR"))
+
+
+@query("t7_anova_by_lane_with_p")
+def _(t):
+    return st.with_f_p(st.anova(t.prot, ["marker"], "sample_id", "intensity"))
+
+
+@query("t9_chi_square_with_p")
+def _(t):
+    return st.with_chi2_p(st.chi_square(t.cells, "cell_type", "sample_id"))
+
+
+@query("t11_guarded_correlation_with_p")
+def _(t):
+    m = st.guarded_correlation(t.cells, ["sample_id", "cell_type"], "x", "y", min_n=100)
+    return st.with_correlation_p(st.with_correlation_p(m, "pearson_r", "pearson_p"), "spearman_r", "spearman_p")
+
+
+@query("t12_rna_protein_correlation_with_p")
+def _(t):
+    pairs = t.literal(PAIRS, "protein string, gene string")
+    rna = t.counts.join(t.pw.select("cell_id", "sample_id"), "cell_id")
+    m = st.rna_protein_correlation(rna, t.prot.select("sample_id", "cell_id", "marker", "intensity"), pairs, ["sample_id"], 50)
+    return st.with_correlation_p(st.with_correlation_p(m, "pearson_r", "pearson_p"), "spearman_r", "spearman_p")
+
+
+@query("t19_composition_test_with_p")
+def _(t):
+    m = st.composition_test(values(t).withColumnRenamed("metric", "cell_type"), "cell_type", "response", "R", "NR", "value")
+    return st.with_t_p(m).orderBy("welch_p", "cell_type")
+
+
+@query("t20_metric_table_with_p")
+def _(t):
+    s = t.scounts.join(signatures(t), "gene").groupBy("sample_id", F.col("name").alias("metric")).agg(F.sum("count").alias("value"))
+    return st.with_dual_p(st.dual_test(materialize(s.join(t.samples, "sample_id")), ["metric"], "response", "R", "NR", ddof=0))
+
+
+@query("t21_stage_progression_with_p")
+def _(t):
+    m = st.progression(materialize(values(t)), ["metric"], "stage", STAGES)
+    return st.with_correlation_p(st.with_kruskal_p(m), "spearman_r", "spearman_p", "n_total")
+
+
+@query("t22_protein_two_samples_with_p")
+def _(t):
+    m = st.with_mwu_p(st.dual_test(t.prot, ["marker"], "sample_id", "S0", "S1", "intensity"))
+    return st.adjust_p(m, [], "mwu_p", ["marker"], "bonferroni", out="mwu_p_bonferroni")
+
+
+@query("j13_cell_type_ratio_tests")
+def _(t):
+    ratios = joins.type_ratios(ag.label_shares(t.cells, ["sample_id"], "cell_type"), ["sample_id"])
+    return st.ratio_tests(materialize(ratios.join(t.samples, "sample_id")), "response", "R", "NR")
+
+
+@query("f4_tail_functions_from_sql", """
+SELECT cell_id, 1 - 2 * atan(x / 1000) / pi() AS t_tail, exp(-x / 2000) AS chi2_tail, pow(1 + 2 * (x / 1000) / 7, -3.5) AS f_tail FROM cells""", rnd="t_tail chi2_tail f_tail", digits=9)
+def _(t):
+    dist.register(t.spark)
+    return t.cells.selectExpr("cell_id", "t_p(x / 1000, 1D) AS t_tail", "chi2_p(x / 1000, 2D) AS chi2_tail", "f_p(x / 1000, 2D, 7D) AS f_tail")

@@ -35,6 +35,12 @@ def _(t):
     return ag.percent_in_top(t.counts, ["cell_id"], [1, 2, 5])
 
 
+@query("a2_percent_in_top_of_panel", "SELECT cell_id, " + ", ".join(f"sum(CASE WHEN rn <= {n} THEN count ELSE 0 END) / sum(count) * 100 AS pct_top_{n}" for n in (50, 100, 200)) + """
+FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY count DESC, gene) AS rn FROM counts) GROUP BY 1""", rnd="pct_top_50 pct_top_100 pct_top_200")
+def _(t):
+    return ag.percent_in_top(t.counts, ["cell_id"])
+
+
 @query("a3_sample_qc_metrics", f"""
 SELECT sample_id, CAST(count(*) AS BIGINT) AS n_cells, avg(n_counts) AS mean_counts, stddev_pop(n_counts) AS std_counts,
   avg(CASE WHEN n_counts = 0 THEN 1 ELSE 0 END) * 100 AS pct_zero_count_cells,
@@ -115,10 +121,10 @@ def _(t):
 
 
 @query("a9_marker_mean_by_label", f"""
-SELECT cell_type, {", ".join(f'avg("{m}") AS "{m}_mean", stddev_samp("{m}") AS "{m}_std"' for m in MARKERS[:6])} FROM pw GROUP BY 1""",
-    rnd=" ".join(f"{m}_mean {m}_std" for m in MARKERS[:6]), digits=8)
+SELECT cell_type, {", ".join(f'avg("{m}") AS "{m}_mean", stddev_samp("{m}") AS "{m}_std"' for m in MARKERS)} FROM pw GROUP BY 1""",
+    rnd=" ".join(f"{m}_mean {m}_std" for m in MARKERS), digits=8)
 def _(t):
-    return ag.grouped_stats(t.pw, ["cell_type"], MARKERS[:6], ["mean", "std"])
+    return ag.grouped_stats(t.pw, ["cell_type"], MARKERS, ["mean", "std"])
 
 
 @query("a10_correlation_summary", """
@@ -341,6 +347,23 @@ def _(t):
     return ag.module_means(t.scounts, t.cells, signatures(t), ["sample_id"])
 
 
+# the measured genes stand in for the listed ones, in alphabetical order
+_listed = sorted({g for genes in ag.MODULES.values() for g in genes})
+_named = "(VALUES " + ", ".join(f"('G{i}', '{g}')" for i, g in enumerate(_listed)) + ") AS named(gene, symbol)"
+_lists = "(VALUES " + ", ".join(f"('{n}', '{g}')" for n, genes in ag.MODULES.items() for g in genes) + ") AS lists(name, symbol)"
+
+
+@query("a27_fixed_gene_lists", f"""
+WITH s AS (SELECT sample_id, symbol, sum(count) AS s FROM scounts JOIN {_named} USING (gene) GROUP BY 1, 2),
+k AS (SELECT name, count(DISTINCT symbol) AS k FROM {_lists} WHERE symbol IN (SELECT symbol FROM s) GROUP BY 1)
+SELECT sample_id, name, sum(s) / (any_value(n) * any_value(k)) AS score FROM s JOIN {_lists} USING (symbol) JOIN k USING (name) JOIN (SELECT sample_id, count(*) AS n FROM cells GROUP BY 1) USING (sample_id) GROUP BY 1, 2""", rnd="score")
+def _(t):
+    named = t.literal([(f"G{i}", g) for i, g in enumerate(_listed)], "gene string, symbol string")
+    counts = t.scounts.join(named, "gene").drop("gene").withColumnRenamed("symbol", "gene")
+    lists = t.literal([(n, g) for n, genes in ag.MODULES.items() for g in genes], "name string, gene string")
+    return ag.module_means(counts, t.cells, lists, ["sample_id"])
+
+
 @query("a28_patient_summary", """
 SELECT patient, CAST(count(*) AS BIGINT) AS n_samples, CAST(sum(n_cells) AS BIGINT) AS total_cells, quantile_cont(CAST(n_cells AS DOUBLE), 0.5) AS median_cells,
   bool_or(timepoint = 'Pre') AS has_pre, bool_or(timepoint = 'Post') AS has_post, string_agg(sample_id, ', ' ORDER BY sample_id) AS sample_list
@@ -496,12 +519,12 @@ def _(t):
 
 
 @query("w13_consensus_ranking", """
-WITH imp AS (SELECT sample_id AS model, gene AS feature, sum(count) AS importance FROM scounts WHERE count >= 80 GROUP BY 1, 2),
+WITH imp AS (SELECT sample_id AS model, gene AS feature, sum(count) AS importance FROM scounts GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY importance DESC, feature) AS rk FROM imp)
 SELECT f.feature, avg(coalesce(CAST(rk AS DOUBLE), 20)) AS mean_rank, CAST(count(*) FILTER (rk <= 10) AS BIGINT) AS n_top
 FROM (SELECT DISTINCT feature FROM imp) f CROSS JOIN (SELECT DISTINCT model FROM imp) m LEFT JOIN r ON r.feature = f.feature AND r.model = m.model GROUP BY 1""", rnd="mean_rank")
 def _(t):
-    imp = t.scounts.where("count >= 80").groupBy(F.col("sample_id").alias("model"), F.col("gene").alias("feature")).agg(F.sum("count").alias("importance"))
+    imp = t.scounts.groupBy(F.col("sample_id").alias("model"), F.col("gene").alias("feature")).agg(F.sum("count").alias("importance"))
     return win.consensus_ranking(imp, imp.select("feature").distinct(), imp.select("model").distinct())
 
 
@@ -701,7 +724,7 @@ def _(t):
     return s.select("sample_id", F.col("M1").alias("m1"), F.col("M2").alias("m2"), (F.col("M1") / (F.col("M2") + 0.01)).alias("m1_m2_ratio"))
 
 
-_sh = ["CD3", "CD20", "CD68", "PanCK"]
+_sh = MARKERS
 _shv = lambda m: f'("{m}" - low + 0.01)'
 _sht = "(" + " + ".join(_shv(m) for m in _sh) + ")"
 
@@ -709,10 +732,10 @@ _sht = "(" + " + ".join(_shv(m) for m in _sh) + ")"
 @query("c17_scores_to_shares", f"""
 SELECT cell_id, {", ".join(f'{_shv(m)} / {_sht} AS "share_{m}"' for m in _sh)},
   CASE WHEN greatest({", ".join(f'{_shv(m)} / {_sht}' for m in _sh)}) < 0.3 THEN 'Mixed' {" ".join("WHEN " + " AND ".join(f'"{m}" >= "{o}"' for o in _sh if o != m) + f" THEN '{m}'" for m in _sh)} END AS dominant_type,
-  -({" + ".join(f'(({_shv(m)} / {_sht} + 1e-10) / (1 + 4e-10)) * ln(({_shv(m)} / {_sht} + 1e-10) / (1 + 4e-10))' for m in _sh)}) AS mixture_entropy
-FROM pw JOIN (SELECT sample_id, min(least({", ".join(f'"{m}"' for m in _sh)})) AS low FROM pw GROUP BY 1) USING (sample_id)""", rnd="share_CD3 share_CD20 share_CD68 share_PanCK mixture_entropy")
+  -({" + ".join(f'(({_shv(m)} / {_sht} + 1e-10) / (1 + {len(_sh)}e-10)) * ln(({_shv(m)} / {_sht} + 1e-10) / (1 + {len(_sh)}e-10))' for m in _sh)}) AS mixture_entropy
+FROM pw JOIN (SELECT sample_id, min(least({", ".join(f'"{m}"' for m in _sh)})) AS low FROM pw GROUP BY 1) USING (sample_id)""", rnd=" ".join(f"share_{m}" for m in _sh) + " mixture_entropy")
 def _(t):
-    return sc.scores_to_shares(t.pw, _sh, ["sample_id"], 0.3).select("cell_id", *[f"share_{m}" for m in _sh], "dominant_type", "mixture_entropy")
+    return sc.scores_to_shares(t.pw, _sh, ["sample_id"], 0.3).select("cell_id", *[c(f"share_{m}") for m in _sh], "dominant_type", "mixture_entropy")
 
 
 @query("c18_marker_mean_deconvolution", f"""
@@ -727,7 +750,7 @@ def _(t):
 
 
 @query("c19_sample_status", f"""
-SELECT sample_id, status, concat_ws('; ', CASE WHEN n_cells < 580 THEN 'Low cell count < 580' END, CASE WHEN median_counts < 95 THEN 'Low median transcripts < 95' END) AS reasons FROM {STATUS_SQL}""")
+SELECT sample_id, status, coalesce(nullif(concat_ws('; ', CASE WHEN n_cells < 580 THEN 'Low cell count: ' || format('{{:,}}', n_cells) || ' < 580' END, CASE WHEN median_counts < 95 THEN 'Low median transcripts: ' || printf('%.1f', median_counts) || ' < 95' END), ''), 'OK') AS reasons FROM {STATUS_SQL}""")
 def _(t):
     return sc.sample_status(sample_table(t), LIMITS).select("sample_id", "status", "reasons")
 

@@ -56,14 +56,19 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(n, *[c(k) for k in keys])
 
 
-def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise a table expected to be small; hint a broadcast only when its row count proves small.
+BROADCAST_BYTES = 64 << 20
 
-    Beyond the bound the table is returned without a hint and joins shuffle (adaptive skew join splits
+
+def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Materialise a table expected to be small; hint a broadcast only when its rows and bytes prove small.
+
+    Beyond the bounds the table is returned without a hint and joins shuffle (adaptive skew join splits
     hot keys).
     """
     done = materialize(df)
-    return F.broadcast(done) if done.limit(max_rows + 1).count() <= max_rows else done
+    size = sum((F.coalesce(F.octet_length(c(k).cast("string")), F.lit(0)) for k in done.columns), F.lit(0))
+    rows, width = done.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    return F.broadcast(done) if rows <= max_rows and (width or 0) <= max_bytes else done
 
 
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

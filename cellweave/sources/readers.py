@@ -64,7 +64,8 @@ def melt_wide(df: DataFrame, ids: Sequence[str], variable: str, value: str, keep
 def read_transcripts_wide(spark: SparkSession, path: str, id_col: str = "label") -> DataFrame:
     """Wide (optionally gzipped) CSV, one column per gene, to the long fact table."""
     df = spark.read.option("header", True).csv(path)
-    return melt_wide(df, [id_col], "gene", "count", drop_zero=True).withColumnRenamed(id_col, "cell_id")
+    long = melt_wide(df, [id_col], "gene", "count").withColumn("count", finite(F.col("count")))
+    return long.where("count <> 0").withColumnRenamed(id_col, "cell_id")
 
 
 def protein_columns(names: Sequence[str]) -> list[str]:

@@ -7,12 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ("sample_id",)) -> None:
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ("sample_id",), compression: str | None = None) -> None:
     """Parquet, CSV or JSON; partitioned by sample where the table has that column."""
     parts = [p for p in partition_by if p in df.columns]
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
+    if compression:
+        writer = writer.option("compression", compression)
     (writer.partitionBy(*parts) if parts else writer).save(path)
 
 

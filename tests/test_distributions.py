@@ -44,3 +44,39 @@ def test_rank_sum_with_ties_uses_normal():
     p = dist.mwu_two_sided([10.0], [5], [6], [6.0])[0]
     var = 30 / 12 * (12 - 6 / 110)
     assert p == pytest.approx(math.erfc((20 - 15 - 0.5) / math.sqrt(2 * var)))
+
+
+def test_rank_sum_is_exact_whatever_the_larger_group():
+    # the same U beside a small group, with no step where a table would have been given up
+    a, b = dist.mwu_two_sided([10000.0, 10000.0], [4, 4], [49_999, 50_001], [0, 0])
+    assert a == pytest.approx(b, rel=1e-3)
+    # counted by recursion over the groups: f(u; m, n) = f(u - n; m - 1, n) + f(u; m, n - 1)
+    def ways(u, m, n, seen={}):
+        if u < 0 or m < 0 or n < 0:
+            return 0
+        if m == 0 or n == 0:
+            return int(u == 0)
+        if (u, m, n) not in seen:
+            seen[u, m, n] = ways(u - n, m - 1, n) + ways(u, m, n - 1)
+        return seen[u, m, n]
+
+    for m, n in ((2, 9), (5, 7), (8, 12)):
+        for u in range(0, m * n + 1, 3):
+            want = sum(ways(v, m, n) for v in range(u + 1)) / math.comb(m + n, m)
+            assert dist._u_at_most(u, m, n) == pytest.approx(want, rel=1e-12)
+    assert dist._u_at_most(8 * 10**7 // 2, 8, 10**7) == pytest.approx(0.5, abs=1e-6)
+
+
+def test_tails_settle_at_any_size():
+    # at its mean a chi-square lies above one half by the skewness term 2 / (3 sqrt(pi k)) ... less than one half is above it
+    for k in (1e4, 1e6, 1e7, 1e8):
+        want = 0.5 - 1 / (3 * math.sqrt(math.pi * k))
+        assert dist.chi2_upper([k], [k])[0] == pytest.approx(want, abs=1e-7)
+    for a in (10.0, 1e4, 5e7):
+        assert dist.beta_inc(a, a, 0.5) == pytest.approx(0.5, abs=1e-9)
+    # I_x(a, 1) = x^a and P(chi2_2 > x) = exp(-x / 2)
+    assert dist.beta_inc(30.5, 1.0, 0.9) == pytest.approx(0.9**30.5, rel=1e-13)
+    assert dist.chi2_upper([40.0], [2])[0] == pytest.approx(math.exp(-20), rel=1e-13)
+    # an odd number of degrees: P(chi2_1 > x) = erfc(sqrt(x / 2)); t with 1 degree is Cauchy
+    assert dist.chi2_upper([7.3], [1])[0] == pytest.approx(math.erfc(math.sqrt(3.65)), rel=1e-13)
+    assert dist.t_two_sided([3.0], [1])[0] == pytest.approx(1 - 2 * math.atan(3) / math.pi, rel=1e-12)

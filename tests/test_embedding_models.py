@@ -93,3 +93,19 @@ def test_information_of_a_perfect_split(spark):
     df = spark.createDataFrame(rows, "gene string, response string, value double")
     mi = {r["gene"]: r["mutual_information"] for r in em.mutual_information_units(df, "response", 2).collect()}
     assert mi["g"] > 0.6 and mi["h"] < 0.3
+
+
+def test_silhouette_takes_every_row(spark):
+    rng = np.random.default_rng(3)
+    v = np.vstack([rng.normal(size=(40, 3)), rng.normal(size=(30, 3)) + 4, rng.normal(size=(1, 3)) - 9])
+    label = ["a"] * 40 + ["b"] * 30 + ["alone"]
+    d = ((v[:, None] - v[None]) ** 2).sum(2)
+    want = {}
+    for i, own in enumerate(label):
+        mean = {g: d[i, [k for k, x in enumerate(label) if x == g]] for g in set(label)}
+        a = mean[own].sum() / max(1, len(mean[own]) - 1)
+        b = min(m.mean() for g, m in mean.items() if g != own)
+        want[i] = (b - a) / max(a, b) if len(mean[own]) > 1 else 0.0
+    df = spark.createDataFrame(pd.DataFrame({"cell_id": range(len(v)), "v": list(v), "l": label}))
+    got = {r.cell_id: r.silhouette for r in em.silhouette(df, "cell_id", "v", "l").collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)

@@ -59,3 +59,28 @@ def test_embedding(spark):
     same(nb.nearest_in_embedding(spark.createDataFrame(pdf), ["s"], 5, n_pivots=6, cap=30), brute(pdf, 5, "embedding"))
     some = nb.nearest_in_embedding(spark.createDataFrame(pdf), ["s"], 5, n_pivots=6, cap=30, probes=2)
     assert some.count() > 0
+
+
+def test_embedding_ties_go_by_id(spark):
+    side = np.arange(14)
+    v = np.array([(a, b, c) for a in side for b in side for c in side], float) + 1e6  # large norms as well
+    ids = np.random.default_rng(5).permutation(len(v))
+    d = ((v[:, None, :] - v[None, :, :]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :4]
+    want = {(int(ids[i]), r + 1): int(ids[j]) for i in range(len(v)) for r, j in enumerate(order[i])}
+    df = spark.createDataFrame(pd.DataFrame({"cell_id": ids, "embedding": list(v)})).repartition(5)
+    got = {(r.src, r["rank"]): r.dst for r in nb.nearest_in_embedding(df, [], 4, cap=100).collect()}
+    assert got == want
+
+
+def test_embedding_groups_of_any_key(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, i, [float(x) for x in rng.normal(size=3)]) for i, k in enumerate([True, False, None] * 40)]
+    df = spark.createDataFrame(rows, "s boolean, cell_id long, embedding array<double>")
+    got = {(r.s, r.src, r["rank"]): r.dst for r in nb.nearest_in_embedding(df, ["s"], 3).collect()}
+    want = {}
+    for k, i, v in rows:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(v, w)), j) for q, j, w in rows if q is k and j != i)[:3]
+        want.update({(k, i, r + 1): j for r, (_, j) in enumerate(near)})
+    assert got == want

@@ -10,7 +10,9 @@ import __spark_entry__ as entry
 SF = os.environ.get("CELLWEAVE_SF", "/root/testdata/sf0.001")
 SOME = """a3_sample_qc_metrics a7_composition_per_sample a11_pseudobulk_sum c9_hierarchical_gate c19_sample_status j8_paired_pre_post_change
 p3_filter_genes_by_cells t3_mann_whitney t5_dual_test t16_leave_one_out w7_adjusted_p_values w12_median_split_and_bins j10_pairs_within_distance
-j11_nearest_in_plane g2_notable_pairs g3_local_density g11_structural_similarity g19_ligand_receptor m12_mutual_information x1_incremental_sample_qc""".split()
+j11_nearest_in_plane g2_notable_pairs g3_local_density g11_structural_similarity g19_ligand_receptor m12_mutual_information x1_incremental_sample_qc
+s2_wide_gzip_csv_roundtrip s3_protein_csv_roundtrip s5_vendor_csv_roundtrip s10_workbook_roundtrip a9_marker_mean_by_label a27_fixed_gene_lists c17_scores_to_shares
+t10_fisher_exact_p t14_correlation_matrix f4_tail_functions_from_sql g5_hull_holds_all_points g13_pagerank g15_silhouette g19_interaction_summary""".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("CELLWEAVE_ALL") else SOME

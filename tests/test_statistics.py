@@ -85,3 +85,36 @@ def test_progression_needs_samples(spark):
     r = st.progression(df, ["gene"], "stage", ["n", "m", "c"]).first()
     assert r["spearman_r"] == pytest.approx(0.956182887, abs=1e-8)
     assert math.isclose(r["h_stat"], 4.571428571428571)
+
+
+def test_composed_p_values_have_closed_forms(spark):
+    """With two or so degrees of freedom every tail is elementary."""
+    rows = [("m", g, float(v), float(w)) for g, v, w in (("a", 1, 4), ("a", 2, 1), ("a", 4, 7), ("b", 3, 2), ("b", 7, 9), ("b", 5, 8), ("c", 6, 3), ("c", 9, 6), ("c", 8, 5))]
+    df = spark.createDataFrame(rows, "metric string, g string, value double, other double")
+    k = st.with_kruskal_p(st.kruskal(df, ["metric"], "g")).first()
+    assert k.kruskal_p == pytest.approx(math.exp(-k.h_stat / 2), rel=1e-12)
+    a = st.with_f_p(st.anova(df, ["metric"], "g")).first()
+    assert a.f_p == pytest.approx((1 + 2 * a.f_stat / 6) ** -3, rel=1e-12)
+    four = df.where("value <= 4")
+    t2 = lambda t: 1 - abs(t) / math.sqrt(2 + t * t)  # noqa: E731  two-sided tail with two degrees of freedom
+    r = st.with_correlation_p(st.guarded_correlation(four, ["metric"], "value", "other", min_n=3), "pearson_r", "p").first()
+    assert r.n == 4 and r.p == pytest.approx(t2(r.pearson_r * math.sqrt(2 / (1 - r.pearson_r**2))), rel=1e-12)
+    two = df.where("value in (1, 4, 3, 7)")
+    s = st.with_t_p(st.student_columns(st.two_group_moments(two, ["metric"], "g", "a", "b")), out="p").first()
+    assert s.dof == 2 and s.p == pytest.approx(t2(s.t_stat), rel=1e-12)
+    cells = spark.createDataFrame([(x, y) for x, y, n in (("p", "u", 3), ("p", "v", 9), ("q", "u", 8), ("q", "v", 2), ("r", "u", 5), ("r", "v", 5)) for _ in range(n)], "x string, y string")
+    c = st.with_chi2_p(st.chi_square(cells, "x", "y")).first()
+    assert c.dof == 2 and c.chi2_p == pytest.approx(math.exp(-c.chi2 / 2), rel=1e-12)
+    u = st.with_mwu_p(st.mann_whitney(df, ["metric"], "g", "a", "c")).first()
+    assert u.u_stat == 0 and u.mwu_p == pytest.approx(2 / 20) and u.mwu_p_method == "exact"
+
+
+def test_comparison_record_and_ratio_tests(spark):
+    rows = [(f"s{i}", "R" if i % 2 else "NR", float(i), float(i * i % 7)) for i in range(12)]
+    df = spark.createDataFrame(rows, "sample_id string, response string, a double, b double")
+    out = {r.metric: r for r in st.compared_with_p(df, ["a", "b"], "response", ("R", "NR")).collect()}
+    assert (out["a"].group1, out["a"].group2, out["a"].mean1, out["a"].mean2) == ("R", "NR", 6.0, 5.0)
+    assert all(0 <= r.p_value <= 1 and r.std1 > 0 for r in out.values())
+    ratios = spark.createDataFrame([("x", y, r[0], r[1], r[2] + k + 1) for r in rows for k, y in enumerate("yz")], "type_a string, type_b string, sample_id string, response string, ratio double")
+    got = st.ratio_tests(ratios, "response", "R", "NR").collect()
+    assert len(got) == 2 and all(r.welch_p <= r.welch_p_fdr <= 1 and r.mwu_p <= r.mwu_p_fdr <= 1 for r in got)
