@@ -80,28 +80,34 @@ def audit(one: list[DataFrame], two: list[DataFrame]) -> DataFrame:
 def fixity(pages: DataFrame, replica: DataFrame) -> DataFrame:
     """Where a replica of the pages' archive is damaged: offset, length, page_id, url, status, expected and found SHA-256.
 
-    ``replica`` has (offset, bytes): what is stored at the offsets of the archive's index.
+    ``replica`` has (offset, bytes), what is stored at the offsets of the archive's index, or (offset, digest), the SHA-256 of
+    that, taken where the replica is read.
     """
     index = archived(pages)
     size = index.agg(F.max(F.col("offset") + F.col("length"))).first()[0] or 0
     levels = levels_of(max(size, replica.agg(F.max("offset")).first()[0] or 0))
     first = tree(index.select("offset", F.col("order").alias("digest")), levels)
-    second = tree(replica.select("offset", F.sha2("bytes", 256).alias("digest")), levels)
+    digest = F.col("digest") if "digest" in replica.columns else F.sha2("bytes", 256)
+    second = tree(replica.select("offset", digest.alias("digest")), levels)
     bad = audit(first, second).withColumnRenamed("digest", "expected")
     status = F.when(F.col("found").isNull(), "missing").when(F.col("expected").isNull(), "extra").otherwise("changed")
     return bad.join(index.select("offset", "length", "page_id", "url"), "offset", "left").select("offset", "length", "page_id", "url", status.alias("status"), "expected", "found")
 
 
 def damaged_copy(pages: DataFrame) -> DataFrame:
-    """(offset, bytes) of a copy of the archive in which one record in 32, told by a hash, has a byte more and one in 32 is gone."""
+    """(offset, digest) of a copy of the archive in which one record in 32, told by a hash, has a byte more and one in 32 is gone.
+
+    The copy's records are hashed where they are read, so that only digests move.
+    """
     index = archived(pages)
     fate = F.substring(F.md5(F.concat_ws("|", F.col("page_id").cast("string"), F.col("url"))), 1, 2)
     rec = record(F.col("page_id"), F.col("url"), F.col("html"))
-    stored = pages.select("page_id", "url", F.sha2(rec, 256).alias("order"), F.when(fate < "08", F.concat(rec, F.lit("\n").cast("binary"))).otherwise(rec).alias("bytes"), fate.alias("fate"))
-    # equal records are told apart by nothing and have equal bytes: one of them stands for all
+    copy = F.when(fate < "08", F.concat(rec, F.lit("\n").cast("binary"))).otherwise(rec)
+    stored = pages.select("page_id", "url", F.sha2(rec, 256).alias("order"), F.sha2(copy, 256).alias("digest"), fate.alias("fate"))
+    # equal records are told apart by nothing and have equal copies: one of them stands for all
     stored = stored.where("not fate between '08' and '0f'").dropDuplicates(["page_id", "url", "order"])
     keys = [index[k].eqNullSafe(stored[k]) for k in ("page_id", "url", "order")]
-    return index.join(stored, keys[0] & keys[1] & keys[2]).select("offset", "bytes")
+    return index.join(stored, keys[0] & keys[1] & keys[2]).select("offset", "digest")
 
 
 #: The damage found, in SQL, for pages as a view.
