@@ -28,23 +28,24 @@ def edge_counts(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 # --------------------------------------------------------------------------------- label permutations, enrichment
 
 
-def permuted_positions(cells: DataFrame, keys: Sequence[str], id_col: str, n_perm: int, seed: int) -> DataFrame:
-    """(keys, perm, id, other): for every permutation the cell whose content moves to ``id``.
+def permuted_positions(cells: DataFrame, keys: Sequence[str], id_col: str, n_perm: int, seed: int, carry: Sequence[str] = ()) -> DataFrame:
+    """(keys, perm, id, other): for every permutation the cell whose content moves to ``id``, with its ``carry`` columns.
 
     A permutation is the order of a hash of (seed, perm, id); ranks are range-split, so no task holds a group.
     """
-    ids = cells.select(*_cols(keys), c(id_col).alias("id"))
-    base = row_numbers(ids, keys, ["id"], "rn")
+    ids = cells.select(*_cols(keys), c(id_col).alias("id"), *_cols(carry))
+    base = row_numbers(ids.select(*_cols(keys), "id"), keys, ["id"], "rn")
     spread = ids.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
     text = F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), F.col("id").cast("string"))
-    moved = row_numbers(spread.withColumn("__h", F.md5(text)), [*keys, "perm"], ["__h"], "rn")
-    return moved.select(*_cols(keys), "perm", "rn", F.col("id").alias("other")).join(base, [*keys, "rn"]).select(*_cols(keys), "perm", "id", "other")
+    moved = row_numbers(spread.withColumn("__h", F.unhex(F.md5(text))), [*keys, "perm"], ["__h"], "rn")
+    there = moved.select(*_cols(keys), "perm", "rn", F.col("id").alias("other"), *_cols(carry)).join(base, [*keys, "rn"])
+    return there.select(*_cols(keys), "perm", "id", "other", *_cols(carry))
 
 
 def permuted_labels(cells: DataFrame, keys: Sequence[str], id_col: str, label: str, n_perm: int, seed: int) -> DataFrame:
     """Per cell, the array of its label under permutations 0 (the real one) to n_perm."""
     own = cells.select(*_cols(keys), c(id_col).alias("id"), c(label).alias("label"))
-    moved = permuted_positions(cells, keys, id_col, n_perm, seed).join(own.withColumnRenamed("id", "other"), [*keys, "other"])
+    moved = permuted_positions(own, keys, "id", n_perm, seed, ["label"])
     every = own.select(*_cols(keys), F.lit(0).alias("perm"), "id", "label").unionByName(moved.select(*_cols(keys), "perm", "id", "label"))
     entry = F.array_sort(F.collect_list(F.struct("perm", "label")))
     return every.groupBy(*_cols(keys), "id").agg(entry.alias("e")).select(*_cols(keys), "id", F.col("e.label").alias("labels"))
