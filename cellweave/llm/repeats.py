@@ -14,6 +14,8 @@ one with the smallest hash is its anchor; equal passages have equal anchors at e
 An anchor with more than ``hot`` different contexts is not gathered: its passages are sent one by one under their own
 128-bit hashes, of which a batch of documents sends each once, so no task meets all documents that share a line.
 
+``repeat_groups`` deals the groups themselves, copies of whole contexts and hot passages included.
+
 Defined results: null text is empty; documents are ordered by id, null last, and rows of one id by a hash of their text; rows
 that repeat id and text are one document and get the same result; an empty table gives an empty result; ``removed`` ignores
 further columns and ``deduplicated`` keeps them.
@@ -520,23 +522,124 @@ def deduplicated(docs: DataFrame, hot: int = 4096, batch_hot: int = 256) -> Data
     return out.withColumnsRenamed({v: k for k, v in clash.items()})
 
 
-def repeat_groups(docs: DataFrame, hot: int = 4096, batch_hot: int = 256) -> DataFrame:
-    """(repeat, length, dk, start): maximal repeat groups of numbered documents, with all their occurrences.
+def _owned(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, low, high): the passages whose anchor is the gram at ``at`` start at low to high - 1 (the leftmost of equal grams counts).
 
-    Groups are maximal within the context of an anchor; a longer passage is a chain of groups. Copies of a whole context are
-    listed through their first.
+    ``first`` and ``last`` are the bounds of the anchors' documents. What a passage's anchor is depends on its bytes alone.
+    """
+    gram, low, high = np.zeros(len(at), U), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for k in range(0, len(at), 4096):
+        t, f, e = at[k : k + 4096], first[k : k + 4096], last[k : k + 4096]
+        place = t[:, None] + np.arange(-SPREAD, SPREAD + 1)
+        fine = (place >= f[:, None]) & (place + GRAM <= e[:, None])
+        flat = np.where(fine, place, t[:, None])
+        grams = _mixed_grams(data, flat)
+        own = grams[:, SPREAD : SPREAD + 1]
+        before = np.where((fine & (grams <= own))[:, :SPREAD], np.arange(SPREAD) + 1, 0).max(axis=1)
+        after = np.where((fine & (grams < own))[:, SPREAD + 1 :], np.arange(SPREAD) + 1, SPREAD + 1).min(axis=1)
+        gram[k : k + 4096] = own[:, 0]
+        low[k : k + 4096] = np.maximum(t - SPREAD + before, f)
+        high[k : k + 4096] = np.minimum(t + after - SPREAD, e - LEAST + 1)
+    return gram, low, high
+
+
+def _mixed_grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the grams at a table of places, as ``anchors`` compares them."""
+    lowest = int(at.min())
+    rolling = Rolling(data[lowest : int(at.max()) + GRAM])
+    return rolling.all(0, len(rolling.sums) - GRAM, GRAM)[at - lowest] | U(1)
+
+
+def _contexts(docs: DataFrame) -> DataFrame:
+    """(key, dk, start, n_starts, bytes) of the anchors whose gram occurs more than once: each passage belongs to one of them.
+
+    Passages start at the first ``n_starts`` bytes of the context, which begins at ``start`` of the document.
     """
-    rows = suffixes(docs, materialize(marked(docs, hot, batch_hot)))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1, 1 << 20):
+            ids = batch.column(0).to_numpy()
+            data, starts, ends = text_bytes(batch.column(1))
+            doc, at, gram, _ = anchors(data, starts, ends)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(ids[doc]), pa.array(at - starts[doc])], names=["key", "dk", "at"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1, 1 << 20):
+            ids, lists = batch.column(0).to_numpy(), batch.column(2)
+            data, starts, ends = text_bytes(batch.column(1))
+            doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            at = starts[doc] + lists.flatten().to_numpy()
+            gram, low, high = _owned(data, at, starts[doc], ends[doc])
+            pick = np.flatnonzero(high > low)
+            low, high, doc = low[pick], high[pick], doc[pick]
+            b = np.minimum(at[pick] + LEAST, ends[doc])
+            strings = [data[x:y].tobytes() for x, y in zip(low.tolist(), b.tolist())]
+            columns = (gram[pick].view(np.int64), ids[doc], low - starts[doc], high - low, strings)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], names=["key", "dk", "start", "n_starts", "bytes"])
+
+    texts = docs.select("dk", F.col("text").cast("binary").alias("text"))
+    found = materialize(texts.mapInArrow(emit, "key long, dk long, at long").distinct())
+    shared = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    wanted = found.join(shared, "key").groupBy("dk").agg(F.collect_list("at").alias("ats"))
+    rows = texts.join(wanted, "dk").mapInArrow(cut, "key long, dk long, start long, n_starts long, bytes binary")
+    return rows.dropDuplicates(["dk", "start"])
+
+
+def _array_groups(classes: DataFrame) -> DataFrame:
+    """(repeat, length, first, offset) from a suffix array of the contexts of each gram; of a class two contexts at most."""
+    twice = F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(2).cast("long")))
+    rows = classes.select("key", F.col("first.dk").alias("dk"), F.col("first.start").alias("start"), "n_starts", "bytes", F.explode(twice).alias("copy"))
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _blocks(whole_groups(batches, ["key"])):
-            array, _ = _arrays(table)
-            for length, doc, pos in array.groups():
-                first = np.lexsort((pos, doc))[0]
-                name = f"{doc[first]}:{pos[first]}:{length}"
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(doc)), pa.array(np.full(len(doc), length)), pa.array(doc), pa.array(pos)], names=["repeat", "length", "dk", "start"])
+            release_memory()
+            dk, start, n = (table.column(k).to_numpy() for k in ("dk", "start", "n_starts"))
+            none = np.zeros(len(dk), np.int64)
+            array = SuffixArray(table.column("bytes").to_pylist(), none, n, np.arange(len(dk)), none)
+            for length, row, offset in array.groups():
+                first = np.lexsort((start[row] + offset, dk[row]))[0]
+                name = f"{dk[row][first]}:{start[row][first] + offset[first]}:{length}"
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(row)), pa.array(np.full(len(row), length)), pa.array(dk[row]), pa.array(start[row]), pa.array(offset)], names=["repeat", "length", "dk", "start", "offset"])
+
+    found = _gathered(rows).mapInArrow(groups, "repeat string, length long, dk long, start long, offset long").distinct()
+    return found.select("repeat", "length", F.struct("dk", "start").alias("first"), "offset")
+
+
+def _hashed_groups(classes: DataFrame) -> DataFrame:
+    """The same for grams with too many classes for one task: every extension of a repeated passage is counted by its bytes."""
+    at = lambda first, size: F.substring("bytes", F.col(first).cast("int") + 1, size)
+    starts = classes.select("first", "n", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_starts") - 1)).alias("offset"))
+    passages = starts.withColumn("passage", at("offset", F.lit(LEAST)))
+    repeated = passages.groupBy("passage").agg(F.sum("n").alias("m")).where("m > 1").select("passage")
+    kept = materialize(passages.join(repeated, "passage").drop("passage"))
+    longer = kept.withColumn("length", F.explode(F.sequence(F.lit(LEAST).cast("long"), F.octet_length("bytes") - F.col("offset"))))
+    longer = longer.withColumn("end", F.col("offset") + F.col("length")).withColumn("string", at("offset", F.col("length").cast("int")))
+    # at a bound of the context the bytes outside are not known: the group is open there
+    left = F.when(F.col("offset") > 0, F.substring("bytes", F.col("offset").cast("int"), F.lit(1)))
+    right = F.when(F.col("end") < F.octet_length("bytes"), at("end", F.lit(1)))
+    longer = longer.select("first", "n", "offset", "length", "string", left.alias("left"), right.alias("right"))
+    place = F.struct(F.col("first.dk").alias("dk"), (F.col("first.start") + F.col("offset")).alias("start"))
+    differ = lambda k: F.expr(f"count(*) > count({k}) or min({k}) <> max({k})")
+    groups = longer.groupBy("string").agg(F.sum("n").alias("m"), F.min(place).alias("p"), differ("left").alias("l"), differ("right").alias("r")).where("m > 1 and l and r")
+    named = groups.select("string", F.concat_ws(":", "p.dk", "p.start", F.octet_length("string")).alias("repeat"))
+    return longer.join(named, "string").select("repeat", "length", "first", "offset")
+
+
+def repeat_groups(docs: DataFrame, hot: int = 4096) -> DataFrame:
+    """(repeat, length, dk, start): maximal repeat groups of numbered documents, with all their occurrences.
 
-    return _gathered(rows).mapInArrow(groups, "repeat string, length long, dk long, start long").distinct()
+    Groups are maximal within the context of an anchor; a longer passage is a chain of groups. One context stands for each
+    class of equal ones and its groups are dealt to all members. A gram with more than ``hot`` classes goes to no single task.
+    """
+    contexts = materialize(_contexts(docs))
+    same = ["key", "n_starts", "bytes"]
+    classes = contexts.groupBy(*same).agg(F.min(F.struct("dk", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
+    sizes = classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("members")).where("members > 1")
+    classes = materialize(classes.join(sizes, "key"))
+    found = _array_groups(classes.where(F.col("classes") <= hot)).unionByName(_hashed_groups(classes.where(F.col("classes") > hot)))
+    members = contexts.join(classes.select(*same, "first"), same).select("first", "dk", "start")
+    return materialize(found).join(members, "first").select("repeat", "length", "dk", (F.col("start") + F.col("offset")).alias("start"))
 
 
 #: What ``removed`` returns, in SQL, for documents with unique ids as a view.

@@ -93,6 +93,35 @@ def test_groups_hold_all_occurrences(spark):
         assert len(strings) == 1 and len(members) > 1 and len(strings.pop()) >= LEAST
 
 
+@pytest.mark.parametrize("hot", [4096, 3, 0])
+def test_groups_miss_no_repeated_passage(spark, hot):
+    twin = " ".join(f"twin{i}" for i in range(60))
+    line = " ".join(f"line{i}" for i in range(18))
+    docs = [(d, t) for d, t in corpus(4, 12) if t]
+    docs += [(200, twin), (201, twin), (202, twin)]  # equal documents: one context only
+    docs += [(300 + i, f"{i * i} before {line} after {i * 7}") for i in range(6)]  # one line in many contexts
+    places = {}
+    for d, t in docs:
+        b = t.encode()
+        for i in range(len(b) - LEAST + 1):
+            places.setdefault(b[i : i + LEAST], set()).add((d, i))
+    df = repeats.numbered(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    text, groups = {d: t.encode() for d, t in docs}, {}
+    rows = repeats.repeat_groups(df, hot).collect()
+    for r in rows:
+        groups.setdefault((r.repeat, r.length), set()).add((r.dk, r.start))
+    assert len(rows) == sum(map(len, groups.values()))
+    listed = set()
+    for (_, n), members in groups.items():
+        (whole,) = {text[d][s : s + n] for d, s in members}
+        # all occurrences of the group's string, and with it of the passages inside that occur nowhere else
+        assert members == {(d, s) for d, s in places[whole[:LEAST]] if text[d][s : s + n] == whole}
+        for i in range(n - LEAST + 1):
+            if places[whole[i : i + LEAST]] == {(d, s + i) for d, s in members}:
+                listed.add(whole[i : i + LEAST])
+    assert listed == {w for w, p in places.items() if len(p) > 1}
+
+
 def test_stage_keeps_columns_and_whole_characters(spark):
     p = "é" * 80
     rows = [(1, p, "dk of its own", 5), (2, "x" + p + "tail", None, 6)]
