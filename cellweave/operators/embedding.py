@@ -171,7 +171,8 @@ def _tree_sum(df: DataFrame, fn, size: int, fan: int = 32) -> np.ndarray:
 def corrected_for_batch(df: DataFrame, id_col: str, vec: str, batch: str, n_clusters: int | None = None, theta: float = 2.0, sigma: float = 0.1, ridge: float = 1.0, rounds: int = 10, inner: int = 8, damping: float = 0.25, tol: float = 1e-4, out: str = "corrected", seed: int = 42) -> DataFrame:
     """Soft-cluster cells so that batches mix within clusters, then remove each cluster's batch offset (Harmony).
 
-    Tasks see batches of cells and the small cluster state; only cluster x batch x component sums are added up.
+    Tasks see batches of cells and the small cluster state; only cluster x batch x component sums are added up. Column
+    ``converged`` says whether the offsets settled within ``tol``; false means that ``rounds`` came first.
     """
     batches = [r[0] for r in df.select(batch).distinct().orderBy(batch).limit(10_001).collect()]
     if len(batches) > 10_000:
@@ -210,7 +211,7 @@ def corrected_for_batch(df: DataFrame, id_col: str, vec: str, batch: str, n_clus
         return flat[: k * nb].reshape(k, nb), flat[k * nb : k * nb * (1 + d)].reshape(k, nb, d), flat[k * nb * (1 + d) :].reshape(k, nb, d)
 
     state = {"y": centres, "penalty": np.ones((k, nb))}
-    last, mixed = None, None
+    last, mixed, converged = None, None, False
     for _ in range(rounds):
         for _ in range(inner):
             o, sc, sz = sums(state)
@@ -238,9 +239,10 @@ def corrected_for_batch(df: DataFrame, id_col: str, vec: str, batch: str, n_clus
         base = materialize(base.mapInPandas(apply, base.schema))
         norm = float(np.abs(shift).sum())
         if last is not None and abs(last - norm) <= tol * max(last, 1e-12):
+            converged = True
             break
         last = norm
-    return df.join(base.select(F.col("id").alias(id_col), F.col("zc").alias(out)), id_col)
+    return df.join(base.select(F.col("id").alias(id_col), F.col("zc").alias(out), F.lit(converged).alias("converged")), id_col)
 
 
 # ---------------------------------------------------------------------------------------------- mixing measures

@@ -108,8 +108,8 @@ def _(t):
 @query("m7_batch_corrected")
 def _(t):
     base = materialize(em.pca(em.scaled(embedded(t)), k=10)[0])
-    out = em.corrected_for_batch(base, "cell_id", "pcs", "sample_id", rounds=3)
-    return out.select("cell_id", "sample_id", F.posexplode("corrected").alias("pc", "score"))
+    out = em.corrected_for_batch(base, "cell_id", "pcs", "sample_id", rounds=20)
+    return out.select("cell_id", "sample_id", "converged", F.posexplode("corrected").alias("pc", "score"))
 
 
 _lisi = """(SELECT src, CAST(sum(n) * sum(n) AS DOUBLE) / sum(n * n) AS lisi FROM (SELECT src, sample_id, count(*) AS n FROM (

@@ -46,6 +46,30 @@ def test_batch_offset_is_removed(spark):
     assert lisi[1][0] > lisi[0][0] and all(1 <= v[1] and v[2] <= 2 for v in lisi)
 
 
+def test_batch_correction_says_whether_it_settled(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    n = 240
+    batch, kind = np.arange(n) % 2, (np.arange(n) // 2) % 2
+    z = rng.normal(size=(n, 3)) * 0.3 + kind[:, None] * np.array([6, 0, 0]) + batch[:, None] * np.array([0, 2.0, 0]) + np.array([1, 1, 3])
+    df = spark.createDataFrame(pd.DataFrame({"cell_id": range(n), "b": batch.astype(str), "z": list(z)}))
+    settled = {k: {r.converged for r in em.corrected_for_batch(df, "cell_id", "z", "b", n_clusters=4, rounds=k).collect()} for k in (2, 20)}
+    assert settled == {2: {False}, 20: {True}}
+    # the query goes as far as the reference and hands the column on
+    from cellweave.plans import catalog, embedding_queries
+    from cellweave.plans.tables import Tables
+
+    seen = {}
+
+    def stub(df, id_col, vec, batch, rounds):
+        seen["rounds"] = rounds
+        return df.withColumn("corrected", F.col(vec)).withColumn("converged", F.lit(True))
+
+    monkeypatch.setattr(embedding_queries.em, "corrected_for_batch", stub)
+    rows = spark.range(40).select(F.col("id").alias("vec_id"), (F.col("id") % 3).alias("label"), F.array(*[F.rand(i) for i in range(12)]).alias("embedding"))
+    monkeypatch.setattr(Tables, "read", lambda self, name: rows)
+    assert "converged" in catalog.queries()["m7_batch_corrected"](spark, "").columns and seen == {"rounds": 20}
+
+
 @pytest.fixture(scope="module")
 def table(spark):
     rng = np.random.default_rng(10)
