@@ -93,6 +93,23 @@ def test_betweenness_is_exact_with_all_sources(spark):
         assert got[v] == pytest.approx(want[v] / ((n - 1) * (n - 2)))
 
 
+def test_sources_of_betweenness_grow_with_the_group(spark):
+    pairs = random_graph(60, 0.06)
+    e = frame(spark, pairs)
+    rows = gr.betweenness(e, ["sample_id"]).collect()
+    exact = {r.node: r.betweenness for r in rows}
+    n = len(exact)
+    assert {r.n_sources for r in rows} == {n}
+    blocks = gr.betweenness(e, ["sample_id"], block_rows=25 * n).collect()
+    assert {r.node: r.betweenness for r in blocks} == pytest.approx(exact)
+    some = gr.betweenness(e, ["sample_id"], whole=20).collect()
+    assert {r.n_sources for r in some} == {int(np.ceil(np.sqrt(20 * n)))}
+    error = max(abs(r.betweenness - exact[r.node]) for r in some)
+    few = max(abs(r.betweenness - exact[r.node]) for r in gr.betweenness(e, ["sample_id"], 8).collect())
+    print(f"largest error {error:.4f} of {max(exact.values()):.4f}; {few:.4f} with 8 sources")
+    assert error < 0.35 * max(exact.values()) and error < few
+
+
 def test_components_and_pagerank(spark):
     pairs = [(i, i + 1) for i in range(15)] + [(20, 21), (21, 22)]
     nodes = spark.createDataFrame([("a", i) for i in [*range(16), 20, 21, 22, 30]], "sample_id string, node long")
