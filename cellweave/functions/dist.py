@@ -52,26 +52,46 @@ def _minus_log1p(d):
     return out
 
 
-def _beta_fraction(a, b, x):
-    """Continued fraction of the incomplete beta function (modified Lentz), run until it settles."""
-    tiny = 1e-300
-    c_ = np.ones_like(x)
-    d = 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-    h = d.copy()
+SETTLED = 1e-15  # a few units of rounding: below that, successive factors flip at random
+TINY = 1e-300
+
+
+def _lentz(step, first, c_, params, what: str):
+    """Continued fractions by the modified Lentz method, each element run until it settles on its own.
+
+    ``first`` is the first denominator of each element, ``c_`` the ratio of numerators that goes with it; ``step(m, *params)`` gives
+    the (numerator, denominator) pairs of round m for the elements that are still open. Settled elements are frozen and leave, so a
+    batch of any size ends with its slowest element.
+    """
+    d = 1.0 / np.where(np.abs(first) < TINY, TINY, first)
+    h, c_, out, open_ = d.copy(), np.full(len(d), c_), np.empty(len(d)), np.arange(len(d))
     for m in range(1, MOST_TERMS):
-        for num in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d = 1.0 + num * d
-            d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-            c_ = 1.0 + num / c_
-            c_ = np.where(np.abs(c_) < tiny, tiny, c_)
-            h = h * d * c_
-        if np.all(np.abs(d * c_ - 1.0) < 4e-16):
-            return h
-    raise Unconverged("incomplete beta")
+        if not len(open_):
+            return out
+        for num, den in step(m, *params):
+            d = den + num * d
+            d = 1.0 / np.where(np.abs(d) < TINY, TINY, d)
+            c_ = den + num / c_
+            c_ = np.where(np.abs(c_) < TINY, TINY, c_)
+            factor = d * c_
+            h = h * factor
+        done = np.abs(factor - 1.0) < SETTLED
+        if done.any():
+            out[open_[done]] = h[done]
+            left = ~done
+            d, h, c_, open_ = d[left], h[left], c_[left], open_[left]
+            params = [v[left] for v in params]
+    raise Unconverged(what)
+
+
+def _beta_fraction(a, b, x):
+    """Continued fraction of the incomplete beta function; its first coefficient belongs to the first denominator."""
+
+    def step(m, p, q, y):
+        yield m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), 1.0
+        yield -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1)), 1.0
+
+    return _lentz(step, 1.0 - (a + b) * x / (a + 1.0), 1.0, [a, b, x], "incomplete beta")
 
 
 def beta_inc(a, b, x):
@@ -106,6 +126,23 @@ def f_upper(f, d1, d2):
     return beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 
 
+def _gamma_series(a, x):
+    """Sum of x^n / (a (a + 1) ... (a + n)), each element run until its terms no longer count."""
+    term = 1.0 / a
+    total, out, open_ = term.copy(), np.empty(len(a)), np.arange(len(a))
+    for n in range(1, MOST_TERMS):
+        term = term * x / (a + n)
+        total = total + term
+        done = np.abs(term) < np.abs(total) * 1e-17
+        if done.any():
+            out[open_[done]] = total[done]
+            left = ~done
+            if not left.any():
+                return out
+            term, total, open_, a, x = term[left], total[left], open_[left], a[left], x[left]
+    raise Unconverged("incomplete gamma")
+
+
 def chi2_upper(x, k):
     """Upper tail of chi-square: incomplete gamma by series or continued fraction."""
     x, a = np.broadcast_arrays(np.asarray(x, float) / 2, np.asarray(k, float) / 2)
@@ -117,36 +154,11 @@ def chi2_upper(x, k):
     # x^a e^-x / Gamma(a)
     front = lambda aa, xx: np.sqrt(aa / (2 * math.pi)) * np.exp(-_stirling_error(aa) - _deviance(aa, xx))
     if low.any():
-        aa, xx = a[low], x[low]
-        term = 1.0 / aa
-        total = term.copy()
-        for n in range(1, MOST_TERMS):
-            term = term * xx / (aa + n)
-            total += term
-            if np.all(np.abs(term) < np.abs(total) * 1e-17):
-                break
-        else:
-            raise Unconverged("incomplete gamma")
-        out[low] = 1 - total * front(aa, xx)
+        out[low] = 1 - _gamma_series(a[low], x[low]) * front(a[low], x[low])
     if high.any():
         aa, xx = a[high], x[high]
-        b = xx + 1 - aa
-        c_ = np.full_like(b, 1e300)
-        d = 1 / b
-        h = d.copy()
-        for i in range(1, MOST_TERMS):
-            an = -i * (i - aa)
-            b = b + 2
-            d = an * d + b
-            d = 1 / np.where(np.abs(d) < 1e-300, 1e-300, d)
-            c_ = b + an / c_
-            c_ = np.where(np.abs(c_) < 1e-300, 1e-300, c_)
-            h = h * d * c_
-            if np.all(np.abs(d * c_ - 1) < 4e-16):
-                break
-        else:
-            raise Unconverged("incomplete gamma")
-        out[high] = h * front(aa, xx)
+        step = lambda i, p, y: [(-i * (i - p), y + (1 - p + 2 * i))]
+        out[high] = _lentz(step, xx + 1 - aa, 1 / TINY, [aa, xx], "incomplete gamma") * front(aa, xx)
     return out
 
 
@@ -224,20 +236,28 @@ def mwu_two_sided(u1, n1, n2, tie_term, exact=None):
 
 
 def fisher_two_sided(a, b, c, d):
-    """Two-sided Fisher exact p for 2x2 tables."""
+    """Two-sided Fisher exact p for 2x2 tables.
+
+    Only counts within 40 standard deviations of the mode, or of the observed count, can add to a double: the work grows with
+    the square root of a table's size.
+    """
     out = np.full(len(a), np.nan)
     for i, (w, x, y, z) in enumerate(zip(a, b, c, d)):
         w, x, y, z = int(w), int(x), int(y), int(z)
         r1, c1, n = w + x, w + y, w + x + y + z
         lo, hi = max(0, r1 + c1 - n), min(r1, c1)
-        k = np.arange(lo, hi + 1, dtype=float)
+        mode = (r1 + 1) * (c1 + 1) // (n + 2)
+        spread = math.sqrt(r1 * (c1 / max(n, 1)) * ((n - c1) / max(n, 1)) * ((n - r1) / max(n - 1, 1)))
+        reach = int(40 * spread) + 50
+        around = [np.arange(max(lo, at - reach), min(hi, at + reach) + 1) for at in (mode, w)]
+        k = np.union1d(*around).astype(float)
         lp = (
             _lgamma(r1 + 1.0) - _lgamma(k + 1) - _lgamma(r1 - k + 1)
             + _lgamma(n - r1 + 1.0) - _lgamma(c1 - k + 1) - _lgamma(n - r1 - c1 + k + 1)
             - (_lgamma(n + 1.0) - _lgamma(c1 + 1.0) - _lgamma(n - c1 + 1.0))
         )
         p = np.exp(lp)
-        out[i] = min(1.0, p[p <= p[w - lo] * (1 + 1e-7)].sum())
+        out[i] = min(1.0, p[p <= p[np.searchsorted(k, w)] * (1 + 1e-7)].sum())
     return out
 
 

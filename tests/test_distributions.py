@@ -80,3 +80,19 @@ def test_tails_settle_at_any_size():
     # an odd number of degrees: P(chi2_1 > x) = erfc(sqrt(x / 2)); t with 1 degree is Cauchy
     assert dist.chi2_upper([7.3], [1])[0] == pytest.approx(math.erfc(math.sqrt(3.65)), rel=1e-13)
     assert dist.t_two_sided([3.0], [1])[0] == pytest.approx(1 - 2 * math.atan(3) / math.pi, rel=1e-12)
+
+
+@pytest.mark.parametrize("df", [5.0, 295.0, 1e4, 1e6, 1e8])
+def test_large_batches_settle_element_by_element(df):
+    rng, n, limit = np.random.default_rng(1), 10_000, min(df, 1e6)
+    t, f, x = 2 * rng.standard_normal(n), rng.f(3, limit, n), rng.chisquare(df, n)
+    for values, tail in ((t, lambda v: dist.t_two_sided(v, df)), (f, lambda v: dist.f_upper(v, 3, df)), (x, lambda v: dist.chi2_upper(v, df))):
+        whole, some = tail(values), range(0, n, 1000)
+        assert np.isfinite(whole).all()
+        assert whole[some] == pytest.approx([tail(values[i : i + 1])[0] for i in some], rel=1e-12)
+
+
+def test_fisher_sums_around_the_mode_and_the_observed_count():
+    assert dist.fisher_two_sided([40_000_000], [40_000_000], [40_000_000], [40_000_000])[0] == pytest.approx(1.0, abs=1e-3)
+    assert dist.fisher_two_sided([9000], [1000], [1000], [9000])[0] == 0.0
+    assert dist.fisher_two_sided([900], [1000], [1000], [900])[0] == pytest.approx(math.erfc(3.212 / math.sqrt(2)), rel=0.02)
