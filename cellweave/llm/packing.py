@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -116,10 +117,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, with_ids: bool
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+Plan = list[tuple[int, dict[int, int]]]
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     """Fillings (times, {length: how many}) by largest first, each gap taking the longest piece that fits."""
     left, out = dict(counts), []
-    order = sorted(left, reverse=True)
+    order = sorted((x for x in left if left[x]), reverse=True)
     while order:
         room, filling, i = capacity, {}, 0
         while i < len(order) and room:
@@ -128,104 +132,189 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int,
                 filling[order[i]] = n
                 room -= n * order[i]
             i += 1
-        out.append(_apply(left, filling))
+        times = min(left[x] // n for x, n in filling.items())
+        for x, n in filling.items():
+            left[x] -= times * n
+        out.append((times, filling))
         order = [x for x in order if left[x]]
     return out
 
 
-def _apply(left: dict[int, int], filling: dict[int, int]) -> tuple[int, dict[int, int]]:
-    times = min(left[x] // n for x, n in filling.items())
-    for x, n in filling.items():
-        left[x] -= times * n
-    return times, filling
+def lower_bound(counts: dict[int, int], capacity: int, most: int = 64) -> int:
+    """Sequences that any plan needs: the best of the sum of lengths and two families of dual feasible functions.
 
+    A piece longer than ``capacity - e`` counts as a whole sequence and one shorter than ``e`` as nothing, for every e up to half
+    of ``capacity`` (Martello and Toth, 1990); in between it counts as its share, or as the share rounded to ``floor((k + 1) x) / k``
+    for k up to ``most`` (Fekete and Schepers, 2001), which knows that three pieces over a third never meet.
+    """
+    size = np.array(sorted(x for x in counts if counts[x]), np.int64)
+    if not len(size):
+        return 0
+    n = np.array([counts[int(x)] for x in size], np.int64)
+    e = np.append(size[2 * size <= capacity], 0)
+    first, last = np.searchsorted(size, e), np.searchsorted(size, capacity - e, "right")
+    whole = np.append(0, np.cumsum(n))
+    best = 0
+    for k in range(most + 1):
+        exact = np.ones(len(size), bool) if k == 0 else (k + 1) * size % capacity == 0
+        share = np.append(0, np.cumsum(np.where(exact, n * size, 0)))
+        steps = np.append(0, np.cumsum(np.where(exact, 0, n * ((k + 1) * size // capacity))))
+        k = max(k, 1)
+        top = k * (share[last] - share[first]) + capacity * (steps[last] - steps[first])  # times 1 / (k capacity)
+        best = max(best, int((-(-top // (k * capacity)) + whole[-1] - whole[last]).max()))
+    return best
+
+
+class Stock:
+    """Pieces left, by length from the longest; ``fillings`` looks for sequences around the longest one left."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.size = np.array(sorted((x for x in counts if counts[x]), reverse=True), np.int64)
+        self.left = np.array([counts[int(x)] for x in self.size], np.int64)
+        self.capacity = capacity
+
+    def move(self, filling: dict[int, int], times: int) -> None:
+        """Take the filling's pieces away ``times`` times; a negative number puts them back."""
+        for i, n in filling.items():
+            self.left[i] -= times * n
+
+    def longest(self, start: int) -> int:
+        """The index of the longest piece left, from ``start`` on; the number of lengths if none is left."""
+        some = self.left[start:] > 0
+        return start + int(some.argmax()) if some.any() else len(self.size)
+
+    def fillings(self, start: int, most_waste: int, steps: int, width: int) -> list[tuple[int, dict[int, int]]]:
+        """At most ``width`` undominated fillings around the longest piece: (waste, {index: how many}), least waste first.
+
+        A filling is dominated, and skipped, if a left-out piece would still fit, or could replace a shorter chosen one within
+        the gap. Branches whose gap can't come down to the waste still allowed are cut, a gap that one piece closes is closed at
+        once, and the search ends with ``width`` fillings without waste or after ``steps`` branchings.
+        """
+        room = self.capacity - int(self.size[start])
+        low = int(np.searchsorted(-self.size, -room))
+        stock = self.left.copy()
+        stock[start] -= 1
+        live = low + np.flatnonzero(stock[low:])
+        sizes, counts = self.size[live].tolist(), stock[live].tolist()
+        reach = np.append(np.cumsum((self.size[live] * stock[live])[::-1])[::-1], 0).tolist()
+        at = {x: i for i, x in enumerate(sizes)}
+        rising = [-x for x in sizes]
+        found: list[tuple[int, dict[int, int]]] = []
+        seen: set[tuple] = set()
+        best, budget = most_waste, steps
+
+        def spare(i: int, chosen: dict[int, int]) -> bool:
+            return counts[i] > chosen.get(i, 0)
+
+        def undominated(gap: int, chosen: dict[int, int]) -> bool:
+            for i in range(len(sizes) - 1, -1, -1):
+                if spare(i, chosen):
+                    if sizes[i] <= gap:
+                        return False
+                    break
+            for i, x in enumerate(sizes[: max(chosen, default=-1) + 1]):
+                j = i - 1
+                while i in chosen and j >= 0 and sizes[j] <= x + gap:
+                    if spare(j, chosen):
+                        return False
+                    j -= 1
+            return True
+
+        def keep(gap: int, chosen: dict[int, int]) -> None:
+            nonlocal best
+            mark = tuple(sorted(chosen.items()))
+            if gap <= best and mark not in seen and (not gap or undominated(gap, chosen)):
+                seen.add(mark)
+                found.append((gap, dict(chosen)))
+                best = min(best, gap) if len(found) >= width else best
+
+        def search(i: int, gap: int, chosen: dict[int, int]) -> bool:
+            """True when the search is over."""
+            nonlocal budget
+            budget -= 1
+            closing = at.get(gap)
+            if closing is not None and closing >= i and spare(closing, chosen):
+                keep(0, chosen | {closing: chosen.get(closing, 0) + 1})
+            else:
+                i = max(i, bisect_left(rising, -gap))
+                if i == len(sizes) or not gap:
+                    keep(gap, chosen)
+                elif gap - reach[i] <= best:
+                    for n in range(min(counts[i], gap // sizes[i]), -1, -1):
+                        if search(i + 1, gap - n * sizes[i], chosen | {i: n} if n else chosen):
+                            return True
+            return budget <= 0 or (best == 0 and len(found) >= width)
 
-def completions(order: list[int], left: dict[int, int], capacity: int, most_waste: int, steps: int, width: int) -> list[tuple[int, dict[int, int]]]:
-    """Undominated fillings around the largest piece, least waste first: (waste, filling).
+        search(0, room, {})
+        out = []
+        for waste, chosen in sorted(found, key=lambda f: f[0])[:width]:
+            filling = {int(live[i]): n for i, n in chosen.items()}
+            filling[start] = filling.get(start, 0) + 1
+            out.append((waste, filling))
+        return out
 
-    A filling is dominated, and skipped, if a left-out piece would still fit, or could replace a shorter chosen one within
-    the gap. Branches whose gap can't come down to the waste that is still allowed are cut.
-    """
-    largest, found, best = order[0], [], most_waste
-    sizes = [x for x in order if left[x] - (x == largest) > 0 and x <= capacity - largest]
-    tail = [0] * (len(sizes) + 1)
-    for i in range(len(sizes) - 1, -1, -1):
-        tail[i] = min(capacity, tail[i + 1] + sizes[i] * (left[sizes[i]] - (sizes[i] == largest)))
-    budget = steps
-
-    def undominated(room: int, chosen: dict[int, int]) -> bool:
-        spare = [x for x in sizes if left[x] - (x == largest) > chosen.get(x, 0)]
-        if spare and spare[-1] <= room:
-            return False
-        return not any(x < y <= x + room for x in chosen for y in spare)
-
-    def search(i: int, room: int, chosen: dict[int, int]) -> None:
-        nonlocal budget, best
-        budget -= 1
-        while i < len(sizes) and sizes[i] > room:
-            i += 1
-        if i == len(sizes) or not room:
-            if room <= best and undominated(room, chosen):
-                found.append((room, dict(chosen)))
-                best = min(best, room) if len(found) >= width else best
-            return
-        if room - tail[i] > best:
-            return
-        x = sizes[i]
-        for n in range(min(left[x] - (x == largest), room // x), -1, -1):
-            if budget <= 0 or (found and found[-1][0] == 0 and len(found) >= width):
-                return
-            if n:
-                chosen[x] = n
-            search(i + 1, room - n * x, chosen)
-            chosen.pop(x, None)
-
-    import sys
-
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 3 * len(sizes) + 1000))
-    search(0, capacity - largest, {})
-    out = []
-    for waste, chosen in sorted(found, key=lambda f: f[0])[:width]:
-        chosen[largest] = chosen.get(largest, 0) + 1
-        out.append((waste, chosen))
-    return out
 
+class Branching:
+    """One sequence of the plan in the making: the fillings to try there and the one in place."""
+
+    __slots__ = ("start", "waste", "options", "tried", "placed", "wide")
+
+    def __init__(self, start: int, waste: int, options: list):
+        self.start, self.waste, self.options, self.tried, self.placed, self.wide = start, waste, options, 0, None, False
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 4000, steps: int = 400, width: int = 3) -> list[tuple[int, dict[int, int]]]:
-    """Fillings that use every piece, in as few sequences as found within ``nodes`` branchings.
 
-    Best-fit decreasing is the first incumbent. If it needs more sequences than the sum of lengths asks for, the search
-    branches, sequence by sequence, over the undominated fillings around the largest piece left; a branch ends when its
-    waste exceeds what one sequence fewer than the incumbent's would allow. A filling is used as often as the counts let it.
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 2000, steps: int = 300, width: int = 4) -> Plan:
+    """Fillings that use every piece, in as few sequences as found within ``nodes`` branchings after the first plan.
+
+    Best-fit decreasing is the first incumbent. If it needs more sequences than ``lower_bound``, the search goes down sequence by
+    sequence, around the longest piece left, by the filling of least waste, used as often as the counts let it; then it
+    backtracks over the other undominated fillings and over using a filling once. A branch ends when its waste exceeds what one
+    sequence fewer than the incumbent's would allow. The search holds one set of counts, taken from and put back, and one entry
+    for each filling on the way: memory grows with the number of lengths, not with the branchings.
     """
     incumbent = best_fit(counts, capacity)
-    total = sum(x * n for x, n in counts.items())
-    least = -(-total // capacity)
-    bins = lambda plan: sum(t for t, _ in plan)
-    # depth first over (counts left, plan so far, waste so far, fillings still to try)
-    stack = [(dict(counts), [], 0, None)]
-    while stack and bins(incumbent) > least and nodes > 0:
-        left, plan, waste, options = stack.pop()
-        allowed = (bins(incumbent) - 1) * capacity - total
-        order = sorted((x for x in left if left[x]), reverse=True)
-        if not order:
-            if bins(plan) < bins(incumbent):
-                incumbent = plan
-            continue
-        if waste > allowed:
+    least, total = lower_bound(counts, capacity), sum(x * n for x, n in counts.items())
+    most = sum(t for t, _ in incumbent)
+    if most <= least:
+        return incumbent
+    stock = Stock(counts, capacity)
+    sizes, used = stock.size.tolist(), 0
+    allowed = (most - 1) * capacity - total
+
+    def branching(start: int, waste: int) -> Branching:
+        return Branching(start, waste, stock.fillings(start, min(capacity, allowed - waste), steps, 1))
+
+    way, first = [branching(0, 0)], True
+    while way and most > least:
+        here = way[-1]
+        if here.placed:
+            _, filling, times = here.placed
+            stock.move(filling, -times)
+            used, here.placed, first = used - times, None, False
+        if here.tried == len(here.options) and not here.wide:
+            here.wide = True
+            here.options = here.options[:1] + [f for f in stock.fillings(here.start, min(capacity, allowed - here.waste), steps, width) if f not in here.options[:1]]
+            once = [(gap, filling, 1) for gap, filling, *_ in here.options if min(stock.left[i] // n for i, n in filling.items()) > 1]
+            here.options = [*here.options, *once]
+        if here.tried == len(here.options):
+            way.pop()
             continue
-        if options is None:
+        if not first:
             nodes -= 1
-            options = completions(order, left, capacity, min(capacity, allowed - waste), steps, width)
-        if not options:
-            continue
-        (gap, filling), rest = options[0], options[1:]
-        if rest:
-            stack.append((left, plan, waste, rest))
-        after = dict(left)
-        times, _ = _apply(after, filling)
-        last = not any(after.values())
-        stack.append((after, [*plan, (times, filling)], waste + gap * times - (gap if last else 0), None))
+            if nodes < 0:
+                break
+        gap, filling, *once = here.options[here.tried]
+        here.tried += 1
+        times = once[0] if once else int(min(stock.left[i] // n for i, n in filling.items()))
+        stock.move(filling, times)
+        here.placed, used = (gap, filling, times), used + times
+        start = stock.longest(here.start)
+        if start == len(sizes):
+            if used < most:
+                incumbent = [(b.placed[2], {sizes[i]: n for i, n in b.placed[1].items()}) for b in way]
+                most, allowed = used, (used - 1) * capacity - total
+        elif here.waste + gap * times <= allowed and used + 1 < most:
+            way.append(branching(start, here.waste + gap * times))
     return incumbent
 
 

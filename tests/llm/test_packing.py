@@ -1,5 +1,6 @@
 import itertools
 import random
+import resource
 import zlib
 
 import numpy as np
@@ -74,9 +75,10 @@ def test_bin_completion_finds_the_optimum_of_small_cases():
     assert better > 0
 
 
-def test_completions_are_undominated():
+def test_fillings_are_undominated():
     left = {7: 1, 5: 1, 4: 1, 3: 1, 2: 2}
-    found = packing.completions([7, 5, 4, 3, 2], left, 12, 12, 10_000, 100)
+    stock = packing.Stock(left, 12)
+    found = [(waste, {int(stock.size[i]): n for i, n in f.items()}) for waste, f in stock.fillings(0, 12, 10_000, 100)]
     every = []
     for k in range(5):
         for some in itertools.combinations([5, 4, 3, 2, 2], k):
@@ -84,9 +86,38 @@ def test_completions_are_undominated():
                 every.append(tuple(sorted(some)))
     best = max(map(sum, every))
     assert found[0][0] == 5 - best
+    assert len({tuple(sorted(f.items())) for _, f in found}) == len(found)
     for waste, filling in found:
         rest = {x: left[x] - filling.get(x, 0) for x in left}
+        assert waste == 12 - sum(x * n for x, n in filling.items())
         assert not any(n and x <= waste for x, n in rest.items())
+        assert not any(n and x < y <= x + waste for x in filling for y, n in rest.items() if x != 7)
+
+
+def test_the_lower_bound_never_exceeds_the_optimum():
+    rng, tight, beyond_sum = random.Random(4), 0, 0
+    for _ in range(300):
+        capacity = rng.choice([10, 20, 100])
+        lengths = [rng.randint(1, capacity) if rng.random() < 0.5 else rng.randint(capacity // 4, capacity // 2) for _ in range(rng.randint(1, 9))]
+        bound, best = packing.lower_bound({x: lengths.count(x) for x in lengths}, capacity), optimum(lengths, capacity)
+        assert -(-sum(lengths) // capacity) <= bound <= best
+        tight += bound == best
+        beyond_sum += bound > -(-sum(lengths) // capacity)
+    assert tight > 250 and beyond_sum > 10
+    assert packing.lower_bound({1400: 300}, 4096) == 150  # pieces over a third: two a sequence
+    assert packing.lower_bound({}, 10) == 0
+
+
+def test_a_gap_that_best_fit_leaves_on_thousands_of_lengths_is_closed():
+    lengths = np.clip(np.random.default_rng(0).lognormal(6.0, 1.0, 280_000).astype(int) + 1, 1, 4096)
+    counts = {int(x): int(n) for x, n in zip(*np.unique(lengths, return_counts=True))}
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    plan = packing.bin_completion(counts, 4096)
+    most = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before  # in units of 1,024 bytes
+    n = sum(t for t, _ in plan)
+    assert most < 100 << 10
+    assert used(plan) == counts and len(counts) > 3000
+    assert n == packing.lower_bound(counts, 4096) < sum(t for t, _ in packing.best_fit(counts, 4096))
 
 
 @pytest.fixture(scope="module")
