@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import crossentropy, language, mixing, packing, quality, repeats, sharding, simhash, vectors, warc_fixity
+from cellweave.llm import crossentropy, language, licenses, mixing, packing, quality, repeats, resampling, sharding, simhash, vectors, warc_fixity, whitening
 from cellweave.session import ship_package
 
 
 VOCABULARY, PRIOR = 1024, 50.0
+LEAST_SHARE = 0.75
 
 
 def tokenizer() -> str:
@@ -71,7 +72,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffled(documents(spark, sf_dir))
 
 
-_QUERIES = [op1_mixing, op2_warc_fixity, op3_repeats, op4_crossentropy, op5_packing, op6_vectors, op7_language, op8_simhash, op9_quality, op10_sharding]
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(documents(spark, sf_dir), LEAST_SHARE)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+_QUERIES = [op1_mixing, op2_warc_fixity, op3_repeats, op4_crossentropy, op5_packing, op6_vectors, op7_language, op8_simhash, op9_quality, op10_sharding, op11_licenses, op12_whitening, op13_resampling]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -91,4 +104,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_repeats": repeats.SQL,
         "op4_crossentropy": crossentropy.SQL.format(vocabulary=VOCABULARY, prior=PRIOR),
         "op6_vectors": vectors.SQL,
+        "op11_licenses": licenses.SQL.format(least=LEAST_SHARE),
+        "op13_resampling": resampling.SQL,
     }
