@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellweave.operators.aggregates import n_rows
-from cellweave.operators.neighbors import _rows, nearest_in_embedding
+from cellweave.operators.descent import nearest_by_descent
+from cellweave.operators.neighbors import _rows
 from cellweave.scale import attach, c, materialize, spread, top_n, with_group_stats
 
 MAX_FEATURES = 5_000  # a features x features matrix is held by the driver
@@ -127,7 +128,7 @@ def fused_neighbours(df: DataFrame, id_col: str, a: str, b: str, k: int = 20) ->
     A modality weighs more in a cell whose vector its own neighbours predict better than the other's do.
     """
     base = materialize(df.select(c(id_col).alias("id"), c(a).alias("va"), c(b).alias("vb")))
-    near = {m: materialize(nearest_in_embedding(base.withColumnRenamed("id", id_col), [], k, id_col, f"v{m}").select("src", "dst", "dist")) for m in "ab"}
+    near = {m: materialize(nearest_by_descent(base.withColumnRenamed("id", id_col), [], k, id_col, f"v{m}").select("src", "dst", "dist")) for m in "ab"}
     dist = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
     own = base
     for m in "ab":

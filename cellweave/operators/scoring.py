@@ -14,6 +14,7 @@ from cellweave.functions import dist
 from cellweave.functions import scalars as sc
 from cellweave.operators.aggregates import n_rows
 from cellweave.operators.clean import seeded_key
+from cellweave.operators.statistics import two_group_moments, welch_columns, with_t_p
 from cellweave.operators.windows import min_max_scaled
 from cellweave.scale import attach, c, exact_quantiles, sized, top_n, with_quantiles
 
@@ -176,3 +177,11 @@ def multivariate_activity(counts: DataFrame, net: DataFrame, cell: Sequence[str]
     long = t.select(*cell, F.posexplode("t").alias("i", "t_value"))
     source = F.element_at(F.array(*[F.lit(nm) for nm in names]), F.col("i") + 1)
     return long.select(*cell, source.alias("source"), "t_value", dist.call("t_p", F.col("t_value"), F.lit(float(dof))).alias("p_value"))
+
+
+def activity_by_response(activity: DataFrame, cells: DataFrame, samples: DataFrame, group: str, a: str, b: str, key: str = "sample_id", id_col: str = "cell_id") -> DataFrame:
+    """Welch's test of the samples' mean activities between two groups, per source: (source, n, means, t_stat, welch_p) with suffixes of the groups."""
+    means = activity.join(cells, id_col).groupBy(key, "source").agg(F.avg("t_value").alias("value")).join(samples.select(key, c(group)), key)
+    m = with_t_p(welch_columns(two_group_moments(means, ["source"], group, a, b)))
+    names = {"n1": f"n_{a.lower()}", "n2": f"n_{b.lower()}", "mean1": f"mean_{a.lower()}", "mean2": f"mean_{b.lower()}"}
+    return m.withColumnsRenamed(names).select("source", *names.values(), "t_stat", "welch_p")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellweave.plans import clean_queries, embedding_queries, graph_queries, model_queries, spatial_queries, statistics_queries, summary_queries  # noqa: F401
+from cellweave.plans import clean_queries, custom_queries, embedding_queries, graph_queries, model_queries, spatial_queries, statistics_queries, summary_queries  # noqa: F401
 from cellweave.plans.registry import REGISTRY, oracle_text, spark_callable
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from cellweave.functions import scalars as sc
 from cellweave.operators import aggregates as ag
 from cellweave.operators import embedding as em
+from cellweave.operators import keyed_pca as kp
 from cellweave.operators import neighbors as nb
 from cellweave.operators import scoring
 from cellweave.operators import spatial as sp
+from cellweave.operators import trends as tr
 from cellweave.plans.clean_queries import SIG_SQL, signatures
 from cellweave.plans.registry import query
 from cellweave.plans.spatial_queries import knn
@@ -51,6 +53,26 @@ def _(t):
     return em.top_loadings(em.pca(materialize(em.scaled(protein_vectors(t))), k=5, features=MARKERS)[2], 3)
 
 
+_entries = f"(SELECT sample_id, cell_id, marker, intensity AS v FROM prot)"
+_cov = f"""(SELECT a.sample_id, a.marker AS i, b.marker AS j, count(*) AS n, avg(a.v * b.v) - avg(a.v) * avg(b.v) AS v FROM {_entries} a JOIN {_entries} b ON a.sample_id = b.sample_id AND a.cell_id = b.cell_id GROUP BY 1, 2, 3)"""
+
+
+@query("m1_pca_per_sample", f"""
+SELECT sample_id, CAST(any_value(n) AS BIGINT) AS n, sum(v) FILTER (i = j) AS trace, sum(v * v) AS square, 0.0::DOUBLE AS residual, 0.0::DOUBLE AS overlap FROM {_cov} GROUP BY 1""", rnd="trace square residual overlap", digits=7)
+def _(t):
+    fits = kp.eigen_by_group(kp.group_covariances(protein_vectors(t), ["sample_id"]), ["sample_id"], len(MARKERS))
+    return kp.eigen_check(fits, ["sample_id"])
+
+
+@query("m1_pca_per_sample_scores", f"""
+SELECT sample_id, CAST(any_value(n) AS BIGINT) AS n_cells, sum(v) FILTER (i = j) AS score_variance FROM {_cov} GROUP BY 1""", rnd="score_variance", digits=7)
+def _(t):
+    # the scores on all components spread as far as the values do
+    scores, _, _ = kp.pca_by_group(protein_vectors(t), ["sample_id"], k=len(MARKERS))
+    one = scores.select("sample_id", "cell_id", F.posexplode("pcs").alias("pc", "s")).groupBy("sample_id", "pc").agg(ag.n_rows().alias("n"), F.var_pop("s").alias("v"))
+    return one.groupBy("sample_id").agg(F.max("n").alias("n_cells"), F.sum("v").alias("score_variance"))
+
+
 def pseudobulk_vectors(t):
     pb = sc.log_cpm(ag.pseudobulk(t.scounts, ["sample_id"]), ["sample_id"])
     return em.cell_vectors(pb, ["sample_id"], GENES, value="logcpm")
@@ -88,6 +110,28 @@ def _(t):
     return em.variable_genes(lognorm(t), n, 100)
 
 
+SPAN = 0.3
+_moment = lambda k: f"sum(w * pow(d, {k}))"
+_moment_y = lambda k: f"sum(w * pow(d, {k}) * y)"
+
+
+@query("m4_variable_genes_by_trend", f"""
+WITH n AS (SELECT count(*)::DOUBLE AS n FROM cells), s AS (SELECT gene, sum(count)::DOUBLE AS s, sum(count * count)::DOUBLE AS ss FROM scounts GROUP BY 1),
+m AS (SELECT gene, n, s / n AS mean, (ss - s * s / n) / (n - 1) AS variance FROM s, n), v AS (SELECT *, log10(mean) AS x, log10(variance) AS y FROM m WHERE variance > 0 AND mean > 0),
+near AS (SELECT a.gene, b.x - a.x AS d, b.y, row_number() OVER (PARTITION BY a.gene ORDER BY abs(b.x - a.x)) AS rn FROM v a, v b),
+reach AS (SELECT gene, max(abs(d)) AS h FROM near WHERE rn <= ceil({SPAN} * (SELECT count(*) FROM v)) GROUP BY 1),
+w AS (SELECT gene, d / h AS d, y, pow(1 - pow(abs(d / h), 3), 3) AS w FROM near JOIN reach USING (gene) WHERE abs(d) < h),
+f AS (SELECT gene, {', '.join(f'{_moment(i)} AS s{i}' for i in range(5))}, {', '.join(f'{_moment_y(i)} AS t{i}' for i in range(3))} FROM w GROUP BY 1),
+fit AS (SELECT gene, (t0 * (s2 * s4 - s3 * s3) - t1 * (s1 * s4 - s2 * s3) + t2 * (s1 * s3 - s2 * s2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)) AS trend FROM f),
+g AS (SELECT v.*, trend, sqrt(pow(10, trend)) AS sd FROM v JOIN fit USING (gene)),
+k AS (SELECT gene, sum(least(count::DOUBLE, sqrt(n) * sd + mean)) AS s, sum(pow(least(count::DOUBLE, sqrt(n) * sd + mean), 2)) AS ss FROM scounts JOIN g USING (gene) GROUP BY 1),
+r AS (SELECT m.gene, m.mean, m.variance, trend, coalesce((m.n * m.mean * m.mean + ss - 2 * m.mean * s) / ((m.n - 1) * sd * sd), 0) AS variance_norm FROM m LEFT JOIN g ON g.gene = m.gene LEFT JOIN k ON k.gene = m.gene)
+SELECT *, row_number() OVER (ORDER BY variance_norm DESC, gene) <= 100 AS highly_variable FROM r""", rnd="mean variance trend variance_norm", digits=7)
+def _(t):
+    n = t.cells.agg(F.count(F.lit(1)).alias("n_cells"))
+    return tr.variable_genes_by_trend(t.scounts.withColumn("count", F.col("count").cast("double")), n, 100, SPAN)
+
+
 @query("m5_weighted_modalities")
 def _(t):
     w = em.weighted_modalities(modalities(t), "rna", "protein", "inverse")
@@ -186,11 +230,58 @@ def _(t):
     return scoring.univariate_activity(t.counts, network(t), ["cell_id"], list(NETS), 300)
 
 
-@query("m10_multivariate_activity")
-def _(t):
+def _mlm_sql():
+    """Normal equations on centred sums: Gram matrix of the three sources, its inverse by cofactors, slopes and their errors."""
+    k = list(NETS)
+    g = lambda a, b: f"g_{min(a, b)}{max(a, b)}"
+    sums = ", ".join(f"coalesce(sum(a.weight * b.weight) FILTER (a.name = '{x}' AND b.name = '{y}'), 0) AS r_{x}{y}" for x in k for y in k if x <= y)
+    centred = ", ".join(f"r_{x}{y} - s_{x} * s_{y} / 300 AS g_{x}{y}" for x in k for y in k if x <= y)
+    single = ", ".join(f"sum(weight) FILTER (name = '{x}') AS s_{x}" for x in k)
+    cof = {}
+    for i in range(3):
+        for j in range(3):
+            (p, q), (u, v) = [x for n, x in enumerate(k) if n != i], [x for n, x in enumerate(k) if n != j]
+            cof[i, j] = f"{'' if (i + j) % 2 == 0 else '-'}({g(p, u)} * {g(q, v)} - {g(p, v)} * {g(q, u)})"
+    det = " + ".join(f"{g(k[0], k[j])} * ({cof[0, j]})" for j in range(3))
+    inverse = ", ".join(f"({cof[i, j]}) / det AS i_{k[i]}{k[j]}" for i in range(3) for j in range(3))
+    xy = ", ".join(f"coalesce(sum(count * weight) FILTER (name = '{x}'), 0) AS xy_{x}" for x in k)
+    beta = ", ".join(" + ".join(f"i_{x}{y} * (xy_{y} - s_{y} * sy / 300)" for y in k) + f" AS b_{x}" for x in k)
+    explained = " + ".join(f"b_{y} * (xy_{y} - s_{y} * sy / 300)" for y in k)
+    rows = " UNION ALL ".join(f"SELECT cell_id, '{x}' AS source, b_{x} / sqrt(i_{x}{x} * sse / 296) AS t_value FROM fit" for x in k)
+    return f"""WITH net AS ({_net}), one AS (SELECT {single} FROM net), two AS (SELECT {sums} FROM net a JOIN net b USING (gene)), gram AS (SELECT *, {centred} FROM two, one),
+d AS (SELECT *, {det} AS det FROM gram), inv AS (SELECT *, {inverse} FROM d),
+y AS (SELECT cell_id, sum(count)::DOUBLE AS sy, sum(count * count)::DOUBLE AS syy FROM counts GROUP BY 1), x AS (SELECT cell_id, {xy} FROM counts LEFT JOIN net USING (gene) GROUP BY 1),
+b AS (SELECT cell_id, sy, syy, {', '.join(f'xy_{n}, s_{n}' for n in k)}, {', '.join(f'i_{n}{n}' for n in k)}, {beta} FROM y JOIN x USING (cell_id), inv),
+fit AS (SELECT *, greatest(syy - sy * sy / 300 - ({explained}), 1e-300) AS sse FROM b)
+{rows}"""
+
+
+MLM_SQL = _mlm_sql()
+
+
+def activities(t):
     return scoring.multivariate_activity(t.counts, materialize(network(t)), ["cell_id"], list(NETS), 300)
 
 
+@query("m10_multivariate_activity", MLM_SQL, rnd="t_value")
+def _(t):
+    return activities(t).select("cell_id", "source", "t_value")
+
+
+@query("m10_multivariate_activity_with_p")
+def _(t):
+    return activities(t)
+
+
+@query("m10_activity_by_response", f"""
+WITH a AS ({MLM_SQL}), s AS (SELECT sample_id, source, avg(t_value) AS mean_activity FROM a JOIN cells USING (cell_id) GROUP BY 1, 2)
+SELECT source, CAST(count(*) FILTER (response = 'R') AS BIGINT) AS n_r, CAST(count(*) FILTER (response = 'NR') AS BIGINT) AS n_nr, avg(mean_activity) FILTER (response = 'R') AS mean_r, avg(mean_activity) FILTER (response = 'NR') AS mean_nr,
+  (avg(mean_activity) FILTER (response = 'R') - avg(mean_activity) FILTER (response = 'NR')) / sqrt(var_samp(mean_activity) FILTER (response = 'R') / count(*) FILTER (response = 'R') + var_samp(mean_activity) FILTER (response = 'NR') / count(*) FILTER (response = 'NR')) AS t_stat
+FROM s JOIN samples USING (sample_id) GROUP BY 1""", rnd="mean_r mean_nr t_stat")
+def _(t):
+    return scoring.activity_by_response(activities(t), t.cells.select("cell_id", "sample_id"), t.samples, "response", "R", "NR").select("source", "n_r", "n_nr", "mean_r", "mean_nr", "t_stat")
+
+
 @query("m11_kmeans_protein")
 def _(t):
     return em.kmeans_labels(protein_vectors(t), "vec", 12).groupBy("cluster").agg(ag.n_rows().alias("n"))
@@ -210,3 +301,15 @@ def _(t):
 def _(t):
     pb = ag.pseudobulk_mean(t.scounts, t.cells, ["sample_id"]).join(t.samples, "sample_id")
     return em.mutual_information_units(pb.select("gene", "response", F.col("mean").alias("value")), "response")
+
+
+@query("m12_neighbour_information")
+def _(t):
+    return tr.neighbour_information(lognorm(t), t.cells, "cell_type")
+
+
+@query("m12_information_ranking")
+def _(t):
+    pb = ag.pseudobulk_mean(t.scounts, t.cells, ["sample_id"]).join(t.samples, "sample_id").select("gene", "response", F.col("mean").alias("value"))
+    pb = materialize(pb)
+    return tr.information_ranking(em.mutual_information_units(pb, "response"), pb, "response", "R", "NR")

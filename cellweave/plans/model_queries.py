@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cellweave.functions.scalars import sample_status
 from cellweave.operators import aggregates as ag
 from cellweave.operators import classify as cl
+from cellweave.operators import folds as fo
 from cellweave.plans.clean_queries import QC_SQL, TYPES, qc_of
 from cellweave.plans.registry import query
 from cellweave.scale import c, materialize, shared_folder
@@ -50,10 +51,19 @@ def _(t):
     return cl.lda_coefficients(data(t), FEATURES)
 
 
+def folded(t):
+    """Every sample its own fold."""
+    return fo.fold_rows(features(t), "sample_id", FEATURES, "response", "R", "sample_id")
+
+
 @query("m13_cross_validated_models")
 def _(t):
-    folded = materialize(features(t).withColumn("fold", F.pmod(F.xxhash64("sample_id"), F.lit(3)).cast("int")))
-    return cl.evaluate(cl.cross_validated(folded, "sample_id", FEATURES, "response", "R", cl.standard_models(), "fold"))
+    return cl.evaluate(materialize(fo.folded_models(folded(t), FEATURES)[0]))
+
+
+@query("m13_model_importance")
+def _(t):
+    return fo.folded_models(folded(t), FEATURES)[1]
 
 
 @query("m14_pls_leave_one_out")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellweave.functions import scalars as sc
+from cellweave.operators import descent as dn
 from cellweave.operators import neighbors as nb
 from cellweave.operators import spatial as sp
 from cellweave.plans.registry import query
@@ -46,6 +47,18 @@ def _(t):
     return nb.nearest_in_embedding(t.read("embeddings"), [], 10, "vec_id")
 
 
+@query("j12_neighbour_descent")
+def _(t):
+    return dn.nearest_by_descent(t.read("embeddings"), [], 10, "vec_id")
+
+
+@query("j12_descent_recall", "SELECT least(200, count(*)) AS n_queries, true AS enough FROM embeddings")
+def _(t):
+    e = t.read("embeddings")
+    found = dn.nearest_by_descent(e, [], 10, "vec_id")
+    return dn.recall(found, e, [], 10, "vec_id").select("n_queries", (F.col("recall") >= 0.95).alias("enough"))
+
+
 @query("g1_spatial_graph", f"SELECT sample_id, CAST(count(*) AS BIGINT) AS n_edges, avg(dist) AS mean_dist FROM {knn_sql(6)} GROUP BY 1", rnd="mean_dist")
 def _(t):
     return sp.edge_counts(knn(t, 6), S)

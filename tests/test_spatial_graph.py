@@ -88,26 +88,27 @@ def test_betweenness_is_exact_with_all_sources(spark):
                     delta[v] += sig[v] / sig[u] * (1 + delta[u])
             if v != s:
                 want[v] += delta[v]
-    got = {r["node"]: r["betweenness"] for r in gr.betweenness(frame(spark, pairs), ["sample_id"], 1000).collect()}
+    rows = gr.betweenness(frame(spark, pairs), ["sample_id"]).collect()
+    assert {(r.n_sources, r.error) for r in rows} == {(n, 0.0)}
+    got = {r.node: r.betweenness for r in rows}
     for v in adj:
         assert got[v] == pytest.approx(want[v] / ((n - 1) * (n - 2)))
 
 
-def test_sources_of_betweenness_grow_with_the_group(spark):
-    pairs = random_graph(60, 0.06)
-    e = frame(spark, pairs)
-    rows = gr.betweenness(e, ["sample_id"]).collect()
-    exact = {r.node: r.betweenness for r in rows}
-    n = len(exact)
-    assert {r.n_sources for r in rows} == {n}
-    blocks = gr.betweenness(e, ["sample_id"], block_rows=25 * n).collect()
-    assert {r.node: r.betweenness for r in blocks} == pytest.approx(exact)
-    some = gr.betweenness(e, ["sample_id"], whole=20).collect()
-    assert {r.n_sources for r in some} == {int(np.ceil(np.sqrt(20 * n)))}
-    error = max(abs(r.betweenness - exact[r.node]) for r in some)
-    few = max(abs(r.betweenness - exact[r.node]) for r in gr.betweenness(e, ["sample_id"], 8).collect())
-    print(f"largest error {error:.4f} of {max(exact.values()):.4f}; {few:.4f} with 8 sources")
-    assert error < 0.35 * max(exact.values()) and error < few
+def test_betweenness_stops_at_its_error_and_stays_within_it(spark):
+    sizes = {"a": (60, 0.06), "b": (400, 0.01), "c": (5, 0.5)}
+    rows = [(g, x, y) for g, (n, p) in sizes.items() for i, j in random_graph(n, p) for x, y in ((i, j), (j, i))]
+    e = spark.createDataFrame(rows, "sample_id string, src long, dst long")
+    exact = {(r.sample_id, r.node): r for r in gr.betweenness(e, ["sample_id"]).collect()}
+    assert {r.error for r in exact.values()} == {0.0}
+    blocks = gr.betweenness(e, ["sample_id"], block_rows=100_000).collect()
+    assert {(r.sample_id, r.node): r.betweenness for r in blocks} == pytest.approx({k: r.betweenness for k, r in exact.items()})
+    some = gr.betweenness(e, ["sample_id"], eps=0.3, first=16).collect()
+    assert {r.n_sources for r in some if r.sample_id == "b"} < {exact["b", r.node].n_sources for r in some if r.sample_id == "b"} | {128}
+    assert all(r.error <= 0.3 * 400 / 399 and abs(r.betweenness - exact[r.sample_id, r.node].betweenness) <= r.error + 1e-12 for r in some)
+    assert {r.error for r in some if r.sample_id == "c"} == {0.0}
+    few = gr.betweenness(e, ["sample_id"], n_sources=8).collect()
+    assert max(r.n_sources for r in few) == 8 and len(few) == len(exact)
 
 
 def test_components_and_pagerank(spark):
@@ -131,6 +132,72 @@ def test_communities_find_two_cliques(spark):
     assert q["n_communities"] == 2 and q["modularity"] > 0.4
 
 
+def test_every_community_is_connected_and_modularity_is_that_of_its_labels(spark):
+    rng = np.random.default_rng(8)
+    blocks = [(i, j) for i in range(90) for j in range(i + 1, 90) if rng.random() < (0.35 if i // 15 == j // 15 else 0.02)]
+    loose = [(i + 200, j + 200) for i, j in random_graph(120, 0.02, 9)]
+    ring = [(500 + i, 500 + (i + 1) % 30) for i in range(30)]
+    pairs = [("a", *p) for p in blocks] + [("b", *p) for p in loose] + [("c", *p) for p in ring]
+    e = spark.createDataFrame([(g, x, y) for g, i, j in pairs for x, y in ((i, j), (j, i))], "sample_id string, src long, dst long")
+    labels = gr.communities(e, ["sample_id"], [0.5, 1.0, 2.0])
+    named = {(r.sample_id, r.resolution, r.node): r.community for r in labels.collect()}
+    assert len(named) == 3 * len({(g, v) for g, i, j in pairs for v in (i, j)})
+    want = {}
+    for res in (0.5, 1.0, 2.0):
+        for g in "abc":
+            mine = [(i, j) for h, i, j in pairs if h == g]
+            com = {v: named[g, res, v] for p in mine for v in p}
+            root = {v: v for v in com}
+
+            def find(v):
+                while root[v] != v:
+                    v = root[v]
+                return v
+
+            for i, j in mine:
+                if com[i] == com[j]:
+                    root[max(find(i), find(j))] = min(find(i), find(j))
+            assert all(find(v) == com[v] for v in com)  # one component each, named by its smallest node
+            m, deg = len(mine), {v: sum(v in p for p in mine) for v in com}
+            want[g, res] = sum(com[i] == com[j] for i, j in mine) / m - res * sum(sum(d for v, d in deg.items() if com[v] == k) ** 2 for k in set(com.values())) / (4 * m * m)
+    got = {(r.sample_id, r.resolution): r.modularity for r in gr.modularity(e, labels, ["sample_id"]).collect()}
+    assert got == pytest.approx(want)
+    truth = sum(i // 15 == j // 15 for i, j in blocks) / len(blocks) - sum((sum(i // 15 == b or j // 15 == b for i, j in blocks) + sum(i // 15 == b == j // 15 for i, j in blocks)) ** 2 for b in range(6)) / (4 * len(blocks) ** 2)
+    assert got["a", 1.0] > truth - 1e-9 and got["b", 1.0] > 0.5 and got["c", 1.0] > 0.6
+
+
+def kruskal(pairs):
+    root, out = {}, []
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for g, d, i, j in sorted((g, d, min(i, j), max(i, j)) for g, i, j, d in pairs):
+        if find((g, i)) != find((g, j)):
+            root[find((g, i))] = find((g, j))
+            out.append((g, i, j, d))
+    return sorted(out)
+
+
+def test_spanning_forest_and_component_counts_at_any_radius(spark):
+    rng = np.random.default_rng(2)
+    pairs = [("a", i, j, float(rng.integers(1, 6))) for i, j in random_graph(150, 0.03)]  # many ties
+    pairs += [("b", i, i + 1, float(i % 7)) for i in range(300)] + [("b", 0, 1, 9.0)] + [("c", 0, i, 1.0) for i in range(1, 400)] + [(None, 1, 2, 3.0), ("a", 3, 3, 0.0)]
+    both = [(g, x, y, d) for g, i, j, d in pairs for x, y in ((i, j), (j, i))]
+    e = spark.createDataFrame(both, "sample_id string, src long, dst long, dist double").where("sample_id is not null")
+    got = sorted((r.sample_id, r.src, r.dst, r.dist) for r in gr.spanning_forest(e, ["sample_id"]).collect())
+    assert got == kruskal([p for p in pairs if p[0] and p[1] != p[2]])
+    nodes = spark.createDataFrame([("a", i) for i in range(160)] + [("b", i) for i in range(301)] + [("d", 1), ("d", 2)], "sample_id string, cell_id long")
+    radii = [0.0, 1.0, 2.5, 3.0, 6.0]
+    counts = {(r.sample_id, r.radius): r.n_components for r in gr.component_counts(nodes, e.where("sample_id <> 'c'"), ["sample_id"], radii).collect()}
+    forest = kruskal([p for p in pairs if p[0] in ("a", "b") and p[1] != p[2]])
+    size = {"a": 160, "b": 301, "d": 2}
+    assert counts == {(g, r): n - sum(h == g and d <= r for h, _, _, d in forest) for g, n in size.items() for r in radii}
+    assert gr.spanning_forest(e.where("false"), ["sample_id"]).collect() == []
+
+
 def test_pseudotime_of_each_graph(spark):
     path = [(i, i + 1) for i in range(19)] + [(i, i + 2) for i in range(18)] + [(0, 5), (0, 4)]
     ring = [(100 + i, 100 + (i * i + 3) % 24) for i in range(24) if i != (i * i + 3) % 24] + [(100 + i, 101 + i) for i in range(23)]
