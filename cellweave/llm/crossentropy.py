@@ -1,133 +1,221 @@
 """Language-model scoring by cross-entropy difference.
 
-Two word-pair models are counted: one on the target documents, one on all documents. They share one vocabulary, the
-``vocabulary - 1`` most frequent words of the whole corpus (ties by word) and one class for all others, and one smoothing: a
-pair's count plus ``prior`` times the word's own add-one probability. A document's score is the mean over its words of its
-loss under the target model less its loss under the background model; low scores are like the target.
+Two word-pair models are counted: one on the target documents, one on all documents. They share one vocabulary, every word of the
+corpus, and one smoothing: a pair's count plus ``prior`` times the word's own add-one probability. A document's score is the mean
+over its words of its loss under the target model less its loss under the background model; low scores are like the target.
 
-The word counts of the whole corpus are gathered by word; of pairs, at most vocabulary x (vocabulary + 1) counts exist, so the
-table that the tasks look losses up in has a proven size (about a million cells) whatever the corpus.
+No word and no pair is left out, so what is counted grows with the corpus and stays in tables: words (one pass over the texts),
+pairs (a second), losses by pair. A third pass looks the losses up: a document's distinct pairs are joined with the losses and
+summed. Words and pairs that make up at least one in ``HOT`` of the corpus, at most ``HOT`` of each by that very rule, go to the
+tasks instead: their losses are added where the text is read, so no hot key is shuffled.
+
+A loss is -log(n(c, w) + prior p(w)) + log(n(c) + prior); the first part belongs to the pair, the second to the context.
+
+Words are told apart by XXH64, pairs by a 64-bit mix of both words' hashes: in a corpus of a billion distinct pairs, one collision
+of two pairs is to be expected in about forty such corpora.
 
 Defined results: null text has no words; a document without words has null losses; null ids are scored but are never target
-documents; repeated rows count as often as they occur; without any target document the target model is the prior; an empty
-table gives an empty result; further columns are ignored.
+documents; repeated rows count as often as they occur; without any target document the target model is the prior; texts of any
+length are read whole; an empty table gives an empty result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from cellweave.llm.common import slices
-from cellweave.llm.quality import words_of
+from cellweave.llm.common import materialize, slices, word_count
 from cellweave.scale import sized
 
+HOT = 100_000
+#: The context of a text's first word; no word is empty.
+START = np.uint64(xxhash.xxh64_intdigest(b"")).view(np.int64)
+
+
+def mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """A 64-bit number fixed by two."""
+    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (np.asarray(b).astype(np.int64).view(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x ^ (x >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)).view(np.int64)
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word ids, context ids, text number of every word, words of every text) of a slice of texts."""
+    tokens = [(t.as_py() or b"").split() for t in texts]
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    word = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(tokens)), np.uint64, int(sizes.sum())).view(np.int64)
+    context = np.empty_like(word)
+    context[1:] = word[:-1]
+    context[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
+    return word, context, np.repeat(np.arange(len(sizes)), sizes), sizes
+
+
+def counted(ids: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, their counts in target documents and in all."""
+    distinct, at = np.unique(ids, return_inverse=True)
+    return distinct, np.bincount(at[good], minlength=len(distinct)), np.bincount(at, minlength=len(distinct))
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """w, t, r (as a word in target documents and in all), ct, cr (as a context); the start is a context only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            word, context, text, _ = words_of(batch.column(0))
+            good = batch.column(1).to_numpy(zero_copy_only=False)[text] == 1
+            for ids, as_word in ((word, True), (context, False)):
+                w, t, r = counted(ids, good)
+                zero = np.zeros(len(w), np.int64)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, (w, t, r, zero, zero) if as_word else (w, zero, zero, t, r))), names=["w", "t", "r", "ct", "cr"])
+
+    found = rows.mapInArrow(run, "w long, t long, r long, ct long, cr long")
+    return materialize(found.groupBy("w").agg(*[F.sum(k).alias(k) for k in ("t", "r", "ct", "cr")]))
+
+
+class HotWords:
+    """Words that are frequent, by id: prior times probability in both models, and log(n + prior) as a context."""
+
+    def __init__(self, table: pa.Table, totals: tuple[int, int, int], prior: float):
+        order = np.argsort(table.column("w").to_numpy())
+        w, t, r, ct, cr = (table.column(k).to_numpy()[order] for k in ("w", "t", "r", "ct", "cr"))
+        v, n_t, n_r = totals
+        self.id = w
+        self.mass = np.stack([prior * (t + 1) / (n_t + v), prior * (r + 1) / (n_r + v)])
+        self.context = np.stack([np.log(ct + prior), np.log(cr + prior)])
+
+    def find(self, ids: np.ndarray) -> np.ndarray:
+        """The index of each id, -1 for a word that is not hot."""
+        return found_at(self.id, ids)
+
+
+def found_at(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.full(len(ids), -1)
+    at = np.minimum(np.searchsorted(table, ids), len(table) - 1)
+    return np.where(table[at] == ids, at, -1)
+
+
+def pair_counts(rows: DataFrame, hot) -> DataFrame:
+    """q (the pair), hi (its word's index among the hot words, or -1), w (its word if that is not hot), t, r."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            word, context, text, _ = words_of(batch.column(0))
+            good = batch.column(1).to_numpy(zero_copy_only=False)[text] == 1
+            pair = mixed(context, word)
+            q, t, r = counted(pair, good)
+            w = np.empty_like(q)
+            w[np.searchsorted(q, pair)] = word
+            hi = hot.value.find(w)
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, (q, hi.astype(np.int32), np.where(hi < 0, w, 0), t, r))), names=["q", "hi", "w", "t", "r"])
+
+    found = rows.mapInArrow(run, "q long, hi int, w long, t long, r long")
+    return materialize(found.groupBy("q", "hi", "w").agg(F.sum("t").alias("t"), F.sum("r").alias("r")))
+
 
-def vocabulary_of(docs: DataFrame, size: int) -> list[str]:
-    """The ``size - 1`` most frequent words of all documents, most frequent first, ties by word."""
-    words = docs.select(F.explode(words_of(F.coalesce("text", F.lit("")))).alias("w"))
-    counted = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(size - 1).collect()]
+CONTEXT = 1  # mixed with a word's id, this is the key of the word as a context
 
 
-class Coder:
-    """Word numbers of texts: 0 for words outside the vocabulary; the number ``size`` stands for the start of a text."""
+def losses(pairs: DataFrame, words: DataFrame, hot: HotWords, totals: tuple[int, int, int], prior: float) -> DataFrame:
+    """(q, a, b): the part of a loss under both models that a pair, or a context that is not hot, adds once an occurrence."""
+    v, n_t, n_r = totals
+    spark = pairs.sparkSession
+    masses = spark.createDataFrame(pa.table({"hi": pa.array(np.arange(len(hot.id), dtype=np.int32)), "mt": hot.mass[0], "mr": hot.mass[1]}))
+    rare = words.where(F.col("r") * HOT < n_r).select("w", F.col("ct"), F.col("cr"), (prior * (F.col("t") + 1) / (n_t + v)).alias("mt"), (prior * (F.col("r") + 1) / (n_r + v)).alias("mr"))
+    log = lambda n, m: -F.log(F.col(n) + F.col(m))
+    cold = pairs.where(F.col("r") * HOT < n_r)
+    of_hot = cold.where("hi >= 0").join(F.broadcast(masses), "hi")  # at most HOT words and the start
+    of_rare = cold.where("hi < 0").select("q", "w", "t", "r").join(rare.select("w", "mt", "mr"), "w")
+    of_pairs = of_hot.select("q", log("t", "mt").alias("a"), log("r", "mr").alias("b")).unionByName(of_rare.select("q", log("t", "mt").alias("a"), log("r", "mr").alias("b")))
+    of_contexts = rare.where(F.col("w") != int(START)).select(context_key("w").alias("q"), F.log(F.col("ct") + prior).alias("a"), F.log(F.col("cr") + prior).alias("b"))
+    return of_pairs.unionByName(of_contexts)
 
-    def __init__(self, vocabulary: list[str], size: int):
-        self.number, self.size = {w.encode(): i + 1 for i, w in enumerate(vocabulary)}, size
 
-    def pairs(self, text: bytes | None) -> np.ndarray:
-        """(context, word) as context * size + word for every word of the text."""
-        words = (text or b"").split()
-        get = self.number.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        out = ids.copy()
-        out[1:] += ids[:-1] * self.size
-        out[:1] += self.size * self.size
-        return out
+@F.arrow_udf(LongType())
+def context_key(w: pa.Array) -> pa.Array:
+    return pa.array(mixed(w.to_numpy(zero_copy_only=False).astype(np.int64), CONTEXT))
 
 
-def pair_counts(docs: DataFrame, coder, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of pairs in target documents and in all documents; ``docs`` has text and good (0 or 1)."""
-    cells = size * (size + 1)
+def asked(rows: DataFrame, hot, hot_pairs) -> DataFrame:
+    """k, q, m, n, a, b: for each text one row with its number of words and the losses that its hot words and pairs add, and a row
+    for each other pair or context it asks for, with its count."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = [np.zeros(cells, np.int64), np.zeros(cells, np.int64)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair_id, pair_loss = hot_pairs.value
         for batch in slices(batches, 0):
-            found: list[list[np.ndarray]] = [[], []]
-            good = batch.column(1).to_numpy(zero_copy_only=False)
-            for text, g in zip(batch.column(0), good):
-                found[int(g)].append(coder.value.pairs(text.as_py()))
-            for total, parts in zip(both, found):
-                if parts:
-                    total += np.bincount(np.concatenate(parts), minlength=cells)
-        at = np.flatnonzero(both[0] + both[1])
-        for k in range(0, len(at), 100_000):
-            p = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(both[1][p]), pa.array(both[0][p] + both[1][p])], names=["pair", "t", "r"])
-
-    sums = docs.mapInArrow(count, "pair long, t long, r long").groupBy("pair").agg(F.sum("t").alias("t"), F.sum("r").alias("r")).toArrow()
-    out = np.zeros((2, cells), np.int64)
-    for row, name in zip(out, ("t", "r")):
-        row[sums.column("pair").to_numpy()] = sums.column(name).to_numpy()
-    return out[0], out[1]
-
-
-def losses(counts: np.ndarray, size: int, prior: float) -> np.ndarray:
-    """Loss in nats of each pair: -log((n(c, w) + prior p(w)) / (n(c) + prior)), p(w) = (n(w) + 1) / (n + size)."""
-    n = counts.reshape(size + 1, size).astype(np.float64)
-    single = (n.sum(axis=0) + 1) / (n.sum() + size)
-    return -np.log((n + prior * single) / (n.sum(axis=1, keepdims=True) + prior)).ravel()
-
-
-def scored(docs: DataFrame, target: DataFrame, vocabulary: int = 1024, prior: float = 50.0) -> DataFrame:
+            word, context, text, sizes = words_of(batch.column(0))
+            key = batch.column(2).to_numpy(zero_copy_only=False)
+            pair, at = mixed(context, word), hot.value.find(context)
+            known = found_at(pair_id, pair)
+            sums = np.zeros((2, len(sizes)))
+            for index, table in ((at, hot.value.context), (known, pair_loss)):
+                ok = index >= 0
+                for model in (0, 1):
+                    sums[model] += np.bincount(text[ok], table[model][index[ok]], len(sizes))
+            q = np.concatenate([pair[known < 0], mixed(context[at < 0], CONTEXT)])
+            whose = np.concatenate([text[known < 0], text[at < 0]])
+            order = np.lexsort((q, whose))
+            q, whose = q[order], whose[order]
+            first = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (whose[1:] != whose[:-1]))) if len(q) else np.zeros(0, np.int64)
+            m = np.diff(np.append(first, len(q)))
+            zero = np.zeros(len(first))
+            # a text's own row has a key that no pair has, and count 0
+            own = (key, mixed(key, -1), np.zeros(len(sizes), np.int64), sizes, sums[0], sums[1])
+            rest = (key[whose[first]], q[first], m, np.zeros(len(first), np.int64), zero, zero)
+            yield from (pa.RecordBatch.from_arrays(list(map(pa.array, x)), names=["k", "q", "m", "n", "a", "b"]) for x in (own, rest))
+
+    return rows.mapInArrow(run, "k long, q long, m long, n long, a double, b double")
+
+
+def scored(docs: DataFrame, target: DataFrame, prior: float = 50.0) -> DataFrame:
     """doc_id, n_words, loss_target, loss_background, score (their difference, per word) of every document."""
     sc = docs.sparkSession.sparkContext
-    ids = sized(target.select(F.col("doc_id").alias("__target")).where("__target is not null").distinct())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("__target"), "left")
-    rows = rows.select(F.col("text").cast("binary").alias("text"), F.col("__target").isNotNull().cast("int").alias("good"))
-    coder = sc.broadcast(Coder(vocabulary_of(docs, vocabulary), vocabulary))
-    tables = sc.broadcast([losses(n, vocabulary, prior) for n in pair_counts(rows, coder, vocabulary)])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target_loss, background_loss = tables.value
-        for batch in slices(batches, 1):
-            out: tuple[list, ...] = ([], [], [])
-            for text in batch.column(1):
-                pairs = coder.value.pairs(text.as_py())
-                n = len(pairs)
-                a, b = (float(t[pairs].mean()) if n else None for t in (target_loss, background_loss))
-                for column, value in zip(out, (n, a, b)):
-                    column.append(value)
-            kinds = (pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(out, kinds))], names=["doc_id", "n_words", "loss_target", "loss_background"])
-
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(score, "doc_id long, n_words long, loss_target double, loss_background double")
-    return found.withColumn("score", F.col("loss_target") - F.col("loss_background"))
-
-
-#: The same in SQL, for documents and labels as views; {vocabulary} and {prior} are the parameters.
+    ids = sized(target.select(F.col("doc_id").cast("long").alias("target")).where("target is not null").distinct())
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), F.col("text").alias("text"))
+    rows = keyed.join(ids, F.col("doc_id") == F.col("target"), "left").select(F.col("text").cast("binary").alias("text"), F.col("target").isNotNull().cast("int").alias("good"), "k")
+    words = word_counts(rows.select("text", "good"))
+    totals = tuple(int(x or 0) for x in words.agg(F.count_if(F.col("r") > 0), F.sum("t"), F.sum("r")).first())
+    n_r = totals[2]
+    frequent = words.where((F.col("r") * HOT >= n_r) | (F.col("w") == int(START)))
+    hot_words = HotWords(frequent.toArrow(), totals, prior)
+    hot = sc.broadcast(hot_words)
+    pairs = pair_counts(rows.select("text", "good"), hot)
+    often = pairs.where(F.col("r") * HOT >= n_r).toArrow()  # as frequent as that, so is its word
+    order = np.argsort(often.column("q").to_numpy())
+    hi, t, r = (often.column(x).to_numpy()[order] for x in ("hi", "t", "r"))
+    pair_loss = np.stack([-np.log(t + hot_words.mass[0][hi]), -np.log(r + hot_words.mass[1][hi])]) if len(hi) else np.zeros((2, 0))
+    hot_pairs = sc.broadcast((often.column("q").to_numpy()[order], pair_loss))
+    table = losses(pairs, words, hot_words, totals, prior).withColumnsRenamed({"a": "la", "b": "lb"})
+    looked = asked(rows, hot, hot_pairs).join(table, "q", "left")
+    part = lambda own, found: F.sum(F.col(own) + F.col("m") * F.coalesce(found, F.lit(0.0)))
+    sums = looked.groupBy("k").agg(F.sum("n").alias("n"), part("a", "la").alias("a"), part("b", "lb").alias("b"))
+    means = sums.where("n > 0").select("k", (F.col("a") / F.col("n")).alias("loss_target"), (F.col("b") / F.col("n")).alias("loss_background"))
+    out = keyed.select("doc_id", "k", word_count(F.col("text")).alias("n_words")).join(means, "k", "left")
+    return out.select("doc_id", "n_words", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))
+
+
+#: The same in SQL, for documents and labels as views; {prior} is the parameter.
 SQL = r"""
 WITH target AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL),
 docs AS (SELECT row_number() OVER () AS r, d.doc_id, t.doc_id IS NOT NULL AS good,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
   FROM documents d LEFT JOIN target t ON d.doc_id = t.doc_id),
 tokens AS (SELECT r, good, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM docs),
-vocabulary AS (SELECT w FROM (SELECT w, count(*) AS n FROM tokens GROUP BY w) ORDER BY n DESC, w LIMIT {vocabulary} - 1),
-coded AS (SELECT r, good, i, v.w FROM tokens LEFT JOIN vocabulary v ON tokens.w = v.w),
-pairs AS (SELECT r, good, coalesce(w, '') AS w,
-    CASE WHEN i = 1 THEN '<start>' ELSE coalesce(lag(w) OVER (PARTITION BY r ORDER BY i), '') END AS c FROM coded),
+pairs AS (SELECT r, good, w, coalesce(lag(w) OVER (PARTITION BY r ORDER BY i), ' ') AS c FROM tokens),
 pair_n AS (SELECT c, w, count(*) FILTER (good) AS t, count(*) AS r FROM pairs GROUP BY c, w),
 context_n AS (SELECT c, sum(t) AS t, sum(r) AS r FROM pair_n GROUP BY c),
 word_n AS (SELECT w, sum(t) AS t, sum(r) AS r FROM pair_n GROUP BY w),
-total AS (SELECT sum(t) AS t, sum(r) AS r FROM pair_n),
+total AS (SELECT sum(t) AS t, sum(r) AS r, count(*) AS v FROM word_n),
 loss AS (SELECT c, w,
-    -ln((p.t + {prior} * (s.t + 1) / (total.t + {vocabulary})) / (x.t + {prior})) AS a,
-    -ln((p.r + {prior} * (s.r + 1) / (total.r + {vocabulary})) / (x.r + {prior})) AS b
+    -ln((p.t + {prior} * (s.t + 1) / (total.t + total.v)) / (x.t + {prior})) AS a,
+    -ln((p.r + {prior} * (s.r + 1) / (total.r + total.v)) / (x.r + {prior})) AS b
   FROM pair_n p JOIN context_n x USING (c) JOIN word_n s USING (w), total),
 means AS (SELECT r, avg(a) AS a, avg(b) AS b FROM pairs JOIN loss USING (c, w) GROUP BY r)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, round(a, 6) AS loss_target, round(b, 6) AS loss_background, round(a - b, 6) AS score

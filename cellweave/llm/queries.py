@@ -11,7 +11,7 @@ from cellweave.llm import crossentropy, language, licenses, mixing, packing, qua
 from cellweave.session import ship_package
 
 
-VOCABULARY, PRIOR = 1024, 50.0
+PRIOR = 50.0
 LEAST_SHARE = 0.75
 
 
@@ -39,7 +39,7 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_crossentropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = crossentropy.scored(documents(spark, sf_dir), trusted(spark, sf_dir), VOCABULARY, PRIOR)
+    found = crossentropy.scored(documents(spark, sf_dir), trusted(spark, sf_dir), PRIOR)
     return found.select("doc_id", "n_words", *[F.round(k, 6).alias(k) for k in ("loss_target", "loss_background", "score")])
 
 
@@ -102,7 +102,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc_fixity": warc_fixity.SQL,
         "op3_repeats": repeats.SQL,
-        "op4_crossentropy": crossentropy.SQL.format(vocabulary=VOCABULARY, prior=PRIOR),
+        "op4_crossentropy": crossentropy.SQL.format(prior=PRIOR),
         "op6_vectors": vectors.SQL,
         "op11_licenses": licenses.SQL.format(least=LEAST_SHARE),
         "op13_resampling": resampling.SQL,
