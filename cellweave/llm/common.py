@@ -37,6 +37,16 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(other, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def boxed(docs: DataFrame, **extra: Column) -> DataFrame:
+    """The rows as one struct ``row`` beside columns of our own, whose names then clash with none of theirs."""
+    return docs.select(F.struct(*[c(k) for k in docs.columns]).alias("row"), *[v.alias(k) for k, v in extra.items()])
+
+
+def unboxed(df: DataFrame, columns: Sequence[str], *more: str) -> DataFrame:
+    """The columns of boxed rows again, and ``more`` of the others."""
+    return df.select(*[F.col("row").getField(k).alias(k) for k in columns], *more)
+
+
 def ranked(df: DataFrame, keys: Sequence[str], h: str, ties: Sequence[str], name: str, bucket_rows: int = 256) -> DataFrame:
     """Add the 0-based rank by (``h``, ``ties``) within ``keys``; no key's rows meet in one task.
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellweave.llm.common import c, join_null_safe, materialize, ranked, seeded, word_count
+from cellweave.llm.common import boxed, join_null_safe, materialize, ranked, seeded, unboxed, word_count
 from cellweave.scale import row_numbers
 
 MAX_PASSES = 3
@@ -144,11 +144,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), seed: int = 7) ->
 
     Rows that repeat one document exactly share a key; the first of them, in any order, get what the mix takes more.
     """
-    took = decisions(docs, weights, seed).groupBy("doc_id", F.col("row_key").alias("__key")).agg(
-        F.min("copies").alias("__low"), (F.sum("copies") - F.count(F.lit(1)) * F.min("copies")).alias("__more")
+    took = decisions(docs, weights, seed).groupBy("doc_id", "row_key").agg(
+        F.min("copies").alias("low"), (F.sum("copies") - F.count(F.lit(1)) * F.min("copies")).alias("more")
     )
-    rows = join_null_safe(docs.withColumn("__key", row_key(seed)), took, ["doc_id", "__key"])
-    turn = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy("__low"))
-    times = F.col("__low") + F.when(turn <= F.col("__more"), 1).otherwise(0)
-    out = rows.withColumn("__times", times.cast("int")).withColumn("__copy", F.explode(F.expr("array_repeat(1, __times)")))
-    return out.select(*[c(k) for k in docs.columns])
+    rows = join_null_safe(boxed(docs, doc_id=F.col("doc_id"), row_key=row_key(seed)), took, ["doc_id", "row_key"])
+    turn = F.row_number().over(Window.partitionBy("doc_id", "row_key").orderBy("low"))
+    times = F.col("low") + F.when(turn <= F.col("more"), 1).otherwise(0)
+    out = rows.withColumn("times", times.cast("int")).withColumn("copy", F.explode(F.expr("array_repeat(1, times)")))
+    return unboxed(out, docs.columns)

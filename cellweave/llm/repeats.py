@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import c, join_null_safe, materialize, release_memory, slices, text_bytes
+from cellweave.llm.common import boxed, c, join_null_safe, materialize, release_memory, slices, text_bytes, unboxed
 from cellweave.llm.components import whole_groups
 from cellweave.scale import row_numbers
 
@@ -440,10 +440,10 @@ def numbered(docs: DataFrame) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
     if ids.where("n > 1 or i is null or i < 0").isEmpty():
         return docs.withColumn("dk", F.col("doc_id").cast("long"))
-    keyed = docs.withColumn("__t", F.xxhash64("text"))
-    distinct = keyed.select("doc_id", "__t").distinct().withColumn("__null", F.col("doc_id").isNull())
-    ranks = row_numbers(distinct, [], ["__null", "doc_id", "__t"], "dk").select("doc_id", "__t", "dk")
-    return join_null_safe(keyed, materialize(ranks), ["doc_id", "__t"]).drop("__t")
+    keyed = boxed(docs, doc_id=F.col("doc_id"), t=F.xxhash64("text"))
+    distinct = keyed.select("doc_id", "t").distinct().withColumn("no_id", F.col("doc_id").isNull())
+    ranks = row_numbers(distinct, [], ["no_id", "doc_id", "t"], "dk").select("doc_id", "t", "dk")
+    return unboxed(join_null_safe(keyed, materialize(ranks), ["doc_id", "t"]), docs.columns, "dk")
 
 
 def covers(docs: DataFrame, hot: int = 4096, batch_hot: int = 256) -> DataFrame:

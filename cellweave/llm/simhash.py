@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellweave.llm.common import c, join_null_safe, materialize, slices
+from cellweave.llm.common import boxed, join_null_safe, materialize, slices, unboxed
 from cellweave.llm.components import components, group_bounds, local_stars, whole_groups
 
 SEED = 42
@@ -112,7 +112,8 @@ def near_duplicates(docs: DataFrame, distance: int = 3, blocks: int = 5, words:
 def keep_first(docs: DataFrame, distance: int = 3, blocks: int = 5, words: int = 3) -> DataFrame:
     """One document of every component, the one with the smallest id, with all its columns."""
     prints = materialize(fingerprints(docs, words))
-    first = labelled(prints, distance, blocks).select("first.doc_id", F.col("first.t").alias("__t")).distinct()
-    kept = join_null_safe(docs.withColumn("__t", F.xxhash64("text")), first, ["doc_id", "__t"])
-    once = F.row_number().over(Window.partitionBy("doc_id", "__t").orderBy("__t"))
-    return kept.withColumn("__once", once).where("__once = 1").select(*[c(k) for k in docs.columns])
+    first = labelled(prints, distance, blocks).select("first.doc_id", "first.t").distinct()
+    rows = boxed(docs, doc_id=F.col("doc_id").cast("long"), t=F.xxhash64("text"))
+    kept = join_null_safe(rows, first, ["doc_id", "t"])
+    once = F.row_number().over(Window.partitionBy("doc_id", "t").orderBy("t"))
+    return unboxed(kept.withColumn("once", once).where("once = 1"), docs.columns)

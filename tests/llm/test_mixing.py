@@ -92,3 +92,18 @@ def test_mix_repeats_documents_and_keeps_columns(docs):
 def test_empty_table(docs):
     none = docs.where("false")
     assert mixing.decisions(none).collect() == [] and mixing.mix(none).collect() == []
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["__key", "__low", "__times", "row", "row_key", "low", "more", "times", "copy"]
+    rows = [(i, "word " * (1 + i % 7), "ab"[i % 2], *(f"{n}{i}" for n in names)) for i in range(40)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    out = mixing.mix(df)
+    assert out.columns == df.columns
+    got = list(map(tuple, out.collect()))
+    assert set(got) <= set(rows) and len(got) == sum(r.copies for r in mixing.decisions(df).collect())
+
+
+def test_very_long_texts_count_whole(spark):
+    df = spark.createDataFrame([(1, "w " * 300_000, "a"), (2, "w " * 300_000, "b"), (3, "x", "b")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.size for r in mixing.decisions(df).collect()} == {1: 300_000, 2: 300_000, 3: 1}

@@ -133,3 +133,13 @@ def test_stage_keeps_columns_and_whole_characters(spark):
 
 def test_empty_table(spark):
     assert got(repeats.removed(spark.createDataFrame([], "doc_id long, text string"))) == []
+
+
+def test_columns_of_any_name_are_kept_when_ids_repeat(spark):
+    long = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(400))
+    names = ["__t", "t", "row", "dk", "spans", "no_id"]
+    rows = [(1, long, *(f"{n}1" for n in names)), (1, "other " + long[:150], *(f"{n}2" for n in names)), (None, long, *names)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    out = repeats.deduplicated(df)
+    assert out.columns == df.columns
+    assert {tuple(r)[2:] for r in out.collect()} == {r[2:] for r in rows}

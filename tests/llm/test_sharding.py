@@ -65,3 +65,47 @@ def test_few_rows_and_empty_table(spark):
     df = frame(spark).limit(3)
     assert sharding.shuffled(df).count() == 3
     assert sharding.shuffled(df.where("false")).collect() == []
+
+
+def test_shuffle_matches_brute_force_on_the_same_draws(spark):
+    """The whole shuffle again in plain Python: partitions, permutation, runs of the drawn matrix, second permutation."""
+    import xxhash
+
+    def spark_hash(values, seed=42):
+        h = seed
+        for v in values:
+            if v is None:
+                continue
+            h = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True), h)
+        return h
+
+    rng = random.Random(1)
+    texts = [None, "", *("".join(rng.choice("ab é") for _ in range(rng.randint(0, 30))) for _ in range(300))]
+    rows = [(d, t) for d, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    seed, shards, parts = 11, 8, sharding.LEAST_PARTITIONS
+    as_int = lambda s: int(s).to_bytes(4, "little", signed=True)
+    first = lambda s: xxhash.xxh64_intdigest(as_int(s), 42)  # noqa: E731  Spark hashes an int literal as four bytes
+    docs = []
+    for d, t in rows:
+        body = (t or "").encode()
+        values = (d, len(body) + 1, zlib.crc32(body))
+        h = [spark_hash(values, first(seed + k)) for k in range(3)]
+        signed = h[0] - (1 << 64) if h[0] >> 63 else h[0]
+        docs.append((d, values[1], values[2], signed % parts, h[1] >> 1, h[2] >> 1))
+    by = {}
+    for r in docs:
+        by.setdefault(r[3], []).append(r)
+    total = len(docs)
+    sizes = [total // shards + (s < total % shards) for s in range(shards)]
+    matrix = sharding.communication_matrix([len(by[p]) for p in sorted(by)], sizes, seed)
+    placed = {s: [] for s in range(shards)}
+    for p, runs in zip(sorted(by), matrix):
+        mine = sorted(by[p], key=lambda r: (r[4], r[0]))
+        at = 0
+        for s, n in enumerate(runs):
+            placed[s] += mine[at : at + n]
+            at += n
+    want = {r[0]: (s, k) for s, some in placed.items() for k, r in enumerate(sorted(some, key=lambda r: (r[5], r[0])))}
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shuffled(df).collect()}
+    assert got == want

@@ -90,3 +90,12 @@ def test_long_text_and_empty_table(spark):
     assert simhash.fingerprint(text.encode()) == simhash.fingerprint(("word " * 100_000).encode())
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).collect() == [] and simhash.keep_first(empty).collect() == []
+
+
+def test_keep_first_keeps_columns_of_any_name(spark):
+    names = ["__t", "__once", "row", "t", "once", "first", "fp", "a.b"]
+    rows = [(i, text, *(f"{n}{i}" for n in names)) for i, text in enumerate(["one two three four five six"] * 3 + ["quite another text of some words", None])] + [(None, "no id", *names)]
+    df = spark.createDataFrame(rows + [rows[3]], ["doc_id", "text", *names])
+    kept = simhash.keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[0], rows[3], rows[4], rows[5]], key=repr)
