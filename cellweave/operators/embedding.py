@@ -169,11 +169,13 @@ def _tree_sum(df: DataFrame, fn, size: int, fan: int = 32) -> np.ndarray:
     return sum((np.frombuffer(bytes(r["m"])) for r in rows), np.zeros(size))
 
 
-def corrected_for_batch(df: DataFrame, id_col: str, vec: str, batch: str, n_clusters: int | None = None, theta: float = 2.0, sigma: float = 0.1, ridge: float = 1.0, rounds: int = 10, inner: int = 8, damping: float = 0.25, tol: float = 1e-4, out: str = "corrected", seed: int = 42) -> DataFrame:
+def corrected_for_batch(df: DataFrame, id_col: str, vec: str, batch: str, n_clusters: int | None = None, theta: float = 2.0, sigma: float = 0.1, ridge: float = 1.0, rounds: int = 10, inner: int = 8, damping: float = 0.25, tol: float = 1e-4, inner_tol: float = 1e-3, out: str = "corrected", seed: int = 42) -> DataFrame:
     """Soft-cluster cells so that batches mix within clusters, then remove each cluster's batch offset (Harmony).
 
-    Tasks see batches of cells and the small cluster state; only cluster x batch x component sums are added up. Column
-    ``converged`` says whether the offsets settled within ``tol``; false means that ``rounds`` came first.
+    Tasks see batches of cells and the small cluster state; only cluster x batch x component sums are added up. The objective of
+    the published method (distance to the centres, entropy of the memberships, and their divergence from even batches) is added up
+    in the same passes. The clusters of a round are at rest when it changes by less than ``inner_tol`` of itself, the rounds end
+    when a round improves it by less than ``tol``; column ``converged`` is false if ``rounds`` came first.
     """
     batches = [r[0] for r in df.select(batch).distinct().orderBy(batch).limit(10_001).collect()]
     if len(batches) > 10_000:
@@ -193,34 +195,48 @@ def corrected_for_batch(df: DataFrame, id_col: str, vec: str, batch: str, n_clus
 
     def members(pdf, state):
         zc, b = _rows(pdf["zc"]), pdf["batch"].map(at).to_numpy()
-        r = np.exp(-2 * (1 - normed(zc) @ normed(state["y"]).T) / sigma + 0.0) * state["penalty"][:, b].T
-        return r / (r.sum(1, keepdims=True) + 1e-300), b
+        far = 2 * (1 - normed(zc) @ normed(state["y"]).T)
+        r = np.exp(-far / sigma) * state["penalty"][:, b].T
+        return r / (r.sum(1, keepdims=True) + 1e-300), b, far
 
-    size = k * nb * (2 * d + 1)
+    size = k * nb * (2 * d + 1) + 1
 
     def sums(state):
         def fn(pdf):
-            r, b = members(pdf, state)
+            r, b, far = members(pdf, state)
             zn, z = normed(_rows(pdf["zc"])), _rows(pdf["z"])
             o, sc, sz = np.zeros((k, nb)), np.zeros((k, nb, d)), np.zeros((k, nb, d))
             for j in np.unique(b):
                 m = b == j
                 o[:, j], sc[:, j], sz[:, j] = r[m].sum(0), r[m].T @ zn[m], r[m].T @ z[m]
-            return np.concatenate([o.ravel(), sc.ravel(), sz.ravel()])
+            cost = (r * far).sum() + sigma * (r * np.log(r + 1e-300)).sum()
+            return np.concatenate([o.ravel(), sc.ravel(), sz.ravel(), [cost]])
 
         flat = _tree_sum(base, fn, size)
-        return flat[: k * nb].reshape(k, nb), flat[k * nb : k * nb * (1 + d)].reshape(k, nb, d), flat[k * nb * (1 + d) :].reshape(k, nb, d)
+        o = flat[: k * nb].reshape(k, nb)
+        even = o.sum(1, keepdims=True) * (o.sum(0, keepdims=True) / o.sum())
+        goal = flat[-1] + sigma * theta * (o * np.log((o + 1) / (even + 1))).sum()
+        return o, flat[k * nb : k * nb * (1 + d)].reshape(k, nb, d), flat[k * nb * (1 + d) : -1].reshape(k, nb, d), float(goal)
 
     state = {"y": centres, "penalty": np.ones((k, nb))}
     last, mixed, converged = None, None, False
     for _ in range(rounds):
+        before = None
         for _ in range(inner):
-            o, sc, sz = sums(state)
+            o, sc, sz, goal = sums(state)
+            if before is not None and abs(before - goal) <= inner_tol * abs(before):
+                break
+            before = goal
             # all cells move at once: the running mean keeps the batches from trading places
             mixed = o if mixed is None else (1 - damping) * mixed + damping * o
             expected = mixed.sum(1, keepdims=True) * (mixed.sum(0, keepdims=True) / mixed.sum())
             state = {"y": normed(sc.sum(1)), "penalty": ((expected + 1) / (mixed + 1)) ** theta}
-        o, sc, sz = sums(state)
+        else:
+            o, sc, sz, goal = sums(state)
+        if last is not None and last - goal < tol * abs(last):
+            converged = True
+            break
+        last = goal
         shift = np.zeros((k, nb, d))
         for j in range(k):  # ridge regression on intercept and batch indicators, weighted by membership
             g = np.zeros((nb + 1, nb + 1))
@@ -232,17 +248,12 @@ def corrected_for_batch(df: DataFrame, id_col: str, vec: str, batch: str, n_clus
         def apply(parts, state=state, shift=shift):
             for pdf in parts:
                 if len(pdf):
-                    r, b = members(pdf, state)
+                    r, b, _ = members(pdf, state)
                     z = _rows(pdf["z"]) - np.einsum("ik,ikd->id", r, shift[:, b].transpose(1, 0, 2))
                     pdf = pdf.assign(zc=list(z))
                 yield pdf
 
         base = materialize(base.mapInPandas(apply, base.schema))
-        norm = float(np.abs(shift).sum())
-        if last is not None and abs(last - norm) <= tol * max(last, 1e-12):
-            converged = True
-            break
-        last = norm
     return df.join(base.select(F.col("id").alias(id_col), F.col("zc").alias(out), F.lit(converged).alias("converged")), id_col)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import dist as tails
 from cellweave.operators.aggregates import grid_bins, grid_means, n_rows
+from cellweave.operators.permutations import pair_counts, permuted_codes
 from cellweave.operators.statistics import guarded_correlation, with_correlation_p
 from cellweave.scale import attach, c, materialize, row_numbers, sized, with_group_stats
 
@@ -42,39 +43,26 @@ def permuted_positions(cells: DataFrame, keys: Sequence[str], id_col: str, n_per
     return there.select(*_cols(keys), "perm", "id", "other", *_cols(carry))
 
 
-def permuted_labels(cells: DataFrame, keys: Sequence[str], id_col: str, label: str, n_perm: int, seed: int) -> DataFrame:
-    """Per cell, the array of its label under permutations 0 (the real one) to n_perm."""
-    own = cells.select(*_cols(keys), c(id_col).alias("id"), c(label).alias("label"))
-    moved = permuted_positions(own, keys, "id", n_perm, seed, ["label"])
-    every = own.select(*_cols(keys), F.lit(0).alias("perm"), "id", "label").unionByName(moved.select(*_cols(keys), "perm", "id", "label"))
-    entry = F.array_sort(F.collect_list(F.struct("perm", "label")))
-    return every.groupBy(*_cols(keys), "id").agg(entry.alias("e")).select(*_cols(keys), "id", F.col("e.label").alias("labels"))
-
-
 def neighbourhood_enrichment(edges: DataFrame, cells: DataFrame, keys: Sequence[str], label: str, n_perm: int = 100, seed: int = 42, min_cells: int = 0, id_col: str = "cell_id") -> DataFrame:
     """Observed label pairs on edges against label permutations: (keys, a, b, observed, expected, std, z).
 
-    The permuted labels travel as one short array per cell, so the edges are joined once, not per permutation.
-    Labels with at most ``min_cells`` cells of a group are left out of its pairs.
+    The permuted labels travel as one short binary per cell, so the edges are joined once, and pairs are counted inside the
+    tasks: what is shuffled is permutations x pairs. Labels with at most ``min_cells`` cells of a group are left out of its pairs.
     """
     keys = list(keys)
-    labels = materialize(permuted_labels(cells, keys, id_col, label, n_perm, seed))
-    end = lambda side: labels.select(*_cols(keys), F.col("id").alias(side), F.col("labels").alias(f"l_{side}"))
-    j = edges.select(*_cols(keys), "src", "dst").join(end("src"), [*keys, "src"]).join(end("dst"), [*keys, "dst"])
-    pair = F.posexplode(F.arrays_zip("l_src", "l_dst")).alias("perm", "p")
-    counts = j.select(*_cols(keys), pair).groupBy(*_cols(keys), "perm", F.col("p.l_src").alias("a"), F.col("p.l_dst").alias("b")).agg(
-        n_rows().cast("double").alias("n")
-    )
-    if min_cells:
-        big = cells.groupBy(*_cols(keys), c(label).alias("a")).agg(n_rows().alias("m")).where(F.col("m") > min_cells).drop("m")
-        for side in ("a", "b"):
-            counts = attach(counts, big.withColumnRenamed("a", side), [*keys, side], "left_semi")
+    permuted = permuted_codes(cells, keys, id_col, label, n_perm, seed)
+    counts = pair_counts(edges, permuted, keys)
     real = F.col("perm") == 0
-    s = counts.groupBy(*_cols(keys), "a", "b").agg(
+    s = counts.groupBy("g", "a", "b").agg(
         F.coalesce(F.sum(F.when(real, F.col("n"))), F.lit(0.0)).alias("observed"),
         (F.coalesce(F.sum(F.when(~real, F.col("n"))), F.lit(0.0)) / n_perm).alias("expected"),
         (F.coalesce(F.sum(F.when(~real, F.col("n") * F.col("n"))), F.lit(0.0)) / n_perm).alias("__sq"),
     )
+    s = s.join(sized(permuted.groups), "g").select(*_cols(keys), permuted.label(F.col("a")).alias("a"), permuted.label(F.col("b")).alias("b"), "observed", "expected", "__sq")
+    if min_cells:
+        big = cells.groupBy(*_cols(keys), c(label).alias("a")).agg(n_rows().alias("m")).where(F.col("m") > min_cells).drop("m")
+        for side in ("a", "b"):
+            s = attach(s, big.withColumnRenamed("a", side), [*keys, side], "left_semi")
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("__sq") - F.col("expected") * F.col("expected")))
     return s.withColumn("std", spread).drop("__sq").withColumn("z", (F.col("observed") - F.col("expected")) / (F.col("std") + 1e-10))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import pathlib
 import tempfile
 import zipfile
 
@@ -35,6 +36,7 @@ def ship_package(spark: SparkSession) -> None:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     path = os.path.join(tempfile.mkdtemp(prefix="cellweave-"), _ARCHIVE)
-    with zipfile.PyZipFile(path, "w") as z:
-        z.writepy(os.path.join(root, "cellweave"))
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:  # sources only: the package folder may be read-only
+        for source in sorted(pathlib.Path(root, "cellweave").rglob("*.py")):
+            z.write(source, source.relative_to(root))
     sc.addPyFile(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.scale import sized
+
 # QC limits per platform.
 PLATFORM_THRESHOLDS = [
     # platform, min_genes, max_genes, min_counts, max_counts, max_pct_mt, min_cells_per_gene
@@ -25,13 +27,13 @@ def thresholds(spark: SparkSession) -> DataFrame:
 
 def with_thresholds(df: DataFrame, registry: DataFrame, platform: str = "platform") -> DataFrame:
     """Limits of the row's platform; an unknown platform gets the default one's."""
-    known = F.broadcast(registry.select(F.col("platform").alias("__known")))
+    known = sized(registry.select(F.col("platform").alias("__known")))
     pick = (
         df.join(known, df[platform] == F.col("__known"), "left")
         .withColumn("__use", F.coalesce("__known", F.lit(DEFAULT_PLATFORM)))
         .drop("__known")
     )
-    limits = F.broadcast(registry.withColumnRenamed("platform", "__use"))
+    limits = sized(registry.withColumnRenamed("platform", "__use"))
     return pick.join(limits, "__use").withColumnRenamed("__use", "limits_from")
 
 

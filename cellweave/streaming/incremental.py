@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,11 +17,12 @@ DONE_SCHEMA = "sample_id string, status string, batch long"
 
 def finished_samples(spark: SparkSession, summary_path: str) -> DataFrame:
     """Samples whose recorded status is present and not ERROR; empty before the first run."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(summary_path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
+    try:
+        done = spark.read.schema(DONE_SCHEMA).parquet(summary_path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], DONE_SCHEMA)
-    done = spark.read.schema(DONE_SCHEMA).parquet(summary_path)
     return done.where("status is not null and status <> 'ERROR'")
 
 
