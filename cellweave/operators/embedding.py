@@ -122,29 +122,53 @@ def weighted_modalities(df: DataFrame, rna: str, protein: str, mode: str = "inve
     return t.withColumn(out, joint).withColumn("rna_weight", F.lit(wr)).withColumn("protein_weight", F.lit(wp)).drop("__r", "__p")
 
 
+def _far(x: Column, y: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+
+
+def shared_neighbour_width(near: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(id, width): mean distance of a cell to the ``k`` cells whose neighbour lists overlap least with its own, but do overlap.
+
+    ``near`` is (src, dst, dist), ``vectors`` (id, v). Only cells that share a neighbour meet, by a join of the lists on the shared
+    cell; overlap is the Jaccard index, ties go by id. A cell that shares with none has the distance of its last neighbour.
+    """
+    sizes = near.groupBy("src").agg(n_rows().alias("n"), F.max("dist").alias("last"))
+    a, b = near.select(F.col("src").alias("i"), "dst"), near.select(F.col("src").alias("j"), "dst")
+    common = a.join(b, "dst").where("i <> j").groupBy("i", "j").agg(n_rows().alias("m"))
+    sized_ = lambda v: sizes.select(F.col("src").alias(v), F.col("n").alias(f"n_{v}"))
+    overlap = F.col("m") / (F.col("n_i") + F.col("n_j") - F.col("m"))
+    least = top_n(common.join(sized_("i"), "i").join(sized_("j"), "j").select("i", "j", overlap.alias("overlap")), ["i"], [F.col("overlap"), F.col("j")], k)
+    side = lambda v: vectors.select(F.col("id").alias(v), F.col("v").alias(f"v_{v}"))
+    mean = least.join(side("i"), "i").join(side("j"), "j").groupBy(F.col("i").alias("id")).agg(F.avg(_far(F.col("v_i"), F.col("v_j"))).alias("mean"))
+    return sizes.select(F.col("src").alias("id"), "last").join(mean, "id", "left").select("id", F.coalesce("mean", "last").alias("width"))
+
+
 def fused_neighbours(df: DataFrame, id_col: str, a: str, b: str, k: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Per-cell modality weights and the k nearest cells under the weighted kernel of both embeddings.
+    """Per-cell modality weights and the k nearest cells under the weighted kernel of both embeddings (Hao et al., 2021).
 
-    A modality weighs more in a cell whose vector its own neighbours predict better than the other's do.
+    A modality weighs more in a cell whose vector its own neighbours predict better than the other's do. A kernel falls with the
+    distance beyond the nearest neighbour, by a width that comes from shared neighbours, so it does not depend on how densely
+    the cell itself is surrounded.
     """
     base = materialize(df.select(c(id_col).alias("id"), c(a).alias("va"), c(b).alias("vb")))
     near = {m: materialize(nearest_by_descent(base.withColumnRenamed("id", id_col), [], k, id_col, f"v{m}").select("src", "dst", "dist")) for m in "ab"}
-    dist = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
     own = base
     for m in "ab":
-        width = near[m].groupBy(F.col("src").alias("id")).agg(F.max("dist").alias(f"s{m}"), F.min("dist").alias(f"n{m}"))
-        own = own.join(width, "id")
+        width = shared_neighbour_width(near[m], base.select("id", F.col(f"v{m}").alias("v")), k)
+        first = near[m].groupBy(F.col("src").alias("id")).agg(F.min("dist").alias(f"n{m}"))
+        own = own.join(width.withColumnRenamed("width", f"s{m}"), "id").join(first, "id")
     for by in "ab":  # mean vector of the neighbours found in modality `by`, in both modalities
         j = near[by].join(base.withColumnRenamed("id", "dst"), "dst")
         mean = j.groupBy(F.col("src").alias("id")).agg(*[vector_to_array(Summarizer.mean(array_to_vector(F.col(f"v{m}")))).alias(f"p{m}{by}") for m in "ab"])
         own = own.join(mean, "id")
-    fit = lambda m, by: F.exp(-F.greatest(F.lit(0.0), dist(F.col(f"v{m}"), F.col(f"p{m}{by}")) - F.col(f"n{m}")) / (F.col(f"s{m}") + 1e-12))
+    reach = lambda m: F.greatest(F.col(f"s{m}") - F.col(f"n{m}"), F.lit(1e-12))
+    kernel = lambda m, d: F.exp(-F.greatest(F.lit(0.0), d - F.col(f"n{m}")) / reach(m))
+    fit = lambda m, by: kernel(m, _far(F.col(f"v{m}"), F.col(f"p{m}{by}")))
     ra, rb = fit("a", "a") / (fit("a", "b") + 1e-4), fit("b", "b") / (fit("b", "a") + 1e-4)
     weights = materialize(own.withColumn("weight_a", 1 / (1 + F.exp(rb - ra))).select("id", "va", "vb", "sa", "sb", "na", "nb", "weight_a"))
     pairs = near["a"].select("src", "dst").union(near["b"].select("src", "dst")).distinct()
     j = pairs.join(weights.withColumnRenamed("id", "src"), "src").join(base.select(F.col("id").alias("dst"), F.col("va").alias("wa"), F.col("vb").alias("wb")), "dst")
-    kernel = lambda m: F.exp(-F.greatest(F.lit(0.0), dist(F.col(f"v{m}"), F.col(f"w{m}")) - F.col(f"n{m}")) / (F.col(f"s{m}") + 1e-12))
-    sim = F.col("weight_a") * kernel("a") + (1 - F.col("weight_a")) * kernel("b")
+    sim = F.col("weight_a") * kernel("a", _far(F.col("va"), F.col("wa"))) + (1 - F.col("weight_a")) * kernel("b", _far(F.col("vb"), F.col("wb")))
     edges = top_n(j.select("src", "dst", sim.alias("similarity")), ["src"], [F.col("similarity").desc(), F.col("dst")], k)
     return weights.select(F.col("id").alias(id_col), "weight_a", (1 - F.col("weight_a")).alias("weight_b")), edges
 

@@ -1,5 +1,7 @@
 """Decompositions, batch correction and models against numpy on small fixtures."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -133,3 +135,36 @@ def test_silhouette_takes_every_row(spark):
     df = spark.createDataFrame(pd.DataFrame({"cell_id": range(len(v)), "v": list(v), "l": label}))
     got = {r.cell_id: r.silhouette for r in em.silhouette(df, "cell_id", "v", "l").collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_fused_neighbours_against_brute_force(spark):
+    rng, n, k = np.random.default_rng(12), 70, 6
+    kind = rng.integers(0, 3, n)
+    a = (rng.normal(size=(n, 3)) * 0.4 + np.eye(3)[kind] * 3).astype(np.float32).astype(float)
+    b = rng.normal(size=(n, 2)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, a[i].tolist(), b[i].tolist()) for i in range(n)], "cell_id long, rna array<double>, protein array<double>")
+    far, near, width, first = {}, {}, {}, {}
+    for m, x in (("a", a), ("b", b)):
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        order = np.argsort(d + np.diag(np.full(n, np.inf)), axis=1, kind="stable")[:, :k]
+        far[m], near[m], first[m] = d, [set(r.tolist()) for r in order], d[np.arange(n), order[:, 0]]
+        width[m] = []
+        for i in range(n):
+            overlap = sorted((len(near[m][i] & near[m][j]) / len(near[m][i] | near[m][j]), j) for j in range(n) if j != i and near[m][i] & near[m][j])
+            width[m].append(np.mean([d[i, j] for _, j in overlap[:k]]) if overlap else d[i, order[i, -1]])
+    kernel = lambda m, i, v: math.exp(-max(0.0, v - first[m][i]) / max(width[m][i] - first[m][i], 1e-12))
+    x = {"a": a, "b": b}
+    fit = lambda m, by, i: kernel(m, i, float(np.linalg.norm(x[m][i] - x[m][sorted(near[by][i])].mean(0))))
+    weight = []
+    for i in range(n):
+        ra, rb = fit("a", "a", i) / (fit("a", "b", i) + 1e-4), fit("b", "b", i) / (fit("b", "a", i) + 1e-4)
+        weight.append(1 / (1 + math.exp(rb - ra)))
+    weights, edges = em.fused_neighbours(df, "cell_id", "rna", "protein", k)
+    assert {r.cell_id: r.weight_a for r in weights.collect()} == pytest.approx(dict(enumerate(weight)), abs=1e-6)
+    got = {}
+    for r in edges.collect():
+        got.setdefault(r.src, []).append((-r.similarity, r.dst))
+    for i in range(n):
+        want = sorted((-(weight[i] * kernel("a", i, far["a"][i, j]) + (1 - weight[i]) * kernel("b", i, far["b"][i, j])), j) for j in near["a"][i] | near["b"][i])[:k]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in want] and [s for s, _ in sorted(got[i])] == pytest.approx([s for s, _ in want], abs=1e-6)
+    assert np.mean(weight) > 0.55
