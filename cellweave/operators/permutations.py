@@ -58,8 +58,9 @@ def with_group(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def permuted_codes(cells: DataFrame, keys: Sequence[str], id_col: str, label: str, n_perm: int, seed: int) -> Permuted:
+    """Cells with a label and their labels under the permutations; ids are unique within a group."""
     keys = list(keys)
-    names = [r[0] for r in cells.select(c(label).alias("l")).distinct().orderBy("l").limit(MAX_LABELS + 1).collect()]
+    names = [r[0] for r in cells.select(c(label).alias("l")).where("l is not null").distinct().orderBy("l").limit(MAX_LABELS + 1).collect()]
     if len(names) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels")
     groups = numbered_groups(cells, keys)
