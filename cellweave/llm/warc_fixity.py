@@ -23,16 +23,21 @@ RANGE = 1 << 16
 FAN = 16
 
 
+#: The pages carry no time of retrieval; a record must have one.
+DATE = "1970-01-01T00:00:00Z"
+
+
 def record(page_id: Column, url: Column, html: Column) -> Column:
-    """A WARC response record, as binary, of a page."""
+    """A WARC response record, as binary, of a page: header, then the HTTP response as its block."""
     key = F.md5(F.concat_ws("|", page_id.cast("string"), url))
     uuid = F.concat_ws("-", *[F.substring(key, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     body = F.coalesce(html, F.lit(""))
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
     head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:"), uuid, F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")),
-        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
+        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:"), uuid, F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")),
+        F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), (F.octet_length(http) + F.octet_length(body)).cast("string"), F.lit("\r\n\r\n"),
     )
-    return F.concat(head, body, F.lit("\r\n\r\n")).cast("binary")
+    return F.concat(head, http, body, F.lit("\r\n\r\n")).cast("binary")
 
 
 def archived(pages: DataFrame) -> DataFrame:
@@ -112,15 +117,17 @@ def damaged_copy(pages: DataFrame) -> DataFrame:
 
 #: The damage found, in SQL, for pages as a view.
 SQL = r"""
-WITH keyed AS (SELECT page_id, url, coalesce(html, '') AS body, md5(concat_ws('|', page_id, url)) AS k FROM pages),
-records AS (SELECT page_id, url, k, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:'
-    || concat_ws('-', k[1:8], k[9:12], k[13:16], k[17:20], k[21:32]) || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
-    || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(body) AS VARCHAR)
-    || chr(13) || chr(10) || chr(13) || chr(10) || body || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM keyed),
+WITH nl AS (SELECT chr(13) || chr(10) AS nl),
+keyed AS (SELECT page_id, url, coalesce(html, '') AS body, md5(concat_ws('|', page_id, url)) AS k, nl FROM pages, nl),
+blocks AS (SELECT *, 'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html' || nl || 'Content-Length: ' || CAST(strlen(body) AS VARCHAR) || nl || nl || body AS block FROM keyed),
+records AS (SELECT page_id, url, k, 'WARC/1.1' || nl || 'WARC-Type: response' || nl || 'WARC-Record-ID: <urn:uuid:'
+    || concat_ws('-', k[1:8], k[9:12], k[13:16], k[17:20], k[21:32]) || '>' || nl || 'WARC-Date: {date}' || nl || 'WARC-Target-URI: ' || coalesce(url, '')
+    || nl || 'Content-Type: application/http; msgtype=response' || nl || 'Content-Length: ' || CAST(strlen(block) AS VARCHAR)
+    || nl || nl || block || nl || nl AS rec FROM blocks),
 placed AS (SELECT *, strlen(rec) AS length, sha256(rec) AS expected,
     sum(strlen(rec)) OVER (ORDER BY page_id NULLS FIRST, url NULLS FIRST, sha256(rec) ROWS UNBOUNDED PRECEDING) - strlen(rec) AS "offset" FROM records)
 SELECT CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, page_id, url,
   CASE WHEN k[1:2] < '08' THEN 'changed' ELSE 'missing' END AS status, expected,
   CASE WHEN k[1:2] < '08' THEN sha256(rec || chr(10)) END AS found
 FROM placed WHERE k[1:2] <= '0f'
-"""
+""".replace("{date}", DATE)

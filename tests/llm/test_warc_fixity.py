@@ -30,8 +30,20 @@ def test_archive_is_gapless(spark):
 def test_record_is_warc(spark):
     one = spark.createDataFrame([(1, "http://a/é", "<b>é</b>")], "page_id long, url string, html string")
     raw = bytes(one.select(W.record(F.col("page_id"), F.col("url"), F.col("html")).alias("r")).first().r).decode()
-    head, body = raw.split("\r\n\r\n", 1)
-    assert head.startswith("WARC/1.1\r\nWARC-Type: response\r\n") and "Content-Length: 9" in head and body == "<b>é</b>\r\n\r\n"
+    head, block = raw.split("\r\n\r\n", 1)
+    fields = dict(line.split(": ", 1) for line in head.split("\r\n")[1:])
+    assert head.startswith("WARC/1.1\r\n") and fields["WARC-Type"] == "response" and fields["WARC-Target-URI"] == "http://a/é"
+    assert fields["WARC-Date"].endswith("Z") and fields["Content-Type"] == "application/http; msgtype=response" and fields["WARC-Record-ID"].startswith("<urn:uuid:")
+    http = block.removesuffix("\r\n\r\n")
+    assert len(http.encode()) == int(fields["Content-Length"])
+    status, body = http.split("\r\n\r\n", 1)
+    assert status.startswith("HTTP/1.1 200 OK\r\n") and "Content-Length: 9" in status and body == "<b>é</b>"
+
+
+def test_a_very_long_page_is_one_record(spark):
+    df = spark.createDataFrame([(1, "u", "x" * 3_000_000), (2, "v", "y")], "page_id long, url string, html string")
+    bad = W.fixity(df, stored(df).where("offset > 0").select("offset", "bytes")).collect()
+    assert [(r.page_id, r.status, r.length > 3_000_000) for r in bad] == [(1, "missing", True)]
 
 
 def test_equal_replicas_have_no_damage(spark):
