@@ -158,9 +158,18 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return np.repeat(docs, runs), pos.astype(np.int64), gram.reshape(-1).view("<u8"), context
 
 
-def marked(docs: DataFrame, hot: int, batch_hot: int) -> DataFrame:
+#: Bytes of text for each partition in which anchors meet.
+PART_BYTES = 16 << 20
+
+
+def partitions_for(docs: DataFrame) -> int:
+    """As many partitions as the texts' bytes ask for, at least the session's number: what one task holds does not grow with the corpus."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+
+
+def marked(docs: DataFrame, hot: int, batch_hot: int, parts: int) -> DataFrame:
     """(dk, code): code is 4 * position + COVER, CANDIDATE or HOT for the anchors that occur more than once."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
     no_bytes = pa.array([None], pa.binary())
 
@@ -393,12 +402,11 @@ def _arrays(table: pa.Table) -> tuple[SuffixArray, pa.Table]:
     return SuffixArray(whole.column("bytes").to_pylist(), get("lo").astype(np.int64), get("hi").astype(np.int64), get("dk"), get("start")), table.filter(table.column("bytes").is_null())
 
 
-def _gathered(rows: DataFrame) -> DataFrame:
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _gathered(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "key").sortWithinPartitions("key")
 
 
-def scanned(rows: DataFrame) -> DataFrame:
+def scanned(rows: DataFrame, parts: int) -> DataFrame:
     """(dk, a, b): bytes covered by passages that start earlier elsewhere.
 
     Rows with bytes are contexts: suffixes start at lo to hi - 1 of the bytes, which begin at ``start`` of the document. Rows
@@ -421,7 +429,7 @@ def scanned(rows: DataFrame) -> DataFrame:
             dk, a, n = np.concatenate([dk, d[more]]), np.concatenate([a, s[more]]), np.concatenate([n, np.full(len(more), LEAST)])
             yield pa.RecordBatch.from_arrays([pa.array(dk), pa.array(a), pa.array(a + n)], names=["dk", "a", "b"])
 
-    return _gathered(rows).mapInArrow(scan, "dk long, a long, b long")
+    return _gathered(rows, parts).mapInArrow(scan, "dk long, a long, b long")
 
 
 def _blocks(tables: Iterator[pa.Table], rows: int = 8_000) -> Iterator[pa.Table]:
@@ -448,8 +456,9 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def covers(docs: DataFrame, hot: int = 4096, batch_hot: int = 256) -> DataFrame:
     """(dk, spans) of numbered documents: each span is (first + 128) * 2^32 + end, not yet clipped to the document."""
-    marks = materialize(marked(docs, hot, batch_hot))
-    found = scanned(suffixes(docs, marks))
+    parts = partitions_for(docs)
+    marks = materialize(marked(docs, hot, batch_hot, parts))
+    found = scanned(suffixes(docs, marks), parts)
     pos = F.expr("code div 4")
     whole = marks.where(F.col("code") % 4 == COVER).select("dk", (pos - SPREAD).alias("a"), (pos + LEAST).alias("b"))
     spans = whole.unionByName(found).select("dk", (F.shiftleft(F.col("a") + 128, 32) + F.col("b")).alias("span"))
@@ -586,7 +595,7 @@ def _contexts(docs: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["dk", "start"])
 
 
-def _array_groups(classes: DataFrame) -> DataFrame:
+def _array_groups(classes: DataFrame, parts: int) -> DataFrame:
     """(repeat, length, first, offset) from a suffix array of the contexts of each gram; of a class two contexts at most."""
     twice = F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(2).cast("long")))
     rows = classes.select("key", F.col("first.dk").alias("dk"), F.col("first.start").alias("start"), "n_starts", "bytes", F.explode(twice).alias("copy"))
@@ -602,7 +611,7 @@ def _array_groups(classes: DataFrame) -> DataFrame:
                 name = f"{dk[row][first]}:{start[row][first] + offset[first]}:{length}"
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(row)), pa.array(np.full(len(row), length)), pa.array(dk[row]), pa.array(start[row]), pa.array(offset)], names=["repeat", "length", "dk", "start", "offset"])
 
-    found = _gathered(rows).mapInArrow(groups, "repeat string, length long, dk long, start long, offset long").distinct()
+    found = _gathered(rows, parts).mapInArrow(groups, "repeat string, length long, dk long, start long, offset long").distinct()
     return found.select("repeat", "length", F.struct("dk", "start").alias("first"), "offset")
 
 
@@ -637,7 +646,7 @@ def repeat_groups(docs: DataFrame, hot: int = 4096) -> DataFrame:
     classes = contexts.groupBy(*same).agg(F.min(F.struct("dk", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
     sizes = classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("members")).where("members > 1")
     classes = materialize(classes.join(sizes, "key"))
-    found = _array_groups(classes.where(F.col("classes") <= hot)).unionByName(_hashed_groups(classes.where(F.col("classes") > hot)))
+    found = _array_groups(classes.where(F.col("classes") <= hot), partitions_for(docs)).unionByName(_hashed_groups(classes.where(F.col("classes") > hot)))
     members = contexts.join(classes.select(*same, "first"), same).select("first", "dk", "start")
     return materialize(found).join(members, "first").select("repeat", "length", "dk", (F.col("start") + F.col("offset")).alias("start"))
 

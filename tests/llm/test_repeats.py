@@ -143,3 +143,11 @@ def test_columns_of_any_name_are_kept_when_ids_repeat(spark):
     out = repeats.deduplicated(df)
     assert out.columns == df.columns
     assert {tuple(r)[2:] for r in out.collect()} == {r[2:] for r in rows}
+
+
+def test_partitions_follow_the_bytes(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "x" * 1000) for i in range(100)] + [(100, None)], "doc_id long, text string")
+    assert repeats.partitions_for(df) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(repeats, "PART_BYTES", 4000)
+    assert repeats.partitions_for(df) == 25 and repeats.partitions_for(df.where("false")) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert repeats.removed(df).where("n_removed = 0").count() == 1  # the null text; the others repeat themselves
