@@ -99,6 +99,35 @@ def _(t):
     return em.pca(both, "joint", 5)[1]
 
 
+def _eigen_sql(name, rows):
+    """Trace and sum of squared eigenvalues of the correlations of long rows (u, f, v); a constant feature counts nothing."""
+    return f"""WITH x AS ({rows}), z AS (SELECT u, f, coalesce((v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0), 0) AS z FROM x WINDOW w AS (PARTITION BY f)),
+c AS (SELECT a.f AS i, b.f AS j, avg(a.z * b.z) AS v FROM z a JOIN z b USING (u) GROUP BY 1, 2)
+SELECT '{name}' AS fit, (SELECT CAST(count(DISTINCT u) AS BIGINT) FROM x) AS n, sum(v) FILTER (i = j) AS trace, sum(v * v) AS square, 0.0::DOUBLE AS residual, 0.0::DOUBLE AS overlap FROM c"""
+
+
+def checked_fit(vectors, name, vec="vec"):
+    """How well the components of one table decompose its covariance."""
+    fits = kp.eigen_by_group(kp.group_covariances(vectors.withColumn("fit", F.lit(name)), ["fit"], vec), ["fit"], em.MAX_FEATURES)
+    return kp.eigen_check(fits, ["fit"])
+
+
+@query("m2_pseudobulk_pca_check", _eigen_sql("pseudobulk", """
+SELECT u, f, coalesce(logcpm, 0) AS v FROM (SELECT DISTINCT sample_id AS u FROM scounts) CROSS JOIN (SELECT 'G' || CAST(i AS VARCHAR) AS f FROM range(300) q(i))
+LEFT JOIN (SELECT sample_id AS u, gene AS f, ln(1 + total * 1e6 / sum(total) OVER (PARTITION BY sample_id)) AS logcpm FROM (SELECT sample_id, gene, sum(count) AS total FROM scounts GROUP BY 1, 2)) USING (u, f)"""),
+    rnd="trace square residual overlap", digits=5)
+def _(t):
+    return checked_fit(em.scaled(pseudobulk_vectors(t)), "pseudobulk")
+
+
+@query("m3_joint_modality_pca_check", _eigen_sql("joint", f"""
+SELECT cell_id AS u, marker AS f, intensity AS v FROM prot WHERE cell_id IN (SELECT cell_id FROM scounts) UNION ALL
+SELECT u, f, coalesce(e.v, 0) FROM (SELECT DISTINCT cell_id AS u FROM pw WHERE cell_id IN (SELECT cell_id FROM scounts)) CROSS JOIN (SELECT 'G' || CAST(i AS VARCHAR) AS f FROM range(300) q(i))
+LEFT JOIN (SELECT cell_id AS u, gene AS f, v FROM {LN_SQL}) e USING (u, f)"""), rnd="trace square residual overlap", digits=4)
+def _(t):
+    return checked_fit(modalities(t).select("cell_id", F.concat("vec", "rvec").alias("joint")), "joint", "joint")
+
+
 @query("m4_variable_genes", f"""
 WITH g AS (SELECT gene, sum(exp(v) - 1) AS s, sum((exp(v) - 1) * (exp(v) - 1)) AS ss, (SELECT count(*) FROM cells) AS n FROM {LN_SQL} GROUP BY 1),
 m AS (SELECT gene, s / n AS mean, (ss - s * s / n) / (n - 1) AS var FROM g),
