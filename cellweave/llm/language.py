@@ -7,8 +7,8 @@ a bounded, seeded sample of labelled documents (at most ``per_language`` of each
 inside Spark tasks; its parameters are a few kilobytes.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0; null ids count as not held out and are never
-learned from; repeated rows get equal predictions; with nothing to learn from every text is ``und``; an empty table gives an
-empty result; further columns are ignored.
+learned from; repeated rows get equal predictions; with nothing to learn from every text is ``und``; texts of any length are
+read whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ proportion to the length counts, then bounded-knapsack dynamic programming for t
 are then chosen in a seeded order. Only length counts (a few thousand rows a source) meet in one task.
 
 Defined results: null text has size 0; a null source is a source of its own and comes last; repeated rows are separate
-documents; an empty table gives an empty result; documents of size 0 take part in whole passes only; further columns are
-ignored by ``decisions`` and kept by ``mix``.
+documents; texts of any length are read whole; an empty table gives an empty result; documents of size 0 take part in whole
+passes only; further columns are ignored by ``decisions`` and kept by ``mix``.
 """
 
 from __future__ import annotations

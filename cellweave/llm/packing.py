@@ -6,7 +6,7 @@ a list of fillings with multiplicities. Each piece then finds its sequence and p
 length, in parallel.
 
 Defined results: null text is empty; an empty document is the closing id alone; repeated rows are packed as often as they
-occur; an empty table gives an empty result; further columns are ignored.
+occur; texts of any length are read whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

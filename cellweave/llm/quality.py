@@ -7,8 +7,8 @@ log-likelihood ratio divided by its number of features; it is kept when it passe
 the only thing gathered is the table of ``buckets`` weights.
 
 Defined results: null text has no words and fails the base rules; documents with null ids are scored but never trusted;
-repeated rows count as often as they occur; with no trusted document the two models are the same prior and corpus; an empty
-table gives an empty result; further columns are ignored.
+repeated rows count as often as they occur; with no trusted document the two models are the same prior and corpus; texts of
+any length are read whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -17,8 +17,8 @@ An anchor with more than ``hot`` different contexts is not gathered: its passage
 ``repeat_groups`` deals the groups themselves, copies of whole contexts and hot passages included.
 
 Defined results: null text is empty; documents are ordered by id, null last, and rows of one id by a hash of their text; rows
-that repeat id and text are one document and get the same result; an empty table gives an empty result; ``removed`` ignores
-further columns and ``deduplicated`` keeps them.
+that repeat id and text are one document and get the same result; texts of any length are read whole; an empty table gives an
+empty result; ``removed`` ignores further columns and ``deduplicated`` keeps them.
 """
 
 from __future__ import annotations

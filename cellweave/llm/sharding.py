@@ -8,8 +8,8 @@ sizes are exact, at most one row apart.
 
 The rows are handled by DataFrame functions only. The driver sees one count per partition (of about a million rows each).
 
-Defined results: null text has 0 bytes; null ids and repeated rows are documents like any other; an empty table gives an
-empty result; further columns are ignored.
+Defined results: null text has 0 bytes; null ids and repeated rows are documents like any other; texts of any length are read
+whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,8 +7,8 @@ and every pair of chunks becomes a task of its own; a task reports a spanning st
 pairs. Copies of a text share one fingerprint and are never compared.
 
 Defined results: null text, and text without words, has fingerprint zero, which links like any other; repeated rows are
-documents of one component; null ids take part but are no component ids; an empty table gives an empty result; further
-columns are ignored by ``near_duplicates`` and kept by ``keep_first``.
+documents of one component; null ids take part but are no component ids; texts of any length are read whole; an empty table
+gives an empty result; further columns are ignored by ``near_duplicates`` and kept by ``keep_first``.
 """
 
 from __future__ import annotations
