@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -88,3 +89,41 @@ def test_nothing_to_learn_from(spark, docs):
     assert L.languages_of(docs.where("false")).collect() == []
     unlabelled = docs.withColumn("lang", docs["lang"].substr(99, 1)).selectExpr("doc_id", "text", "nullif(lang, '') AS lang")
     assert {r.lang_pred for r in L.languages_of(unlabelled).collect()} == {"und"}
+
+
+def plain_probabilities(net, part):
+    """Position by position and state by state: the network once more, without batches, padding or arrays over time."""
+    n = net.hidden
+
+    def run(layer, data):
+        h, out = [0.0] * n, []
+        for byte in data:
+            a, b = layer.w[byte].tolist(), [sum(x * u for x, u in zip(h, col)) for col in layer.u.T.tolist()]
+            z = [1 / (1 + math.exp(-a[i] - b[i])) for i in range(n)]
+            r = [1 / (1 + math.exp(-a[n + i] - b[n + i])) for i in range(n)]
+            c = [math.tanh(a[2 * n + i] + r[i] * b[2 * n + i]) for i in range(n)]
+            h = [x + u * (y - x) for x, u, y in zip(h, z, c)]
+            out.append(h)
+        return out
+
+    both = [f + g for f, g in zip(run(net.forward, part), run(net.backward, part[::-1])[::-1])]
+    for state in both:
+        e = [math.exp(sum(s * v for s, v in zip(state, col)) + t) for col, t in zip(net.v.T.tolist(), net.bias.tolist())]
+        yield [x / sum(e) for x in e]
+
+
+def test_predictions_match_the_plain_network(spark, docs):
+    some = docs.where("doc_id < 40 or doc_id >= 900 or doc_id is null")
+    net = L.learned(docs, 40)
+    got = {}
+    for r in L.languages_of(docs, 40).collect():
+        got.setdefault(r.doc_id, []).append((r.lang_pred, r.score))
+    for r in some.collect():
+        body = (r.text or "").encode()
+        if r.text is None or not any(map(str.isalpha, r.text)):
+            want = ("und", 0.0)
+        else:
+            rows = [p for at in range(0, len(body), L.WINDOW) for p in plain_probabilities(net, body[at : at + L.WINDOW])]
+            mean = [sum(c) / len(rows) for c in zip(*rows)]
+            want = (net.languages[mean.index(max(mean))], max(mean))
+        assert any(lang == want[0] and abs(score - want[1]) < 1e-4 for lang, score in got[r.doc_id]), (r.doc_id, want)
